@@ -1,0 +1 @@
+"""Empty on purpose: every stage of the analysed workflow is a batch over files."""
