@@ -215,7 +215,7 @@ def describe_lengths(lengths: DataFrame, col: str = "seq_len") -> DataFrame:
     stats = _length_counts(lengths, col).agg(
         F.sum("freq").alias("count"), F.sum(x * f).alias("__s"), F.sum(x * x * f).alias("__ss"),
         F.min(col).alias("min"), F.max(col).alias("max"),
-        F.percentile(col, [0.25, 0.5, 0.75], "freq").alias("q"),
+        F.percentile(col, [0.25, 0.5, 0.75], F.col("freq")).alias("q"),
     )
     n = F.col("count")
     spread = F.greatest(F.col("__ss") - F.col("__s") * F.col("__s") / n, F.lit(0.0))
@@ -229,7 +229,7 @@ def describe_lengths(lengths: DataFrame, col: str = "seq_len") -> DataFrame:
 def length_percentiles(lengths: DataFrame, percents: Sequence[float] = (50, 75, 90, 95, 99, 100),
                        col: str = "seq_len") -> DataFrame:
     probs = [p / 100.0 for p in percents]
-    packed = _length_counts(lengths, col).agg(F.percentile(col, probs, "freq").alias("q"))
+    packed = _length_counts(lengths, col).agg(F.percentile(col, probs, F.col("freq")).alias("q"))
     names = [f"p{p:g}" for p in percents]
     return packed.select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 

@@ -166,7 +166,7 @@ def exact_percentiles(
     )
     hot = hot_keys(counts, keys, rows_per_task) if keys else counts.count() > rows_per_task
     if not hot:
-        array = F.percentile(value, list(probs.values()), "freq")
+        array = F.percentile(value, list(probs.values()), F.col("freq"))
         packed = counts.groupBy(*keys).agg(array.alias("__p"))
         return packed.select(*keys, *[F.col("__p")[i].alias(k) for i, k in enumerate(probs)])
     ranked = ordered(counts, keys, [value], sums=["freq"], rows_per_task=rows_per_task)

@@ -23,7 +23,7 @@ NUMBER = r"CASE WHEN regexp_full_match(x, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d
 
 
 def nodes_sql(view: str, scale: str = "raw") -> str:
-    nums = f"list_filter([{NUMBER} FOR x IN parameters], x -> x IS NOT NULL)"
+    nums = f"[y FOR y IN [{NUMBER} FOR x IN parameters] IF y IS NOT NULL]"
     log = (lambda e: f"ln(1 + abs({e}))") if scale == "log" else (lambda e: e)
     first4 = ["CAST(count(*) AS DOUBLE)", "CAST(sum(len(parameters)) AS DOUBLE)",
               "coalesce(sum(list_sum(nums)) / sum(len(nums)), 0)", "coalesce(max(list_max(nums)), 0)"]
@@ -329,7 +329,7 @@ def gb(spark, sf):
 
 @query("gp_param_stats", f"""
     SELECT line_no, CAST(len(parameters) AS INT) AS param_count, {s6('coalesce(list_avg(nums), 0)')} AS param_num_mean, {s6('coalesce(list_max(nums), 0)')} AS param_num_max
-    FROM (SELECT *, list_filter([{NUMBER} FOR x IN parameters], x -> x IS NOT NULL) AS nums
+    FROM (SELECT *, [y FOR y IN [{NUMBER} FOR x IN parameters] IF y IS NOT NULL] AS nums
           FROM (SELECT line_no, list_append(parameters, event_type) AS parameters FROM v_events))""", ["v_events"])
 def gp(spark, sf):
     e = V.v_events(spark, sf).select("line_no", F.array_append("parameters", F.col("event_type")).alias("parameters"))
