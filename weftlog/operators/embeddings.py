@@ -59,7 +59,7 @@ def cosine_similarity(vectors: DataFrame, id: str = "cluster_id", vec: str = "em
     )
     kind = vectors.schema[id].dataType.simpleString()
 
-    def multiply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
         left, right = pdf[pdf["b"] == bi], pdf[pdf["b"] == bj]
         empty = pd.DataFrame({"id_a": pdf["id"][:0], "id_b": pdf["id"][:0], "similarity": np.zeros(0)})

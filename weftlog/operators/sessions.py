@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, ordered
+from weftlog.operators.skew import ROWS_PER_TASK, first_by, nulls_last, ordered
 
 SESSION, TS, LINE, CLUSTER = "session_id", "ts", "line_no", "cluster_id"
 # Longest piece of one session that is packed into a single row or hashed at once.
@@ -59,7 +59,7 @@ def sessions_by_window(
 
 def sort_events(events: DataFrame, session: str = SESSION, ts: str = TS, line: str = LINE) -> DataFrame:
     """Total order: session, time, then file order for equal times."""
-    return events.orderBy(session, ts, line)
+    return events.orderBy(*nulls_last([session, ts, line]))
 
 
 def with_sequence(
@@ -101,7 +101,7 @@ def first_seen_index(events: DataFrame, *, session: str = SESSION, cluster: str
                      ts: str = TS, line: str = LINE) -> DataFrame:
     """Local node index by first appearance. The clusters of a session are merged
     before the window, so its partitions are no larger than the template catalog."""
-    first = events.groupBy(session, cluster).agg(F.min(F.struct(ts, line)).alias("first_seen"))
+    first = events.groupBy(session, cluster).agg(F.min(first_by([ts, line])).alias("first_seen"))
     ranked = ordered(first, [session], ["first_seen"])
     return ranked.select(session, cluster, F.col("pos").alias("node_idx"))
 

@@ -40,13 +40,23 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
 def slices(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """Range-partition on `order` and store the slice each row fell into."""
     n = max(2, min(n, MAX_SLICES))
-    spread = df.repartitionByRange(n, *order).withColumn(_SLICE, F.spark_partition_id())
+    spread = df.repartitionByRange(n, *nulls_last(order)).withColumn(_SLICE, F.spark_partition_id())
     return durable(spread)
 
 
+def nulls_last(order: Sequence[str]) -> list:
+    """Rows with a missing time come after the others of their key, as in a stable table sort."""
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
+def first_by(order: Sequence[str]):
+    """A struct that sorts like `nulls_last(order)`, for min and min_by."""
+    return F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+
+
 def _windowed(df, keys, order, lead, sums):
     by = [F.col(k) for k in keys]
-    ordered = Window.partitionBy(*by).orderBy(*order)
+    ordered = Window.partitionBy(*by).orderBy(*nulls_last(order))
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = [(F.row_number().over(ordered) - 1).cast("bigint").alias("pos")]
     cols += [F.lead(c).over(ordered).alias(f"next_{c}") for c in lead]
@@ -96,7 +106,7 @@ def ordered(
     aggs += [F.sum(c).alias(f"__s_{c}") for c in sums]
     if lead:
         aggs.append(
-            F.min_by(F.struct(*lead), F.struct(*order)).alias("__head")
+            F.min_by(F.struct(*lead), first_by(order)).alias("__head")
         )
     # One row per (key, slice): at most MAX_SLICES + MAX_HOT_KEYS rows.
     borders = cut.groupBy(*keys, _SLICE).agg(*aggs)

@@ -139,7 +139,7 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
             "piece", F.pmod(F.xxhash64("pattern"), pieces).cast("int")
         ).drop("k")
 
-        def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             out = merge_patterns(pdf, sim_th)
             out.insert(0, "n_tokens", key[0])
             out.insert(1, "lead", key[1])

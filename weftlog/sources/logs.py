@@ -49,10 +49,10 @@ def dense_line_no(df: DataFrame) -> DataFrame:
 def parse_hdfs_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Three header tokens, then the content; level and component stay in the content."""
     parts = F.split(F.col(value), r"\s+", 4)
-    stamp = F.try_to_timestamp(F.concat_ws(" ", parts[0], parts[1]), F.lit("ddMMyy HHmmss"))
+    stamp = F.try_to_timestamp(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.lit("ddMMyy HHmmss"))
     return df.select(
         *[c for c in df.columns if c != value],
-        parts[0].alias("date"), parts[1].alias("time"), parts[2].alias("thread"),
+        *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(["date", "time", "thread"])],
         stamp.alias("timestamp"), F.col(value).alias("raw"), strip_header(value).alias("content"),
     )
 
@@ -65,10 +65,10 @@ def parse_bgl_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Nine header fields and the message; a label other than '-' marks an alert."""
     p = F.split(F.col(value), r"\s+", 10)
     names = ["label", "unix_ts", "date", "node_id", "datetime", "node_repeat", "component", "subcomponent", "level", "message"]
-    cols = [p[i].alias(n) for i, n in enumerate(names) if n != "unix_ts"]
+    cols = [F.get(p, F.lit(i)).alias(n) for i, n in enumerate(names) if n != "unix_ts"]
     return df.select(
-        *[c for c in df.columns if c != value], *cols, p[1].try_cast("bigint").alias("unix_ts"),
-        (p[0] != "-").alias("is_anomaly"), F.col(value).alias("raw"),
+        *[c for c in df.columns if c != value], *cols, F.get(p, F.lit(1)).try_cast("bigint").alias("unix_ts"),
+        (F.get(p, F.lit(0)) != "-").alias("is_anomaly"), F.col(value).alias("raw"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlog.operators.skew import nulls_last
+
 CATALOG_SCHEMA = "cluster_id int, template string, count bigint, examples array<string>"
 
 
@@ -37,7 +39,7 @@ def write_sequences(events: DataFrame, path: str, *, session: str = "session_id"
                     line: str = "line_no") -> None:
     """Flat events in session order. Range partitioning splits a session of any size
     over files, and each file stays sorted."""
-    order = [session, ts, line]
+    order = nulls_last([session, ts, line])
     events.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
