@@ -48,7 +48,7 @@ def test_one_event_session(make_events):
     e = make_events({"s": [4]})
     near(G.graph_nodes(e).first(), first_pos=0, last_pos=0, mean_pos=0, std_pos=0, pos_spread=0, param_num_mean=0)
     assert G.graph_edges(e).count() == 0
-    rec = G.graph_records(G.graph_nodes(e), G.graph_edges(e), K.first_seen_index(e)).first()
+    rec = G.graph_records(G.graph_nodes(e), G.graph_edges(e)).first()
     assert (rec["num_nodes"], rec["num_edges"], list(rec["edge_attr"])) == (1, 0, [])
 
 

@@ -53,7 +53,7 @@ def is_numeric(col: Column | str, finite_only: bool = False) -> Column:
 
 
 def _parsed(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), "_", "").try_cast("double")
+    return F.translate(F.trim(c), "_", "").try_cast("double")
 
 
 def to_number(col: Column | str, finite_only: bool = False) -> Column:
@@ -61,10 +61,9 @@ def to_number(col: Column | str, finite_only: bool = False) -> Column:
     value = F.when(c.rlike(FLOAT_TEXT), _parsed(c))
     if finite_only:
         return F.when(F.abs(value) < F.lit(float("inf")), value)
-    return F.when(
-        c.rlike(NONFINITE_TEXT), F.when(c.rlike("(?i)nan"), F.lit(float("nan")))
-        .when(F.trim(c).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    ).otherwise(value)
+    named = F.when(c.rlike("(?i)nan"), F.lit(float("nan"))).when(
+        F.trim(c).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(c.rlike(FLOAT_TEXT), _parsed(c)).when(c.rlike(NONFINITE_TEXT), named)
 
 
 def placeholder_value(token: Column, pattern: Column) -> Column:

@@ -13,6 +13,7 @@ from weftlog.functions.columns import truncate_pad
 from weftlog.operators.lookups import attach_label, error_clusters, flag_error_sessions
 from weftlog.operators.sessions import CLUSTER, LINE, SESSION, TS, length_percentiles, with_position
 from weftlog.operators.skew import ROWS_PER_TASK, ordered
+from weftlog.session import durable
 
 SPLITS = ["train", "val", "test"]
 
@@ -52,6 +53,7 @@ def stratified_split(ds: DataFrame, holdout: float = 0.30, test_share: float = 0
 
     Only the class counts reach the driver. Rows are ranked inside their class by a
     seeded hash of the id, so the assignment does not depend on partitioning."""
+    ds = durable(ds)  # read twice below, and smaller than the events it comes from
     counts = {r[0]: r[1] for r in ds.groupBy(label).count().collect()}
     train, val, test = split_sizes(sum(counts.values()), holdout, test_share)
     q_train = largest_remainder(counts, train)

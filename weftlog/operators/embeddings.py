@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 from weftlog.functions.columns import finite_array, l2_normalise
 from weftlog.operators.skew import ordered
 
+# The characters Python's `str.isspace` counts as white space.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def tfidf(texts: DataFrame, id: str = "cluster_id", text: str = "text") -> DataFrame:
     """Sparse rows `(id, token, tf, idf, weight)`: raw counts, smoothed idf, unit length per text.
 
     idf = ln((1 + n) / (1 + df)) + 1, tokens are runs of non-blanks in lower case."""
     n = texts.count()
-    words = texts.select(id, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\s]+"), F.lit(0))).alias("token"))
+    # Texts are spread by id before they are cut: the shuffle moves compact rows,
+    # and counting per text, like the norm below, then needs no further exchange.
+    plain = F.translate(F.lower(text), BLANKS, " " * len(BLANKS))
+    words = texts.select(id, text).repartition(id).select(
+        id, F.explode(F.array_remove(F.split(plain, " "), "")).alias("token")
+    )
     tf = words.groupBy(id, "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0 + n) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)

@@ -23,7 +23,8 @@ def score_steps(scores: DataFrame, by: Sequence[str] = (), *, score: str = "scor
     groups = scores.groupBy(*by, F.col(score).alias("threshold")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos_cnt"), F.sum(1 - F.col(label).cast("bigint")).alias("neg_cnt")
     ).withColumn("__desc", -F.col("threshold"))
-    rows = ordered(groups, by, ["__desc"], sums=["pos_cnt", "neg_cnt"], rows_per_task=rows_per_task)
+    rows = ordered(groups, by, ["__desc"], sums=["pos_cnt", "neg_cnt"],
+                   rows_per_task=rows_per_task, settle=True)
     return rows.select(
         *by, "threshold", "pos_cnt", "neg_cnt", F.col("cum_pos_cnt").alias("tp"), F.col("cum_neg_cnt").alias("fp"),
         F.col("tot_pos_cnt").alias("positives"), F.col("tot_neg_cnt").alias("negatives"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import clip_nonneg, log_scale, to_number
@@ -29,48 +29,49 @@ def _sequenced(events: DataFrame, rows_per_task: int, **names) -> DataFrame:
     return with_sequence(events, rows_per_task=rows_per_task, **names)
 
 
-def param_stats(params: Column | str, finite_only: bool = False) -> dict[str, Column]:
-    """Per row: number of parameters, and count, sum and max of the numeric ones."""
-    p = F.col(params) if isinstance(params, str) else params
-    nums = F.filter(F.transform(p, lambda x: to_number(x, finite_only)), lambda x: x.isNotNull())
-    return {
-        "param_count": F.coalesce(F.size(F.coalesce(p, F.array().cast("array<string>"))), F.lit(0)),
-        "num_count": F.coalesce(F.size(F.coalesce(nums, F.array().cast("array<double>"))), F.lit(0)),
-        "num_sum": F.aggregate(nums, F.lit(0.0), lambda a, x: a + x),
-        "num_max": F.array_max(nums),
-    }
+def with_param_stats(df: DataFrame, params: str = "parameters", finite_only: bool = False) -> DataFrame:
+    """Replace the parameter array by its size and the count, sum and max of its numbers.
+
+    Done in the row, before any shuffle, so that four numbers travel instead of texts."""
+    nums = F.filter(F.transform(params, lambda x: to_number(x, finite_only)), lambda x: x.isNotNull())
+    none = F.array().cast("array<double>")
+    df = df.withColumn("__nums", F.coalesce(nums, none)).withColumn("__params", F.greatest(F.size(params), F.lit(0)))
+    return df.drop(params).select(
+        *[c for c in df.columns if c not in (params, "__nums", "__params")], F.col("__params").alias("param_count"),
+        F.size("__nums").alias("num_count"), F.aggregate("__nums", F.lit(0.0), lambda a, x: a + x).alias("num_sum"),
+        F.array_max("__nums").alias("num_max"),
+    )
 
 
 def param_summary(df: DataFrame, params: str = "parameters", finite_only: bool = False) -> DataFrame:
     """`param_count`, `param_num_mean`, `param_num_max` of each row's array; 0 when nothing is numeric."""
-    s = param_stats(params, finite_only)
-    has = s["num_count"] > 0
-    return df.withColumns({
-        "param_count": s["param_count"],
-        "param_num_mean": F.when(has, s["num_sum"] / s["num_count"]).otherwise(F.lit(0.0)),
-        "param_num_max": F.when(has, s["num_max"]).otherwise(F.lit(0.0)),
-    })
+    has = F.col("num_count") > 0
+    return with_param_stats(df, params, finite_only).withColumns({
+        "param_num_mean": F.when(has, F.col("num_sum") / F.col("num_count")).otherwise(F.lit(0.0)),
+        "param_num_max": F.when(has, F.col("num_max")).otherwise(F.lit(0.0)),
+    }).drop("num_count", "num_sum", "num_max")
 
 
 def graph_nodes(
     events: DataFrame, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
     cluster: str = CLUSTER, params: str = "parameters", rows_per_task: int = ROWS_PER_TASK,
+    hot: list | None = None,
 ) -> DataFrame:
     """One node per (session, cluster) with occurrence, parameter and position features.
 
     Parameters are reduced inside each row first, so nothing is exploded and the
-    group-by carries numbers only. `scale='log'` compresses the first four.
+    shuffle carries numbers only. `scale='log'` compresses the first four.
     """
-    rows = _sequenced(events, rows_per_task, session=session, ts=ts, line=line, cluster=cluster)
-    s = param_stats(params, finite_only=scale == "log")
-    rows = rows.select(session, cluster, "pos", "n", "norm_pos", *[c.alias(f"__{k}") for k, c in s.items()])
+    keep = [c for c in (session, ts, line, cluster, params, "pos", "n", "norm_pos", "delta_us") if c in events.columns]
+    slim = with_param_stats(events.select(*keep), params, finite_only=scale == "log")
+    rows = _sequenced(slim, rows_per_task, session=session, ts=ts, line=line, cluster=cluster, hot=hot)
     span = F.greatest(F.first("n") - 1, F.lit(1))
-    has = F.sum("__num_count") > 0
+    has = F.sum("num_count") > 0
     nodes = rows.groupBy(session, cluster).agg(
         F.count(F.lit(1)).alias("occurrence_count"),
-        F.sum("__param_count").alias("param_count"),
-        F.when(has, F.sum("__num_sum") / F.sum("__num_count")).otherwise(F.lit(0.0)).alias("param_num_mean"),
-        F.when(has, F.max("__num_max")).otherwise(F.lit(0.0)).alias("param_num_max"),
+        F.sum("param_count").alias("param_count"),
+        F.when(has, F.sum("num_sum") / F.sum("num_count")).otherwise(F.lit(0.0)).alias("param_num_mean"),
+        F.when(has, F.max("num_max")).otherwise(F.lit(0.0)).alias("param_num_max"),
         (F.min("pos") / span).alias("first_pos"),
         (F.max("pos") / span).alias("last_pos"),
         (F.sum("pos") / (F.count(F.lit(1)) * span)).alias("mean_pos"),
@@ -84,7 +85,7 @@ def graph_nodes(
 
 def graph_edges(
     events: DataFrame, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
-    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK,
+    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK, hot: list | None = None,
 ) -> DataFrame:
     """One edge per (session, src, dst) with weight, delta statistics and mean positions.
 
@@ -92,7 +93,7 @@ def graph_edges(
     exact. `scale='log'` clips negative deltas first and log-scales weight and deltas.
     """
     # An edge group cannot outgrow its session, so one look at the sessions is enough.
-    hot = hot_keys(events, [session], rows_per_task)
+    hot = hot_keys(events, [session], rows_per_task) if hot is None else hot
     rows = _sequenced(events, rows_per_task, session=session, ts=ts, line=line, cluster=cluster, hot=hot)
     delta = F.col("delta_us") if scale == "raw" else clip_nonneg("delta_us")
     pairs = rows.where(F.col("pos") < F.col("n") - 1).select(
@@ -176,42 +177,51 @@ def edges_to_index(node_index: DataFrame, edges: DataFrame, *, session: str = SE
 
 
 def graph_records(
-    nodes: DataFrame, edges: DataFrame, node_index: DataFrame, labels: DataFrame | None = None, *,
+    nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None, *,
     embedding: str | None = None, session: str = SESSION, cluster: str = CLUSTER,
 ) -> DataFrame:
     """One packed row per session: node matrix, edge index, edge matrix and label.
 
     Groups are already merged by cluster, so a row is bounded by the template
-    catalog, not by the session length. Sessions without edges keep empty arrays.
+    catalog, not by the session length. Nodes stand in the order of their first
+    position, and the edge index is looked up in that short list instead of by a
+    join. Sessions without edges keep empty arrays.
     """
     scalars = F.array(*[F.col(c).cast("double") for c in NODE_SCALARS])
     x = F.concat(F.col(embedding), scalars) if embedding else scalars
-    packed_nodes = (
-        nodes.join(node_index, [session, cluster])
-        .groupBy(session)
-        .agg(F.array_sort(F.collect_list(F.struct("node_idx", F.col(cluster).alias("cid"), x.alias("x")))).alias("__n"))
-        .select(session, F.col("__n.cid").alias("cluster_ids"), F.col("__n.x").alias("x"),
-                F.size("__n").alias("num_nodes"))
+    node = F.struct("first_pos", F.col(cluster).alias("cid"), x.alias("x"))
+    packed_nodes = nodes.groupBy(session).agg(F.array_sort(F.collect_list(node)).alias("__n")).select(
+        session, F.col("__n.cid").alias("cluster_ids"), F.col("__n.x").alias("x"), F.size("__n").alias("num_nodes")
     )
     attr = F.array(*[F.col(c).cast("double") for c in EDGE_SCALARS])
-    packed_edges = (
-        edges_to_index(node_index, edges, session=session, cluster=cluster)
-        .groupBy(session)
-        .agg(F.array_sort(F.collect_list(F.struct("src_idx", "dst_idx", attr.alias("a")))).alias("__e"))
-        .select(session, F.col("__e.src_idx").alias("edge_src"), F.col("__e.dst_idx").alias("edge_dst"),
-                F.col("__e.a").alias("edge_attr"))
-    )
-    out = packed_nodes.join(packed_edges, session, "left")
-    empty = F.array().cast("array<bigint>")
-    out = out.withColumns({
-        "edge_src": F.coalesce("edge_src", empty), "edge_dst": F.coalesce("edge_dst", empty),
-        "edge_attr": F.coalesce("edge_attr", F.array().cast("array<array<double>>")),
-    }).withColumn("num_edges", F.size("edge_src"))
+    packed_edges = edges.groupBy(session).agg(F.collect_list(F.struct("src", "dst", attr.alias("a"))).alias("__e"))
+    rows = packed_nodes.join(packed_edges, session, "left")
+    local = F.transform(
+        "__e", lambda e: F.struct(
+            (F.array_position("cluster_ids", e["src"]) - 1).alias("s"),
+            (F.array_position("cluster_ids", e["dst"]) - 1).alias("d"), e["a"].alias("a"),
+        ))
+    rows = rows.withColumn("__e", F.array_sort(local))
+    none = F.array().cast("array<bigint>")
+    out = rows.select(
+        session, "cluster_ids", "x", "num_nodes",
+        F.coalesce(F.col("__e.s"), none).alias("edge_src"), F.coalesce(F.col("__e.d"), none).alias("edge_dst"),
+        F.coalesce(F.col("__e.a"), F.array().cast("array<array<double>>")).alias("edge_attr"),
+        F.coalesce(F.size("__e"), F.lit(0)).alias("num_edges"),
+    ).withColumn("num_edges", F.greatest("num_edges", F.lit(0)))
     if labels is None:
         return out
     return out.join(labels, session, "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def session_graphs(events: DataFrame, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
+                   cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) over one look at the session sizes."""
+    names = dict(session=session, ts=ts, line=line, cluster=cluster, rows_per_task=rows_per_task)
+    hot = hot_keys(events, [session], rows_per_task)
+    return graph_nodes(events, scale, hot=hot, **names), graph_edges(events, scale, hot=hot, **names)
+
+
 def canonical_graphs(events: DataFrame, *, session: str = SESSION, ts: str = TS, line: str = LINE,
                      cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """(representatives, their events): one session stands for each fingerprint."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlog.operators.sessions import SESSION
+from weftlog.session import durable
 
 COMPONENTS = ["structure", "node", "edge"]
 
@@ -40,7 +41,8 @@ def fit_transition_model(train_edges: DataFrame, alpha: float = 1.0) -> DataFram
     """Smoothed p(dst | src) from the edges of clean training sessions.
 
     Rows with a null `dst` hold what an unseen successor of that source gets."""
-    pairs = train_edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    # The fitted pairs are at most templates squared; they are stored once.
+    pairs = durable(train_edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
     v = pairs.select(F.explode(F.array("src", "dst")).alias("c")).distinct().count()
     totals = pairs.groupBy("src").agg(F.sum("w").alias("total"))
     base = F.col("total") + F.lit(alpha * v)

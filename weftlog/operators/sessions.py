@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.operators.skew import ROWS_PER_TASK, first_by, nulls_last, ordered
@@ -102,8 +102,8 @@ def first_seen_index(events: DataFrame, *, session: str = SESSION, cluster: str
     """Local node index by first appearance. The clusters of a session are merged
     before the window, so its partitions are no larger than the template catalog."""
     first = events.groupBy(session, cluster).agg(F.min(first_by([ts, line])).alias("first_seen"))
-    ranked = ordered(first, [session], ["first_seen"])
-    return ranked.select(session, cluster, F.col("pos").alias("node_idx"))
+    rank = F.row_number().over(Window.partitionBy(session).orderBy("first_seen"))
+    return first.select(session, cluster, (rank - 1).cast("bigint").alias("node_idx"))
 
 
 def fire_number(events: DataFrame, *, session: str = SESSION, cluster: str = CLUSTER,

@@ -73,13 +73,19 @@ def ordered(
     sums: Sequence[str] = (),
     rows_per_task: int = ROWS_PER_TASK,
     hot: list | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Add per key: `pos` (0-based), `n`, `next_<c>`, `cum_<c>` and `tot_<c>`.
 
     `order` must be unique within a key. `cum_` sums include the current row.
-    `hot` takes the result of an earlier `hot_keys` call on the same keys.
+    `hot` takes the result of an earlier `hot_keys` call on the same keys. With
+    `settle` the input is checkpointed first: right for merged tables, which are much
+    smaller than what they were computed from and would else be computed twice.
+    Without keys the input is always settled.
     """
     keys, order = list(keys), list(order)
+    if settle or not keys:
+        df = durable(df)
     if keys:
         hot = hot_keys(df, keys, rows_per_task) if hot is None else hot
         hot_rows = sum(r["__rows"] for r in hot)
@@ -174,6 +180,7 @@ def exact_percentiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("freq"))
     )
+    counts = durable(counts)
     hot = hot_keys(counts, keys, rows_per_task) if keys else counts.count() > rows_per_task
     if not hot:
         array = F.percentile(value, list(probs.values()), F.col("freq"))

@@ -43,22 +43,25 @@ def mine_templates_positional(lines: DataFrame, *, content: str = "content", lin
                               lead_tokens: int = 2) -> DataFrame:
     """Templates by position: inside a bucket of equal token count and equal leading
     tokens, every position that holds more than one token becomes a wildcard."""
-    texts = _distinct_content(lines, content, line).withColumn("t", tokens("masked"))
+    texts = durable(_distinct_content(lines, content, line)).withColumn("t", tokens("masked"))
     texts = texts.select(
         F.size("t").alias("n_tokens"), F.array_join(F.slice("t", 1, lead_tokens), " ").alias("lead"),
         "t", "cnt", "first_line",
     )
     bucket = ["n_tokens", "lead"]
-    # min and max per position tell "more than one token" with two values, both
-    # combined on the map side, where a distinct count would keep every token.
-    cells = texts.select(*bucket, F.posexplode("t").alias("i", "w"))
-    shape = cells.groupBy(*bucket, "i").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
-    word = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(WILDCARD))
-    template = shape.groupBy(*bucket).agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("i", word.alias("w"))))["w"], " ").alias("template")
-    )
     totals = texts.groupBy(*bucket).agg(F.sum("cnt").alias("count"), F.min("first_line").alias("first_line"))
-    found = totals.join(template, bucket).select("template", "count", "first_line")
+    # The earliest text stands for its bucket; a position where any other text
+    # differs from it is variable. Only differing positions are exploded.
+    rep = texts.select(*bucket, "first_line", F.col("t").alias("rep")).join(totals, [*bucket, "first_line"])
+    differs = F.filter(
+        F.zip_with("t", F.transform("rep", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
+                   lambda w, r: F.when(w != r["w"], r["i"])),
+        lambda i: i.isNotNull(),
+    )
+    spots = texts.join(rep.select(*bucket, "rep"), bucket).select(*bucket, F.explode(differs).alias("i")).distinct()
+    wide = spots.groupBy(*bucket).agg(F.collect_set("i").alias("wide"))
+    word = F.transform("rep", lambda w, i: F.when(F.array_contains(F.coalesce("wide", F.array().cast("array<int>")), i), F.lit(WILDCARD)).otherwise(w))
+    found = rep.join(wide, bucket, "left").select(F.array_join(word, " ").alias("template"), "count", "first_line")
     return number_templates(found)
 
 
@@ -106,7 +109,7 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
     of at most about `merge_rows` patterns; rounds repeat until every bucket fits
     one piece or stops shrinking. The result depends on the lines only.
     """
-    texts = _distinct_content(lines, content, line)
+    texts = durable(_distinct_content(lines, content, line))
     t = tokens("masked")
     # Tokens with digits are treated as variable when they lead, as is usual for logs.
     lead = F.transform(F.slice("t", 1, max(depth - 2, 1)),
@@ -158,12 +161,19 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
 # --- matching ---------------------------------------------------------------
 
 
-def _fits(words: Column, shape: Column) -> Column:
-    return F.forall(F.zip_with(words, shape, lambda w, s: (s == WILDCARD) | (w == s)), lambda ok: ok)
+def _fits(words: Column, cand: Column) -> Column:
+    """Only the literal tokens of the candidate are looked at."""
+    return F.forall(cand["literals"], lambda t: F.get(words, t["i"]) == t["w"])
 
 
-def _literals(shape: Column) -> Column:
-    return F.size(F.filter(shape, lambda s: s != WILDCARD))
+def _holes(shape: Column) -> Column:
+    """Position and fixed text lengths around the placeholder of each template token that has one."""
+    marked = F.transform(shape, lambda t, i: F.struct(
+        i.alias("i"), t.rlike(PLACEHOLDER).alias("hole"),
+        F.length(F.regexp_extract(t, r"^(.*?)<[A-Z*]+>", 1)).alias("before"),
+        F.length(F.regexp_extract(t, r"^.*<[A-Z*]+>(.*)$", 1)).alias("after"),
+    ))
+    return F.filter(marked, lambda m: m["hole"])
 
 
 def _keyed_catalog(catalog: DataFrame) -> DataFrame:
@@ -171,7 +181,11 @@ def _keyed_catalog(catalog: DataFrame) -> DataFrame:
     second = F.when(F.size("shape") > 1, F.col("shape")[1]).otherwise(F.lit(""))
     return catalog.select("cluster_id", "template", shape.alias("shape")).select(
         F.size("shape").alias("k_n"), F.col("shape")[0].alias("k_1"), second.alias("k_2"),
-        F.struct((-_literals(F.col("shape"))).alias("rank"), "cluster_id", "template", "shape").alias("cand"),
+        "cluster_id", "template", _holes(F.col("shape")).alias("holes"),
+        F.filter(F.transform("shape", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda t: t["w"] != WILDCARD).alias("literals"),
+    ).select(
+        "k_n", "k_1", "k_2",
+        F.struct((-F.size("literals")).alias("rank"), "cluster_id", "template", "holes", "literals").alias("cand"),
     )
 
 
@@ -189,6 +203,12 @@ def match_templates(lines: DataFrame, catalog: DataFrame, *, content: str = "con
     by rows and bytes, is broadcast and lines never move. For a large one the
     distinct masked texts are matched by a shuffled join and joined back.
     """
+    return _matched(lines, catalog, content, small).drop("__holes")
+
+
+def _matched(lines: DataFrame, catalog: DataFrame, content: str, small: bool | None = None) -> DataFrame:
+    # The frozen catalog is stored once; it is checked and read several times below.
+    catalog = durable(catalog.select("cluster_id", "template"))
     if small is None:
         small = catalog_is_small(catalog)
     if small:
@@ -215,11 +235,12 @@ def _match_in_place(lines: DataFrame, catalog: DataFrame, content: str) -> DataF
             & (F.col(f"b{i}") == (F.col(two) if two else wild))
         )
         rows = rows.join(F.broadcast(side), on, "left")
-        fits = F.filter(f"c{i}", lambda c: _fits(F.col("__w"), c["shape"]))
+        fits = F.filter(f"c{i}", lambda c: _fits(F.col("__w"), c))
         found.append(F.array_min(fits))
     rows = rows.withColumn("__b", F.least(*found))
     keep = [c for c in lines.columns if c not in ("cluster_id", "template")]
-    return rows.select(*keep, F.col("__b.cluster_id").alias("cluster_id"), F.col("__b.template").alias("template"))
+    return rows.select(*keep, F.col("__b.cluster_id").alias("cluster_id"), F.col("__b.template").alias("template"),
+                       F.col("__b.holes").alias("__holes"))
 
 
 def _match_by_shuffle(lines: DataFrame, catalog: DataFrame, content: str) -> DataFrame:
@@ -233,20 +254,22 @@ def _match_by_shuffle(lines: DataFrame, catalog: DataFrame, content: str) -> Dat
     probes = texts.select("__m", "w", F.size("w").alias("k_n"), F.explode(keys).alias("k")).select("__m", "w", "k_n", "k.*")
     pairs = probes.join(_keyed_catalog(catalog), ["k_n", "k_1", "k_2"])
     best = (
-        pairs.where(_fits(F.col("w"), F.col("cand.shape")))
-        .groupBy("__m").agg(F.min(F.struct("cand.rank", "cand.cluster_id", "cand.template")).alias("b"))
-        .select("__m", "b.cluster_id", "b.template")
+        pairs.where(_fits(F.col("w"), F.col("cand")))
+        .groupBy("__m").agg(F.min(F.struct("cand.rank", "cand.cluster_id", "cand.template", "cand.holes")).alias("b"))
+        .select("__m", "b.cluster_id", "b.template", F.col("b.holes").alias("__holes"))
     )
     return masked.join(best, "__m", "left").drop("__m")
 
 
 def annotate(lines: DataFrame, catalog: DataFrame, *, content: str = "content", raw: str = "raw") -> DataFrame:
     """Second pass over the log against the frozen catalog: template, parameters and session key."""
-    matched = match_templates(lines, catalog, content=content)
-    return matched.withColumns({
-        "parameters": extract_parameters(F.trim(F.col(content)), F.col("template")),
-        "block_id": extract_block_id(raw),
-    })
+    matched = _matched(lines, catalog, content)
+    # What `extract_parameters` works out per line is known per template here.
+    matched = matched.withColumn("__words", tokens(content))
+    words = F.col("__words")
+    values = F.transform("__holes", lambda h: F.substring(
+        words[h["i"]], h["before"] + 1, F.length(words[h["i"]]) - h["before"] - h["after"]))
+    return matched.withColumns({"parameters": values, "block_id": extract_block_id(raw)}).drop("__holes", "__words")
 
 
 def unmatched_lines(lines: DataFrame, catalog: DataFrame, *, content: str = "content") -> DataFrame:

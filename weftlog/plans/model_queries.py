@@ -453,7 +453,7 @@ def random_params(node_dim: int, edge_dim: int, hidden: int = 8, latent: int = 4
 @query("m8_batch_score")
 def m8(spark, sf):
     e = V.v_events(spark, sf)
-    records = G.graph_records(G.graph_nodes(e), G.graph_edges(e), K.first_seen_index(e))
+    records = G.graph_records(*G.session_graphs(e))
     one = M.batch_score(records, random_params(9, 10), "dot").withColumn("variant", F.lit("one_layer_dot"))
     two = M.batch_score(records, random_params(9, 10, convs=2), "mlp", "mean").withColumn("variant", F.lit("two_layer_mlp"))
     return one.unionByName(two)

@@ -333,7 +333,7 @@ def gb(spark, sf):
           FROM (SELECT line_no, list_append(parameters, event_type) AS parameters FROM v_events))""", ["v_events"])
 def gp(spark, sf):
     e = V.v_events(spark, sf).select("line_no", F.array_append("parameters", F.col("event_type")).alias("parameters"))
-    return rounded(G.param_summary(e).drop("parameters"), "param_num_mean", "param_num_max")
+    return rounded(G.param_summary(e), "param_num_mean", "param_num_max")
 
 
 @query("gc_event_chain", f"""
@@ -367,7 +367,7 @@ def gs(spark, sf):
     FROM nn LEFT JOIN en ON nn.session_id = en.session_id GROUP BY nn.session_id""", ["v_items"])
 def gr(spark, sf):
     e = V.v_items(spark, sf)
-    r = G.graph_records(G.graph_nodes(e), G.graph_edges(e), K.first_seen_index(e))
+    r = G.graph_records(*G.session_graphs(e))
     node_text = F.array_join(F.zip_with("cluster_ids", "x", lambda c, x: F.concat_ws(":", c.cast("string"), x[0].cast("bigint").cast("string"))), ",")
     ends = F.zip_with("edge_src", "edge_dst", lambda a, b: F.concat_ws(">", a.cast("string"), b.cast("string")))
     edge_text = F.array_join(F.zip_with(ends, "edge_attr", lambda t, a: F.concat_ws(":", t, a[0].cast("bigint").cast("string"))), ",")

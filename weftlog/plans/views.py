@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rendered lines come from small files; give every core a part, as splits of a raw log would."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _choice(col, pairs):
     out = None
     for key, value in pairs.items():
@@ -82,7 +88,7 @@ def v_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_raw_hdfs(spark: SparkSession, sf: str) -> DataFrame:
-    e = v_events(spark, sf)
+    e = spread(v_events(spark, sf))
     head = F.date_format("ts", "ddMMyy HHmmss")
     block = F.when(F.col("line_no") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("for "), F.col("session_id"), F.lit(" ")))
     value = F.concat(
@@ -95,7 +101,7 @@ def v_raw_hdfs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_raw_bgl(spark: SparkSession, sf: str) -> DataFrame:
-    e = v_events(spark, sf)
+    e = spread(v_events(spark, sf))
     value = F.concat_ws(
         " ", "label", F.col("unix_ts").cast("string"), F.date_format("ts", "yyyy.MM.dd"), "node_id",
         F.date_format("ts", "yyyy-MM-dd-HH.mm.ss"), "node_id", F.lit("RAS"),
