@@ -109,7 +109,9 @@ def test_line_numbers_follow_the_file(spark, tmp_path):
 
 def test_parsers(spark):
     h = L.parse_hdfs_lines(spark.createDataFrame([("081109 203518 143 INFO dfs.X: got blk_-12 ok",), ("short",)], "value string")).collect()
-    assert h[0]["content"] == "INFO dfs.X: got blk_-12 ok" and h[0]["thread"] == "143" and h[0]["timestamp"].year == 2008
+    assert h[0]["content"] == "INFO dfs.X: got blk_-12 ok" and h[0]["thread"] == "143" and h[0]["timestamp"].year == 2009
+    year_first = L.parse_hdfs_lines(spark.createDataFrame([("081109 203518 143 x",)], "value string"), date_format="yyMMdd").first()
+    assert (year_first["timestamp"].year, year_first["timestamp"].month) == (2008, 11)
     assert h[1]["timestamp"] is None and h[1]["raw"] == "short"
     b = L.parse_bgl_lines(spark.createDataFrame([("- 1117838570 2005.06.03 R02 2005-06-03-15.42.50.363779 R02 RAS KERNEL INFO cache parity error",)], "value string")).first()
     assert (b["is_anomaly"], b["unix_ts"], b["level"], b["message"]) == (False, 1117838570, "INFO", "cache parity error")

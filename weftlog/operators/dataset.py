@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions.columns import truncate_pad
 from weftlog.operators.lookups import attach_label, error_clusters, flag_error_sessions
-from weftlog.operators.sessions import CLUSTER, LINE, SESSION, TS, length_percentiles, with_position
+from weftlog.operators.sessions import CLUSTER, LINE, SESSION, TS, length_percentiles, length_stats, with_position
 from weftlog.operators.skew import ROWS_PER_TASK, ordered
 from weftlog.session import durable
 
@@ -107,11 +107,8 @@ def clean_train(ds: DataFrame, mode: str = "clean", label: str = "label") -> Dat
 
 def choose_max_len(lengths: DataFrame, col: str = "seq_len") -> DataFrame:
     """`max_len` is the 99th percentile cut to a whole number."""
-    stats = length_percentiles(lengths, (50, 95, 99), col)
-    moments = lengths.agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"))
-    key = F.lit(1).alias("k")
-    out = stats.select("*", key).join(moments.select("*", key), "k").drop("k")
-    return out.withColumn("max_len", F.floor("p99").cast("int"))
+    stats = length_stats(lengths, [col], (50, 95, 99)).select("p50", "p95", "p99", "min", "mean", "max")
+    return stats.withColumn("max_len", F.floor("p99").cast("int"))
 
 
 def padded_sequences(events: DataFrame, max_len: int, labels: DataFrame | None = None, pad: int = -1, *,

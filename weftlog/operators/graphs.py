@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import clip_nonneg, log_scale, to_number
 from weftlog.operators.sessions import (
-    CLUSTER, LINE, SESSION, TS, describe_lengths, length_percentiles, session_fingerprint, with_sequence,
+    CLUSTER, LINE, SESSION, TS, length_stats, session_fingerprint, with_sequence,
 )
-from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, hot_keys, ordered
+from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, hot_keys
 
 NODE_SCALARS = [
     "occurrence_count", "param_count", "param_num_mean", "param_num_max",
@@ -252,13 +252,7 @@ def node_edge_stats(nodes: DataFrame, edges: DataFrame, session: str = SESSION)
 
 def graph_distribution(stats: DataFrame) -> DataFrame:
     """describe() and percentiles of seq_len, n_nodes and n_edges, one row each."""
-    out = None
-    for c in ["seq_len", "n_nodes", "n_edges"]:
-        d = describe_lengths(stats, c).withColumn("metric", F.lit(c))
-        p = length_percentiles(stats, (90, 95, 99), c).withColumn("metric", F.lit(c))
-        row = d.join(p, "metric")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return length_stats(stats, ["seq_len", "n_nodes", "n_edges"], (25, 50, 75, 90, 95, 99))
 
 
 def longest_sessions(nodes: DataFrame, k: int, session: str = SESSION) -> DataFrame:
@@ -311,8 +305,9 @@ def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, sessio
     stride coprime to m from a seeded start. Among the first 2e numbers at most e
     are edges, so e non-edges (or all there are) always turn up.
     """
-    idx = ordered(nodes.select(session, cluster), [session], [cluster])
-    index = idx.select(session, cluster, F.col("pos").alias("node_idx"))
+    # A session has at most as many nodes as there are templates.
+    rank = F.row_number().over(Window.partitionBy(session).orderBy(cluster))
+    index = nodes.select(session, cluster, (rank - 1).cast("bigint").alias("node_idx"))
     named = index.groupBy(session).agg(
         F.array_sort(F.collect_list(F.struct("node_idx", cluster)))[cluster].alias("ids")
     )

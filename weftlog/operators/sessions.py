@@ -203,35 +203,36 @@ def session_lengths(events: DataFrame, session: str = SESSION) -> DataFrame:
     return events.groupBy(session).agg(F.count(F.lit(1)).alias("seq_len"))
 
 
-def _length_counts(lengths: DataFrame, col: str = "seq_len") -> DataFrame:
-    # Lengths sum to the number of events, so the distinct lengths are at most
-    # sqrt(2 * events): a group this small is safe in one task.
-    return lengths.groupBy(col).agg(F.count(F.lit(1)).alias("freq"))
-
-
-def describe_lengths(lengths: DataFrame, col: str = "seq_len") -> DataFrame:
-    """count, mean, sample std, min, quartiles, max."""
-    x, f = F.col(col).cast("double"), F.col("freq")
-    stats = _length_counts(lengths, col).agg(
+def length_stats(lengths: DataFrame, cols: Sequence[str], percents: Sequence[float]) -> DataFrame:
+    """One row per column: count, mean, sample std, min, exact percentiles `p<k>`, max.
+
+    The columns are lengths, which sum to at most the number of events, so there are
+    no more than sqrt(2 * events) distinct ones. Counting each value first leaves a
+    group that small for the last task, in one pass for all columns."""
+    long = lengths.select(*cols).unpivot([], list(cols), "metric", "v")
+    counts = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("freq"))
+    x, f, n = F.col("v").cast("double"), F.col("freq"), F.col("count")
+    stats = counts.where(F.col("v").isNotNull()).groupBy("metric").agg(
         F.sum("freq").alias("count"), F.sum(x * f).alias("__s"), F.sum(x * x * f).alias("__ss"),
-        F.min(col).alias("min"), F.max(col).alias("max"),
-        F.percentile(col, [0.25, 0.5, 0.75], F.col("freq")).alias("q"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+        F.percentile("v", [p / 100.0 for p in percents], F.col("freq")).alias("q"),
     )
-    n = F.col("count")
     spread = F.greatest(F.col("__ss") - F.col("__s") * F.col("__s") / n, F.lit(0.0))
     return stats.select(
-        "count", (F.col("__s") / n).alias("mean"),
+        "metric", "count", (F.col("__s") / n).alias("mean"),
         F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std"), "min",
-        *[F.col("q")[i].alias(c) for i, c in enumerate(["p25", "p50", "p75"])], "max",
+        *[F.col("q")[i].alias(f"p{p:g}") for i, p in enumerate(percents)], "max",
     )
 
 
+def describe_lengths(lengths: DataFrame, col: str = "seq_len") -> DataFrame:
+    """count, mean, sample std, min, quartiles, max."""
+    return length_stats(lengths, [col], (25, 50, 75)).drop("metric")
+
+
 def length_percentiles(lengths: DataFrame, percents: Sequence[float] = (50, 75, 90, 95, 99, 100),
                        col: str = "seq_len") -> DataFrame:
-    probs = [p / 100.0 for p in percents]
-    packed = _length_counts(lengths, col).agg(F.percentile(col, probs, F.col("freq")).alias("q"))
-    names = [f"p{p:g}" for p in percents]
-    return packed.select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    return length_stats(lengths, [col], percents).select(*[f"p{p:g}" for p in percents])
 
 
 def fit_fraction(lengths: DataFrame, max_len: int, col: str = "seq_len") -> DataFrame:

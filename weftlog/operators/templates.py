@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,31 +72,32 @@ def number_templates(found: DataFrame) -> DataFrame:
     return rows.select((F.col("pos") + 1).cast("int").alias("cluster_id"), "template", "count", "first_line")
 
 
-def similarity(words: list[str], shape: list[str]) -> float:
-    """Share of positions with equal tokens; a wildcard in the shape counts as different."""
-    same = sum(a == b for a, b in zip(words, shape) if b != WILDCARD)
-    return same / len(shape)
-
-
 def merge_patterns(pdf: pd.DataFrame, sim_th: float) -> pd.DataFrame:
-    """Fold the patterns of one bucket into templates, earliest first line first."""
-    shapes: list[list] = []
-    for row in pdf.sort_values(["first_line", "pattern"]).itertuples(index=False):
-        words = row.pattern.split(" ")
-        best, best_sim = None, -1.0
-        for shape in shapes:
-            sim = similarity(words, shape[0])
-            if sim > best_sim:
-                best, best_sim = shape, sim
-        if best is not None and best_sim >= sim_th:
-            best[0] = [a if a == b else WILDCARD for a, b in zip(best[0], words)]
-            best[1] += row.cnt
-            best[2] = min(best[2], row.first_line)
-        else:
-            shapes.append([words, row.cnt, row.first_line])
-    return pd.DataFrame(
-        [(" ".join(w), int(c), int(f)) for w, c, f in shapes], columns=["pattern", "cnt", "first_line"]
-    )
+    """Fold the patterns of one bucket into templates, earliest first line first.
+
+    A pattern joins the most similar template when the share of equal literal
+    positions reaches `sim_th`; positions that differ become wildcards."""
+    pdf = pdf.sort_values(["first_line", "pattern"], ignore_index=True)
+    codes, words = pd.factorize(np.array([p.split(" ") for p in pdf["pattern"]], dtype=object).ravel())
+    rows = codes.reshape(len(pdf), -1)
+    wild = -1
+    rows = np.where(np.isin(rows, np.flatnonzero(words == WILDCARD)), wild, rows)
+    shapes = np.empty_like(rows)
+    counts, firsts, n = np.zeros(len(pdf), dtype="int64"), np.zeros(len(pdf), dtype="int64"), 0
+    for row, cnt, first in zip(rows, pdf["cnt"], pdf["first_line"]):
+        if n:
+            same = ((shapes[:n] == row) & (shapes[:n] != wild)).mean(axis=1)
+            best = int(same.argmax())
+            if same[best] >= sim_th:
+                shapes[best] = np.where(shapes[best] == row, row, wild)
+                counts[best] += cnt
+                continue
+        shapes[n], counts[n], firsts[n] = row, cnt, first
+        n += 1
+    named = np.append(words, WILDCARD)  # the code -1 reads the last entry
+    return pd.DataFrame({
+        "pattern": [" ".join(named[s]) for s in shapes[:n]], "cnt": counts[:n], "first_line": firsts[:n],
+    })
 
 
 def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_children: int = 100, *,
@@ -106,8 +108,8 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
     Spark does the volume: masking, merging equal texts, bucketing by token count
     and leading tokens, and replacing positions with more than `max_children`
     different tokens. What is left per bucket is folded in Python, in salted pieces
-    of at most about `merge_rows` patterns; rounds repeat until every bucket fits
-    one piece or stops shrinking. The result depends on the lines only.
+    of about `merge_rows` patterns; rounds with other salts repeat until every bucket
+    fits one piece or stops shrinking. The result depends on the lines only.
     """
     texts = durable(_distinct_content(lines, content, line))
     t = tokens("masked")
@@ -131,15 +133,16 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
     )
     state = durable(state)
     schema = "n_tokens int, lead string, pattern string, cnt bigint, first_line bigint"
-    before = None
+    before, stuck, turn = None, 0, 0
     while True:
         sizes = state.groupBy(*bucket).agg(F.count(F.lit(1)).alias("k"))
         total, largest = sizes.agg(F.sum("k"), F.max("k")).first()
-        if total is None or total == before:
+        stuck = stuck + 1 if total == before else 0
+        if total is None or stuck == 3:
             break
         pieces = F.ceil(F.col("k") / merge_rows).cast("int")
         salted = state.join(sizes, bucket).withColumn(
-            "piece", F.pmod(F.xxhash64("pattern"), pieces).cast("int")
+            "piece", F.pmod(F.xxhash64(F.lit(turn), "pattern"), pieces).cast("int")
         ).drop("k")
 
         def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +152,7 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
             return out
 
         state = durable(salted.groupBy(*bucket, "piece").applyInPandas(fold, schema))
-        before = total
+        before, turn = total, turn + 1
         if largest <= merge_rows:
             break
     found = state.groupBy(F.col("pattern").alias("template")).agg(
@@ -328,9 +331,8 @@ def validate_templates(catalog: DataFrame, matched: DataFrame) -> DataFrame:
         F.count_if(F.col("holes") / F.col("size") > 0.7).alias("too_generic"),
         F.count_if((F.col("count") == 1) & (F.col("holes") == 0)).alias("too_specific"),
     )
-    cover = matched.agg(F.avg(F.col("cluster_id").isNotNull().cast("int")).alias("coverage"))
-    key = F.lit(1).alias("k")
-    return stats.select("*", key).join(cover.select("*", key), "k").drop("k")
+    coverage = matched.agg(F.avg(F.col("cluster_id").isNotNull().cast("int"))).first()[0]
+    return stats.withColumn("coverage", F.lit(coverage))
 
 
 # --- enrichment -------------------------------------------------------------

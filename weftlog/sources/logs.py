@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def with_line_no(df: DataFrame) -> DataFrame:
     block start plus the row counter never overtakes the next split of the file."""
     rank = sorted(df.inputFiles())
     files = df.sparkSession.createDataFrame(
-        [(F_path(p), i) for i, p in enumerate(rank)], "__file string, __rank bigint"
+        [(_plain_path(p), i) for i, p in enumerate(rank)], "__file string, __rank bigint"
     )
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = df.select("*", F.col("_metadata.file_path").alias("__file"),
@@ -33,9 +35,7 @@ def with_line_no(df: DataFrame) -> DataFrame:
     return rows.withColumn("line_no", offset + F.col("__start") + F.col("__row")).select(*df.columns, "line_no")
 
 
-def F_path(uri: str) -> str:
-    import re
-
+def _plain_path(uri: str) -> str:
     return re.sub(r"^file:/+", "/", uri)
 
 
@@ -46,10 +46,12 @@ def dense_line_no(df: DataFrame) -> DataFrame:
     return ordered(df, [], ["line_no"]).withColumn("line_no", F.col("pos") + 1).drop("pos", "n")
 
 
-def parse_hdfs_lines(df: DataFrame, value: str = "value") -> DataFrame:
-    """Three header tokens, then the content; level and component stay in the content."""
+def parse_hdfs_lines(df: DataFrame, value: str = "value", date_format: str = "ddMMyy") -> DataFrame:
+    """Three header tokens, then the content; level and component stay in the content.
+
+    Some logs write the year first; pass `date_format='yyMMdd'` for those."""
     parts = F.split(F.col(value), r"\s+", 4)
-    stamp = F.try_to_timestamp(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.lit("ddMMyy HHmmss"))
+    stamp = F.try_to_timestamp(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.lit(f"{date_format} HHmmss"))
     return df.select(
         *[c for c in df.columns if c != value],
         *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(["date", "time", "thread"])],
@@ -57,8 +59,8 @@ def parse_hdfs_lines(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_hdfs_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_hdfs_lines(with_line_no(spark.read.text(path)))
+def read_hdfs_log(spark: SparkSession, path: str, date_format: str = "ddMMyy") -> DataFrame:
+    return parse_hdfs_lines(with_line_no(spark.read.text(path)), date_format=date_format)
 
 
 def parse_bgl_lines(df: DataFrame, value: str = "value") -> DataFrame:
