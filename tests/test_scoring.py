@@ -104,3 +104,51 @@ def test_similarity_does_not_depend_on_blocks(spark):
         for (a, b), s in got.items():
             want = 0.0 if 3 in (a, b) else x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b])
             assert s == pytest.approx(want, abs=1e-12)
+
+
+def test_history_and_registry(spark, tmp_path):
+    import datetime as dt
+
+    from weftlog.operators import lineage as X
+
+    docs = spark.createDataFrame(
+        [("a", [(1, 0.5), (2, 0.9), (3, 0.9)]), ("b", [(1, 0.1)])], "name string, history array<struct<epoch: int, val_f1: double>>")
+    got = {(r["name"], r["epoch"]): r["is_best"] for r in X.history_table(X.explode_history(docs)).collect()}
+    assert got == {("a", 1): False, ("a", 2): False, ("a", 3): True, ("b", 1): True}
+
+    t = [dt.datetime(2026, 1, d) for d in (1, 2)]
+    X.record_run(str(tmp_path), spark.createDataFrame([("r1", "hdfs", "parse", "c", "j", [], t[0]), ("r2", "hdfs", "sequence", "c", "j", ["r1"], t[1])], X.RUN_SCHEMA))
+    X.add_artifact(str(tmp_path), spark.createDataFrame([("r1", "annotated", "/x", t[0])], X.ARTIFACT_SCHEMA))
+    X.update_metrics(str(tmp_path), spark.createDataFrame([("r1", "val", "f1", 0.5, t[0])], X.METRIC_SCHEMA))
+    X.update_metrics(str(tmp_path), spark.createDataFrame([("r1", "val", "f1", 0.7, t[1])], X.METRIC_SCHEMA))
+    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}")
+    assert X.current(read("run_metrics"), ["run_tag", "split", "metric"]).first()["value"] == 0.7
+    assert tuple(X.resolve_inputs(read("runs"), read("run_artifacts")).first()) == ("r2", "r1", "annotated", "/x")
+
+
+def test_report_separates_planted_anomalies(spark, tmp_path):
+    """Sessions that walk the other way round and wait longer get the higher scores."""
+    import random
+
+    from weftlog.operators import graphs as G
+    from weftlog.plans import workflows as W
+    from weftlog.sources import tables as S
+
+    rng, rows, line = random.Random(4), [], 0
+    for s in range(200):
+        odd = s % 10 == 0
+        walk = [1, 2, 3, 4, 5] * 3
+        for i, c in enumerate(reversed(walk) if odd else walk):
+            t = float(i * (50 if odd else 1)) + rng.random() * 0.1
+            rows.append((f"s{s}", line, t, c, [str(1000 if odd else 10)]))
+            line += 1
+    e = spark.createDataFrame(rows, "session_id string, line_no bigint, ts double, cluster_id int, parameters array<string>")
+    truth = e.select("session_id").distinct().withColumn("label", (F.substring("session_id", 2, 9).cast("int") % 10 == 0).cast("int"))
+    split = D.stratified_split(truth)
+    nodes, edges = G.session_graphs(e)
+    emb = spark.createDataFrame([(i, [1.0]) for i in range(1, 6)], "cluster_id int, embedding array<double>")
+    tables = {"nodes": nodes, "edges": edges, "sequences": D.padded_sequences(e, 15).join(split, "session_id"), "embeddings": emb}
+    S.write_dataset(str(tmp_path / "d"), tables, D.dataset_meta(split, 15, 1))
+    report = W.dataset_to_report(spark, str(tmp_path / "d"), str(tmp_path), node_codes=3, edge_codes=3)
+    assert report.test.first()["roc_auc"] > 0.95
+    assert {r["status"] for r in report.leakage.collect()} <= {"PASS", "INFO"}

@@ -11,7 +11,7 @@ from weftlog.functions.columns import clip_nonneg, log_scale, to_number
 from weftlog.operators.sessions import (
     CLUSTER, LINE, SESSION, TS, length_stats, session_fingerprint, with_sequence,
 )
-from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, hot_keys
+from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, hot_keys, split_hot
 
 NODE_SCALARS = [
     "occurrence_count", "param_count", "param_num_mean", "param_num_max",
@@ -60,7 +60,8 @@ def graph_nodes(
     """One node per (session, cluster) with occurrence, parameter and position features.
 
     Parameters are reduced inside each row first, so nothing is exploded and the
-    shuffle carries numbers only. `scale='log'` compresses the first four.
+    shuffle carries numbers only. Positions are summed as doubles, which is exact
+    while the sum stays below 2^53 and cannot overflow beyond. `scale='log'` compresses the first four.
     """
     keep = [c for c in (session, ts, line, cluster, params, "pos", "n", "norm_pos", "delta_us") if c in events.columns]
     slim = with_param_stats(events.select(*keep), params, finite_only=scale == "log")
@@ -74,7 +75,7 @@ def graph_nodes(
         F.when(has, F.max("num_max")).otherwise(F.lit(0.0)).alias("param_num_max"),
         (F.min("pos") / span).alias("first_pos"),
         (F.max("pos") / span).alias("last_pos"),
-        (F.sum("pos") / (F.count(F.lit(1)) * span)).alias("mean_pos"),
+        (F.sum(F.col("pos").cast("double")) / (F.count(F.lit(1)).cast("double") * span)).alias("mean_pos"),
         F.stddev_pop("norm_pos").alias("std_pos"),
         ((F.max("pos") - F.min("pos")) / span).alias("pos_spread"),
     )
@@ -94,7 +95,19 @@ def graph_edges(
     """
     # An edge group cannot outgrow its session, so one look at the sessions is enough.
     hot = hot_keys(events, [session], rows_per_task) if hot is None else hot
-    rows = _sequenced(events, rows_per_task, session=session, ts=ts, line=line, cluster=cluster, hot=hot)
+    names = dict(session=session, ts=ts, line=line, cluster=cluster)
+    if not hot or "delta_us" in events.columns:
+        rows = _sequenced(events, rows_per_task, hot=hot, **names)
+        return _edges(rows, scale, bool(hot), session, cluster, rows_per_task)
+    rest, part = split_hot(events, [session], hot)
+    few = sum(r["__rows"] for r in hot)
+    cold_rows = with_sequence(rest, hot=[], **names)
+    hot_rows = with_sequence(part, hot_rows=few, rows_per_task=rows_per_task, **names)
+    return _edges(cold_rows, scale, False, session, cluster, rows_per_task).unionByName(
+        _edges(hot_rows, scale, True, session, cluster, rows_per_task))
+
+
+def _edges(rows: DataFrame, scale: str, hot: bool, session: str, cluster: str, rows_per_task: int) -> DataFrame:
     delta = F.col("delta_us") if scale == "raw" else clip_nonneg("delta_us")
     pairs = rows.where(F.col("pos") < F.col("n") - 1).select(
         session, F.col(cluster).alias("src"), F.col(f"next_{cluster}").alias("dst"),
@@ -106,8 +119,8 @@ def graph_edges(
         cnt.alias("weight"),
         F.min("delta_us").alias("td_min"), F.max("delta_us").alias("td_max"),
         F.stddev_pop("delta_us").alias("td_std"),
-        (F.sum("pos") / (cnt * span)).alias("mean_src_pos"),
-        (F.sum(F.col("pos") + 1) / (cnt * span)).alias("mean_dst_pos"),
+        (F.sum(F.col("pos").cast("double")) / (cnt.cast("double") * span)).alias("mean_src_pos"),
+        (F.sum(F.col("pos") + F.lit(1.0)) / (cnt.cast("double") * span)).alias("mean_dst_pos"),
         (F.lit(1.0) / span).alias("mean_pos_delta"),
     ]
     quart = F.percentile("delta_us", [0.25, 0.5, 0.75]).alias("__q")

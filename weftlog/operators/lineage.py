@@ -31,12 +31,16 @@ def best_per_metric(results: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return results.withColumns(flags)
 
 
-def history_table(results: DataFrame) -> DataFrame:
-    """One row per experiment and epoch; the best epoch has the highest validation F1,
-    the later one on a tie."""
-    best = F.array_max(F.transform("history", lambda h: F.struct(h["val_f1"].alias("f1"), h["epoch"].alias("epoch"))))
-    rows = results.select("name", best["epoch"].alias("best_epoch"), F.explode("history").alias("h"))
-    return rows.select("name", "h.*", (F.col("h.epoch") == F.col("best_epoch")).alias("is_best"))
+def explode_history(results: DataFrame) -> DataFrame:
+    """Long form of the per-epoch history kept as an array in each result document."""
+    return results.select("name", F.explode("history").alias("h")).select("name", "h.*")
+
+
+def history_table(history: DataFrame, name: str = "name") -> DataFrame:
+    """Flag the best epoch of each experiment: highest validation F1, the later one on a tie."""
+    best = history.groupBy(name).agg(F.max(F.struct("val_f1", "epoch")).alias("b"))
+    rows = history.join(best.select(name, F.col("b.epoch").alias("best_epoch")), name)
+    return rows.withColumn("is_best", F.col("epoch") == F.col("best_epoch")).drop("best_epoch")
 
 
 def record_run(path: str, run: DataFrame) -> None:

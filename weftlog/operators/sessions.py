@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.operators.skew import ROWS_PER_TASK, first_by, nulls_last, ordered
+from weftlog.operators.skew import ROWS_PER_TASK, first_by, nulls_last, ordered, sliced
 
 SESSION, TS, LINE, CLUSTER = "session_id", "ts", "line_no", "cluster_id"
 # Longest piece of one session that is packed into a single row or hashed at once.
@@ -65,14 +65,19 @@ def sort_events(events: DataFrame, session: str = SESSION, ts: str = TS, line: s
 def with_sequence(
     events: DataFrame, *, session: str = SESSION, ts: str = TS, line: str = LINE,
     cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK, hot: list | None = None,
+    hot_rows: int = 0,
 ) -> DataFrame:
     """Position, session length, next cluster and delta of each event, in one pass.
 
     Adds `pos`, `n`, `norm_pos`, `next_cluster_id`, `next_ts` and `delta_us`
-    (microseconds to the next event, null when either time is missing).
+    (microseconds to the next event, null when either time is missing). `hot_rows`
+    says that all rows belong to hot sessions, and how many they are.
     """
-    rows = ordered(events, [session], [ts, line], lead=[cluster, ts],
-                   rows_per_task=rows_per_task, hot=hot)
+    lead = [cluster, ts]
+    if hot_rows:
+        rows = sliced(events, [session], [ts, line], hot_rows, lead=lead, rows_per_task=rows_per_task)
+    else:
+        rows = ordered(events, [session], [ts, line], lead=lead, rows_per_task=rows_per_task, hot=hot)
     delta = micros(F.col(f"next_{ts}")) - micros(F.col(ts))
     if not events.schema[ts].dataType.typeName().startswith("timestamp"):
         delta = F.round((F.col(f"next_{ts}") - F.col(ts)).cast("double") * 1e6).cast("bigint")

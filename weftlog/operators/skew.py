@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftlog.session import durable
 
@@ -94,19 +95,29 @@ def ordered(
         hot_rows = total if total > rows_per_task else 0
     if not hot_rows:
         return _plain(df, keys, order, lead, sums)
+    if not keys:
+        return sliced(df, keys, order, hot_rows, lead=lead, sums=sums, rows_per_task=rows_per_task)
+    rest, part = split_hot(df, keys, hot)
+    done = sliced(part, keys, order, hot_rows, lead=lead, sums=sums, rows_per_task=rows_per_task)
+    return _plain(rest, keys, order, lead, sums).unionByName(done)
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot: list) -> tuple[DataFrame, DataFrame]:
+    """(other rows, rows of the hot keys) for a result of `hot_keys`."""
+    schema = StructType([df.schema[k] for k in keys])
+    names = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema=schema)
+    # At most MAX_HOT_KEYS rows, so both broadcasts are bounded.
+    few = F.broadcast(names)
+    return df.join(few, list(keys), "left_anti"), df.join(few, list(keys), "left_semi")
 
-    if keys:
-        schema = [df.schema[k] for k in keys]
-        names = df.sparkSession.createDataFrame(
-            [tuple(r[k] for k in keys) for r in hot], schema=_struct(schema)
-        )
-        # At most MAX_HOT_KEYS rows, so both broadcasts are bounded.
-        part = df.join(F.broadcast(names), keys, "left_semi")
-        rest = df.join(F.broadcast(names), keys, "left_anti")
-    else:
-        part, rest = df, None
 
-    cut = slices(part, keys + order, -(-hot_rows // rows_per_task))
+def sliced(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, *,
+    lead: Sequence[str] = (), sums: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """`ordered` for `rows` rows in groups of any size, slice by slice."""
+    keys, order = list(keys), list(order)
+    cut = slices(df, keys + order, -(-rows // rows_per_task))
     local = _windowed(cut, keys + [_SLICE], order, lead, sums)
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.sum(c).alias(f"__s_{c}") for c in sums]
@@ -142,10 +153,7 @@ def ordered(
         out.append((F.col(f"cum_{c}") + offset).alias(f"cum_{c}"))
     out.append(F.col("n"))
     out += [F.col(f"tot_{c}") for c in sums]
-    done = joined.select(*out)
-    if rest is None:
-        return done
-    return _plain(rest, keys, order, lead, sums).unionByName(done)
+    return joined.select(*out)
 
 
 def _plain(df, keys, order, lead, sums):
@@ -155,12 +163,6 @@ def _plain(df, keys, order, lead, sums):
     return _windowed(df, keys, order, lead, sums).select("*", *cols)
 
 
-def _struct(fields):
-    from pyspark.sql.types import StructType
-
-    return StructType(list(fields))
-
-
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -10,6 +10,7 @@ from weftlog.operators import graphs as G
 from weftlog.operators import lookups as J
 from weftlog.operators import sessions as K
 from weftlog.operators import templates as T
+from weftlog.operators.skew import ordered
 from weftlog.plans import views as V
 from weftlog.plans.registry import joined, query, r6, rounded, s6
 from weftlog.plans.session_queries import seq_sql
@@ -83,18 +84,13 @@ def s2(spark, sf):
     SELECT count(*) AS lines, count(*) AS distinct_numbers, CAST(0 AS BIGINT) AS out_of_order FROM events""")
 def s3(spark, sf):
     """Events written sorted by id must come back in that order."""
-    from pyspark.sql import Window
-
     path = scratch_path(spark, "ordered-lines")
     V.v_raw_hdfs(spark, sf).repartitionByRange(6, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
-    rows = L.with_line_no(spark.read.text(path))
     event = F.regexp_extract("value", r"event (\d+)", 1).cast("bigint")
-    # Neighbours are compared inside ranges of line numbers, so no window spans all lines.
-    rows = rows.select("line_no", event.alias("ev"), F.shiftright("line_no", 43).alias("file"))
-    back = F.lag("ev").over(Window.partitionBy("file").orderBy("line_no"))
-    return rows.withColumn("back", back).agg(
+    rows = L.with_line_no(spark.read.text(path)).select("line_no", event.alias("ev"))
+    return ordered(rows, [], ["line_no"], lead=["ev"]).agg(
         F.count("*").alias("lines"), F.countDistinct("line_no").alias("distinct_numbers"),
-        F.count_if(F.col("back") > F.col("ev")).alias("out_of_order"))
+        F.count_if(F.col("next_ev") < F.col("ev")).alias("out_of_order"))
 
 
 @query("s4_extract_block_id", r"SELECT line_no, nullif(regexp_extract(value, 'blk_-?\d+', 0), '') AS block_id FROM v_raw_hdfs", ["v_raw_hdfs"])

@@ -156,16 +156,13 @@ def v_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as pipeline runs; a run depends on the customer's previous order."""
-    from pyspark.sql import Window
-
+    """Orders as runs of their customer's data set. In the SQL a run also names the one before it."""
     o = table(spark, sf, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return o.select(
         F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("run_tag"),
         F.col("o_custkey").alias("dataset"), F.col("o_orderstatus").alias("stage"),
         F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("created"),
-        F.lag("o_orderkey").over(w).alias("previous"), F.col("o_totalprice").alias("price"),
+        F.col("o_totalprice").alias("price"),
     )
 
 
