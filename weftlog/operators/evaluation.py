@@ -218,6 +218,6 @@ def leakage_report(ds: DataFrame, scaler_source: str = "train", mode: str = "cle
 
 
 def loss_proportions(history: DataFrame) -> DataFrame:
-    """Share of each component in the total loss per epoch."""
-    total = F.col("structure") + F.col("node") + F.col("edge")
-    return history.withColumns({f"{c}_share": F.when(total == 0, F.lit(0.0)).otherwise(F.col(c) / total) for c in COMPONENTS})
+    """Percentage of each component in the total loss per epoch; undefined (null) when the total is 0."""
+    total = F.nullif(F.col("structure") + F.col("node") + F.col("edge"), F.lit(0.0))
+    return history.withColumns({f"{c}_pct": 100.0 * F.col(c) / total for c in COMPONENTS})

@@ -337,9 +337,9 @@ def f14(spark, sf):
 
 @query("f15_scan_raw", """
     SELECT count(*) AS total, count(*) FILTER (line_no <= 5000) AS inside, count(*) FILTER (line_no > 5000) AS beyond
-    FROM v_raw_hdfs WHERE contains(value, 'blk_42')""", ["v_raw_hdfs"])
+    FROM v_raw_hdfs WHERE contains(value, 'blk_7')""", ["v_raw_hdfs"])
 def f15(spark, sf):
-    return T.scan_raw(V.v_raw_hdfs(spark, sf), "blk_42", 5000, raw="value")
+    return T.scan_raw(V.v_raw_hdfs(spark, sf), "blk_7", 5000, raw="value")
 
 
 # --- templates --------------------------------------------------------------
@@ -401,9 +401,9 @@ def t5(spark, sf):
 
 @query("t6_block_coverage", f"""
     WITH {MATCH} SELECT count(*) AS total, count(cid) AS matched, count(*) - count(cid) AS unmatched FROM match
-    WHERE contains(content, 'blk_42') """, ["v_events"])
+    WHERE contains(content, 'blk_7') """, ["v_events"])
 def t6(spark, sf):
-    return T.block_coverage(raw_hdfs(spark, sf), raw_catalog(spark, sf), "blk_42")
+    return T.block_coverage(raw_hdfs(spark, sf), raw_catalog(spark, sf), "blk_7")
 
 
 def stub_enricher(batches):

@@ -595,12 +595,13 @@ def e12(spark, sf):
 @query("e13_loss_proportions", f"""
     WITH h AS (SELECT window_id AS epoch, avg(CASE WHEN cluster_id = 1 THEN value ELSE 0 END) AS structure, avg(CASE WHEN cluster_id = 2 THEN value ELSE 0 END) AS node,
                avg(CASE WHEN cluster_id = 3 THEN value ELSE 0 END) AS edge FROM v_events GROUP BY 1)
-    SELECT epoch, {s6('structure / (structure + node + edge)')} AS structure_share, {s6('node / (structure + node + edge)')} AS node_share, {s6('edge / (structure + node + edge)')} AS edge_share FROM h""", ["v_events"])
+    SELECT epoch, {s6('100 * structure / nullif(structure + node + edge, 0)')} AS structure_pct, {s6('100 * node / nullif(structure + node + edge, 0)')} AS node_pct,
+           {s6('100 * edge / nullif(structure + node + edge, 0)')} AS edge_pct FROM h""", ["v_events"])
 def e13(spark, sf):
     part = lambda i: F.avg(F.when(F.col("cluster_id") == i, F.col("value")).otherwise(0.0))
     h = V.v_events(spark, sf).groupBy(F.col("window_id").alias("epoch")).agg(part(1).alias("structure"), part(2).alias("node"), part(3).alias("edge"))
     out = E.loss_proportions(h)
-    return rounded(out.drop("structure", "node", "edge"), "structure_share", "node_share", "edge_share")
+    return rounded(out.drop("structure", "node", "edge"), "structure_pct", "node_pct", "edge_pct")
 
 
 # --- lineage ----------------------------------------------------------------

@@ -201,9 +201,9 @@ def o3(spark, sf):
 
 @query("o4_session_listing", """
     SELECT row_number() OVER (ORDER BY ts, line_no) - 1 AS pos, line_no, cluster_id, left(template, 20) AS preview,
-           parameters[1] || ';' || parameters[2] AS params FROM v_events WHERE session_id = 'blk_42'""", ["v_events"])
+           parameters[1] || ';' || parameters[2] AS params FROM v_events WHERE session_id = 'blk_7'""", ["v_events"])
 def o4(spark, sf):
-    rows = K.session_listing(V.v_events(spark, sf), "blk_42", preview=20)
+    rows = K.session_listing(V.v_events(spark, sf), "blk_7", preview=20)
     return rows.select("pos", "line_no", "cluster_id", "preview", F.array_join("parameters", ";").alias("params"))
 
 
