@@ -38,7 +38,10 @@ def rows_of(columns, rows):
 
 def compare(spark, con, name, fn, sql, sf):
     """None when both agree, else a short description."""
-    out = fn(spark, f"{ROOT}/sf{sf}")
+    return compare_rows(fn(spark, f"{ROOT}/sf{sf}"), con, sql)
+
+
+def compare_rows(out, con, sql):
     got = out.collect()
     if sql is None:
         return None if got else "no rows"

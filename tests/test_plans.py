@@ -19,12 +19,6 @@ def test_one_shuffle_serves_windows_and_groups(spark, name):
     assert len(re.findall("Exchange hashpartitioning", plan(spark, name))) == 1
 
 
-@pytest.mark.parametrize("name", [n for n in entry_module.queries() if not n.startswith("flow")])
-def test_no_cross_join(spark, name):
-    text = plan(spark, name)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_matching_a_small_catalog_moves_no_lines(spark):
     text = plan(spark, "j5_match_templates")
     # Exchanges: the four packed catalog sides and the spreading of the rendered lines.

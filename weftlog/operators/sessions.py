@@ -318,13 +318,21 @@ def window_label(events: DataFrame, window: str = "window_id") -> DataFrame:
     return events.groupBy(window).agg(F.bool_or("is_anomaly").cast("int").alias("label"))
 
 
-def cluster_counts(events: DataFrame, session_id: str | None = None, *, session: str = SESSION,
-                   cluster: str = CLUSTER, preview: int = 80) -> DataFrame:
-    """Firings per template with a preview; for one session or for all of them."""
+def cluster_counts(events: DataFrame, session_id: str | None = None, catalog: DataFrame | None = None, *,
+                   session: str = SESSION, cluster: str = CLUSTER, preview: int = 80) -> DataFrame:
+    """Firings per template with a preview; for one session or for all of them.
+
+    Events are only counted; the texts come from the catalog (by default the
+    distinct templates of the events) afterwards."""
+    from weftlog.operators.lookups import attach_template
+
+    if catalog is None:
+        pairs = events.select(cluster, "template").distinct()
+        catalog = pairs.groupBy(cluster).agg(F.min("template").alias("template"))
     rows = events if session_id is None else events.where(F.col(session) == session_id)
-    return rows.groupBy(session, cluster).agg(
-        F.count(F.lit(1)).alias("firings"), F.left(F.min("template"), F.lit(preview)).alias("preview")
-    )
+    counts = rows.groupBy(session, cluster).agg(F.count(F.lit(1)).alias("firings"))
+    named = attach_template(counts, catalog, cluster)
+    return named.select(session, cluster, "firings", F.left(F.col("template"), F.lit(preview)).alias("preview"))
 
 
 def collapse_accounting(events: DataFrame, session: str = SESSION, cluster: str = CLUSTER) -> DataFrame:
