@@ -360,18 +360,23 @@ def j6(spark, sf):
     return T.unmatched_lines(raw_hdfs(spark, sf), raw_catalog(spark, sf)).select("line_no", "content")
 
 
-@query("t1_mine_templates")
-def t1(spark, sf):
-    return T.mine_templates(raw_hdfs(spark, sf))
-
-
-@query("t2_mine_templates_positional", rf"""
+# In these lines every bucket is one template whose variable positions differ, so the
+# similarity miner and the positional one must both give what this SQL gives.
+POSITIONAL = rf"""
     WITH m AS (SELECT line_no, string_split(regexp_replace(regexp_replace({CONTENT}, 'blk_-?\d+', '<BLK>', 'g'), '/?\d+\.\d+\.\d+\.\d+(:\d+)?', '<IP>', 'g'), ' ') AS t FROM v_raw_hdfs),
     b AS (SELECT len(t) AS n, t[1] || ' ' || t[2] AS lead, count(*) AS c, min(line_no) AS first_line FROM m GROUP BY 1, 2),
     x AS (SELECT len(t) AS n, t[1] || ' ' || t[2] AS lead, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM m),
     y AS (SELECT n, lead, i, CASE WHEN count(DISTINCT w) > 1 THEN '<*>' ELSE min(w) END AS w FROM x GROUP BY 1, 2, 3),
     z AS (SELECT n, lead, string_agg(w, ' ' ORDER BY i) AS template FROM y GROUP BY 1, 2)
-    SELECT CAST(row_number() OVER (ORDER BY first_line) AS INT) AS cluster_id, template, c AS count, first_line FROM b JOIN z ON b.n = z.n AND b.lead = z.lead""", ["v_raw_hdfs"])
+    SELECT CAST(row_number() OVER (ORDER BY first_line) AS INT) AS cluster_id, template, c AS count, first_line FROM b JOIN z ON b.n = z.n AND b.lead = z.lead"""
+
+
+@query("t1_mine_templates", POSITIONAL, ["v_raw_hdfs"])
+def t1(spark, sf):
+    return T.mine_templates(raw_hdfs(spark, sf))
+
+
+@query("t2_mine_templates_positional", POSITIONAL, ["v_raw_hdfs"])
 def t2(spark, sf):
     return T.mine_templates_positional(raw_hdfs(spark, sf))
 

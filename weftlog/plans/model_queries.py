@@ -378,6 +378,15 @@ def m2(spark, sf):
     return M.reconstruction_error(scaled, M.fit_vector_reconstructor(is_train(scaled), 8)).select("session_id", "error")
 
 
+@query("m2_full_rank_error", "SELECT vec_id AS session_id, 0.0::DOUBLE AS error FROM embeddings")
+def m2_full(spark, sf):
+    """With as many codes as dimensions nothing is lost."""
+    v = vectors(spark, sf)
+    scaled = D.apply_scaler(v, D.fit_scaler(is_train(v)))
+    out = M.reconstruction_error(scaled, M.fit_vector_reconstructor(is_train(scaled), 64)).select("session_id", "error")
+    return rounded(out, "error")
+
+
 TRANS = """ed AS (SELECT session_id, cluster_id AS src, next_cluster_id AS dst, count(*) AS weight FROM seq WHERE pos < n - 1 GROUP BY 1, 2, 3),
     tr AS (SELECT * FROM ed WHERE session_id % 3 = 0), pw AS (SELECT src, dst, sum(weight)::DOUBLE AS w FROM tr GROUP BY 1, 2),
     vv AS (SELECT count(*)::DOUBLE AS v FROM (SELECT src FROM pw UNION SELECT dst FROM pw)), tot AS (SELECT src, sum(w) AS t FROM pw GROUP BY 1)"""

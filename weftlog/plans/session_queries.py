@@ -433,6 +433,22 @@ def gx(spark, sf):
     return G.negative_edges(nodes, G.graph_edges_basic(e).select("session_id", "src", "dst"))
 
 
+@query("gx_negative_edge_counts", f"""
+    WITH {seq_sql('v_items')}, e AS (SELECT DISTINCT session_id, cluster_id AS src, next_cluster_id AS dst FROM seq WHERE pos < n - 1),
+    k AS (SELECT session_id, count(DISTINCT cluster_id) AS k FROM seq GROUP BY 1),
+    c AS (SELECT session_id, count(*) AS e, count(*) FILTER (src <> dst) AS x FROM e GROUP BY 1)
+    SELECT k.session_id, least(e, k * (k - 1) - x) AS negatives, CAST(0 AS BIGINT) AS real_edges, CAST(0 AS BIGINT) AS loops
+    FROM k JOIN c ON k.session_id = c.session_id WHERE least(e, k * (k - 1) - x) > 0""", ["v_items"])
+def gx_counts(spark, sf):
+    e = V.v_items(spark, sf)
+    edges = G.graph_edges_basic(e).select("session_id", "src", "dst")
+    neg = G.negative_edges(e.select("session_id", "cluster_id").distinct(), edges).distinct()
+    marked = neg.join(edges.withColumn("real", F.lit(1)), ["session_id", "src", "dst"], "left")
+    return marked.groupBy("session_id").agg(
+        F.count("*").alias("negatives"), F.count("real").alias("real_edges"),
+        F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+
+
 # --- joins over graphs ------------------------------------------------------
 
 @query("j8_edges_to_index", f"""
