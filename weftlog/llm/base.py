@@ -46,6 +46,20 @@ def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str) -> D
     return df.mapInArrow(run, schema)
 
 
+def with_column(df: DataFrame, inputs: list[str], fn: Callable[..., list], name: str, ddl: str) -> DataFrame:
+    """`df` with one more column, `fn(lists of the input columns)`; all other columns pass as they are."""
+    order = [df.columns.index(c) for c in inputs]
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {ddl}").fields])
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            new = pa.array(fn(*[batch.column(i).to_pylist() for i in order]), type=fields.field(name).type)
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, fields)], new], schema=fields)
+
+    return df.mapInArrow(run, schema)
+
+
 def as_batch(out: dict, fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.llm import chat, packing, quality, tokenfile, tokens
+from weftlog.llm import chat, decontaminate, htmlmain, langid, packing, quality, tokenfile, tokens
 from weftlog.llm.base import store, table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,12 +40,22 @@ def op2_token_files(spark, sf_dir):
     return tokenfile.read_token_files(manifest)
 
 
+@query("op3_benchmark_leaks")
+def op3_benchmark_leaks(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op5_html_main_text")
+def op5_html_main_text(spark, sf_dir):
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 # The escaped form of a turn, and whether the parser would not give it back as it is.
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
 OP7_SQL = rf"""
@@ -80,3 +90,8 @@ def op7_chat_format(spark, sf_dir):
 @query("op9_packing")
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
