@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.llm import chat, decontaminate, htmlmain, langid, packing, quality, tokenfile, tokens
+from weftlog.llm import chat, decontaminate, htmlmain, langid, packing, quality, suffixes, tokenfile, tokens
 from weftlog.llm.base import store, table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op7_chat_format(spark, sf_dir):
     return chat.digests(store(chat.format_conversations(given.unionByName(extra)), "chats"))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.removal_digests(suffixes.with_removals(docs))
+
+
 @query("op9_packing")
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
