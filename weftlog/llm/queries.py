@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.llm import chat, decontaminate, htmlmain, langid, packing, quality, suffixes, tokenfile, tokens
+from weftlog.llm import chat, decontaminate, htmlmain, langid, nearedup, packing, quality, suffixes, tokenfile, tokens
 from weftlog.llm.base import store, table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op9_packing(spark, sf_dir):
 @query("op10_language_id")
 def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark, sf_dir):
+    return nearedup.groups(table(spark, sf_dir, "documents"))
