@@ -1,8 +1,75 @@
-"""Corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, packing."""
+"""Corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, packing.
 
-STAGES = []
+Each stage takes the documents its predecessor kept and returns documents of the same columns;
+the last returns packed sequences. A stage's result is written once and read back, so a lost
+executor costs at most the stage that runs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftlog.llm import decontaminate, nearedup, packing, quality, suffixes
+from weftlog.llm.base import store, table, tuned
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the divergence tests; null text does not pass.
+
+    Rows are judged where they are read: all columns travel through the rules.
+    """
+    tuned(spark)
+    return quality.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id; of repeated rows one stays."""
+    tuned(spark)
+    kept = nearedup.groups(docs).where("kept").select("doc_id").distinct()
+    one = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return one.dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated strings; one that has no word left goes."""
+    tuned(spark)
+    rest = suffixes.kept_text(suffixes.with_removals(docs))
+    changed = F.size("removed") > 0
+    out = rest.withColumn("text", F.when(changed, F.col("rest")).otherwise(F.col("text")))
+    out = out.withColumn("n_chars", F.when(changed, F.char_length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    tuned(spark)
+    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences in length buckets and batches of a token budget."""
+    tuned(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("benchmark leaks", benchmark_leaks),
+    ("packing", packed_sequences),
+]
+
+# Hash forests, suffix runs and length buckets have no counterpart in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = store(docs, f"stage{k + 1}")
+    return docs

@@ -43,7 +43,10 @@ CLASSES = (
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words and the base columns of every row; null text has no words."""
+    """`row`, doc_id, lang, words and the base columns of every row; null text has no words.
+
+    `row` is what the document was, so that columns of any name pass through.
+    """
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -51,7 +54,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
     # the lambda it would be computed again for every window.
     n = F.size("codes")
     keyed = (
-        docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
         .select("*", words.alias("words"), lines.alias("lines"))
         .select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
         .select("*", n.cast("bigint").alias("n_words"), F.when(n >= WINDOW_WORDS, F.transform(
@@ -69,7 +72,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return (
         keyed.withColumn("placed", F.when(repeated, placed))
         .withColumn("at", F.when(F.col("placed").isNotNull(), at))
-        .select("doc_id", "lang", "text", "words", "n_words",
+        .select("row", "doc_id", "lang", "text", "words", "n_words",
                 F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
                 F.char_length(F.regexp_replace("text", SYMBOLS, "")).cast("bigint").alias("n_symbols"),
                 (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
@@ -130,13 +133,27 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
         F.transform(places, lambda s: F.try_element_at("by_slot", s)["q"]).alias("slot_share"))
 
 
-def judge(docs: DataFrame, *, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-          common_words: int = COMMON_WORDS) -> DataFrame:
+def judge(docs: DataFrame, **how) -> DataFrame:
     """doc_id, the base columns, base_failed, class_distance, word_distance and kept per row of `docs`.
 
     A distance is null where its guard holds or the language has no reference; a null distance
     rejects nothing. Null text has no words and fails the base rules. Repeated rows are judged alike.
     """
+    return _judged(docs, **how).drop("row")
+
+
+def accepted(docs: DataFrame, **how) -> DataFrame:
+    """The documents that `judge` keeps, with all their columns.
+
+    A plain filter would be pushed below the measures and compute them once for every use; rows
+    are dropped by a generator, which stays where it is.
+    """
+    verdict = _judged(docs, **how).select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return verdict.where(F.col("row").isNotNull()).select("row.*")
+
+
+def _judged(docs: DataFrame, *, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
+            common_words: int = COMMON_WORDS) -> DataFrame:
     refs = store(references(docs, common_words), "references")
     # About 8 kB per language; counted before it is given to every task.
     if refs.count() > MAX_LANGUAGES:
@@ -163,5 +180,5 @@ def judge(docs: DataFrame, *, max_class: float = MAX_CLASS_DISTANCE, max_word: f
         .withColumn("word_distance", F.when(F.col("codes").isNotNull(), distance(words)))
     )
     far = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word, F.lit(False))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return scored.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
