@@ -11,11 +11,12 @@ from __future__ import annotations
 import functools
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
-# Entries of a memo before it starts afresh: about 60 MB of a worker's memory.
-MEMO_ENTRIES = 300_000
+# Entries of a memo before it starts afresh: about 150 MB of a worker's memory.
+MEMO_ENTRIES = 900_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -50,46 +51,70 @@ class WordMemo:
             self.kind = "dropped"
         else:
             self.kind = "whole"
-        self.memo: dict[str, bytes] = {"": b""}
+        # Encodings of words after a space (or of any word, where spaces vanish) and of words that start a line.
+        self.inner: dict[str, bytes] = {"": b""}
+        self.first: dict[str, bytes] = {}
         self.breaks = self._ids("\n") if self.kind == "prefixed" else b""
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Parts of `text` whose encodings concatenate to its own, or None if that is not proven.
+    def pieces(self, text: str) -> list[list[str]] | None:
+        """Lines of words whose encodings concatenate to that of `text`, or None if that is not proven.
 
         dropped: no pre-token holds a space or line break and no normalization step reaches
         across one, so both always separate. prefixed: a single space between two characters
         that are not white space starts a pre-token, and a single line break there is one.
         """
         if self.kind == "dropped":
-            return text.replace("\n", " ").split(" ")
-        if self.kind == "prefixed":
-            out: list[str] = []
-            for line in text.split("\n"):
-                words = line.split()
-                if not words or " ".join(words) != line:
-                    return None
-                if out:
-                    out.append("\n")
-                out.append(words[0])
-                out += [" " + w for w in words[1:]]
-            return out
-        return None
+            return [text.replace("\n", " ").split(" ")]
+        if self.kind != "prefixed":
+            return None
+        out = []
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:
+                return None
+            out.append(words)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo = self.memo = {"": b""}
-        new = set().union(*[p for p in split if p]) - memo.keys()
-        if new:
-            words = list(new)
-            for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
-                memo[w] = np.asarray(e.ids, dtype=self.dtype).tobytes()
-        get = memo.__getitem__
-        return [self._ids(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+        if len(self.inner) > MEMO_ENTRIES:
+            self.inner = {"": b""}
+        if len(self.first) > MEMO_ENTRIES // 10:
+            self.first = {}
+        heads, seen = set(), set()
+        if self.kind == "prefixed":
+            for lines in split:
+                for words in lines or ():
+                    heads.add(words[0])
+        for lines in split:
+            for words in lines or ():
+                seen.update(words)
+        self._learn(self.inner, seen, " " if self.kind == "prefixed" else "")
+        self._learn(self.first, heads, "")
+        inner, first = self.inner.__getitem__, self.first
+        if self.kind == "prefixed":
+            def line(words: list[str]) -> bytes:
+                head, words[0] = first[words[0]], ""
+                return head + b"".join(map(inner, words))
+        else:
+            def line(words: list[str]) -> bytes:
+                return b"".join(map(inner, words))
+        return [self._ids(t) if p is None else self.breaks.join(map(line, p)) for t, p in zip(texts, split)]
+
+    def _learn(self, memo: dict[str, bytes], words: set[str], prefix: str) -> None:
+        new = [w for w in words if w not in memo]
+        if not new:
+            return
+        found = [e.ids for e in self.tok.encode_batch_fast([prefix + w for w in new] if prefix else new, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), dtype=self.dtype).tobytes()
+        at = 0
+        for w, ids in zip(new, found):
+            end = at + len(ids) * self.width
+            memo[w] = flat[at:end]
+            at = end
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(b) // self.width for b in self.encode(texts)]

@@ -62,7 +62,7 @@ def sequence_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def count(ids, texts):
         width = bpe.word_memo(tokenizer_path).width
-        return {"doc_id": ids, "n_tokens": [len(b) // width for b in tokens.token_ids(tokenizer_path, texts)]}
+        return {"doc_id": ids, "n_tokens": [len(b) // width for b in tokens.token_ids(tokenizer_path, texts, chunk=None)]}
 
     return map_batches(slim, count, "doc_id bigint, n_tokens bigint")
 

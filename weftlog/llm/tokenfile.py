@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, path
     def encode(ids, texts):
         memo = bpe.word_memo(tokenizer_path)
         end = np.asarray([end_id], dtype=memo.dtype).tobytes()
-        coded = [b + end for b in tokens.token_ids(tokenizer_path, texts)]
+        coded = [b + end for b in tokens.token_ids(tokenizer_path, texts, chunk=None)]
         return {
             "part": [0 if i is None else int(np.searchsorted(bounds, i, side="left")) for i in ids],
             "doc_id": ids, "n_tokens": [len(b) // memo.width for b in coded], "width": [memo.width] * len(ids),

@@ -87,14 +87,15 @@ def spliced_ids(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP
     return out + left.ids[first:]
 
 
-def token_ids(path: str, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[bytes]:
-    """Ids of each text as bytes of the memo's integer type."""
+def token_ids(path: str, texts: list[str], chunk: int | None = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[bytes]:
+    """Ids of each text as bytes of the memo's integer type; texts of more than `chunk` characters
+    by overlapping chunks (None: only those whose word borders prove nothing)."""
     memo = bpe.word_memo(path)
-    small = [t if len(t) <= chunk else "" for t in texts]
-    out = memo.encode(small)
-    for i, t in enumerate(texts):
-        if len(t) > chunk:
-            out[i] = np.asarray(spliced_ids(memo.tok, t, chunk, overlap), dtype=memo.dtype).tobytes()
+    by_chunks = [len(t) > chunk if chunk else len(t) > CHUNK_CHARS and memo.pieces(t) is None for t in texts]
+    out = memo.encode(["" if huge else t for t, huge in zip(texts, by_chunks)])
+    for i, huge in enumerate(by_chunks):
+        if huge:
+            out[i] = np.asarray(spliced_ids(memo.tok, texts[i], chunk or CHUNK_CHARS, overlap), dtype=memo.dtype).tobytes()
     return out
 
 
