@@ -36,16 +36,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without the bytes of repeated strings; one that has no word left goes."""
     tuned(spark)
     rest = suffixes.kept_text(suffixes.with_removals(docs))
-    changed = F.size("removed") > 0
-    out = rest.withColumn("text", F.when(changed, F.col("rest")).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.when(changed, F.char_length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    changed = F.size("__removed") > 0
+    out = rest.withColumn("text", F.when(changed, F.col("__rest")).otherwise(F.col("text")))
+    out = out.withColumn("n_chars", F.when(changed, F.char_length("__rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     tuned(spark)
-    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("__hits") == 0).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

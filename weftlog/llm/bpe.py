@@ -47,7 +47,7 @@ class WordMemo:
         # "prefixed": a word takes the space before it along; "dropped": white space vanishes.
         if plain and kinds == ["ByteLevel"] and spec["pre_tokenizer"].get("use_regex", True) and not spec.get("normalizer"):
             self.kind = "prefixed"
-        elif plain and kinds[:1] == ["Split"] and spec["pre_tokenizer"]["pretokenizers"][0]["invert"] and r"[^\s" in str(spec["pre_tokenizer"]):
+        elif plain and kinds[:1] == ["Split"] and _drops_spaces(spec["pre_tokenizer"]["pretokenizers"][0]):
             self.kind = "dropped"
         else:
             self.kind = "whole"
@@ -123,3 +123,8 @@ class WordMemo:
 def _pre_tokenizers(spec: dict) -> list[str]:
     pre = spec.get("pre_tokenizer") or {}
     return [p["type"] for p in pre.get("pretokenizers", [pre])] if pre else []
+
+
+def _drops_spaces(split: dict) -> bool:
+    """Whether a Split keeps only what its pattern matches, and the pattern matches no white space."""
+    return split["invert"] and split["behavior"] == "Removed" and r"[^\s" in split["pattern"].get("Regex", "")

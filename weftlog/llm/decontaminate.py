@@ -264,14 +264,14 @@ _INDEXES: dict[str, Index] = {}
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDIT_RATIO) -> DataFrame:
-    """`docs` with a column `hits`: the items found in each text. Null text has none.
+    """`docs` with a column `__hits`: the items found in each text. Null text has none.
 
     Documents stay where they are. The benchmark is read in blocks; its size is measured first.
     """
-    out = docs.withColumn("hits", F.array().cast(HITS))
+    out = docs.withColumn("__hits", F.array().cast(HITS))
     for items in item_blocks(benchmark):
         search = _searcher(docs.sparkSession, items, ratio)
-        out = with_column(out, ["text"], search, "found", HITS).withColumn("hits", F.concat("hits", "found")).drop("found")
+        out = with_column(out, ["text"], search, "__found", HITS).withColumn("__hits", F.concat("__hits", "__found")).drop("__found")
     return out
 
 

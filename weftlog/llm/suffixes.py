@@ -403,14 +403,15 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
     level = store(anchor_rows(rows, length, gram), "anchors")
     out = None
     while True:
-        keys = level.groupBy("key", "oa", "ob").agg(F.count(F.lit(1)).alias("n"))
-        again = store(level.join(keys.where(F.col("n") > 1).drop("n"), ["key", "oa", "ob"], "left_semi"), "again")
+        # Written before the join, so that a key with very many rows can be split over tasks.
+        keys = store(level.groupBy("key", "oa", "ob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n"), "keys")
+        again = store(level.join(keys, ["key", "oa", "ob"], "left_semi"), "again")
         # Equal spans merge in the tasks that read them, however many copies there are.
         spans = again.groupBy("key", "oa", "ob", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "p")).alias("one"))
         spans = store(spans, "spans")
         twice = again.join(spans.where(F.col("n") > 1).select("key", "oa", "ob", "span"), ["key", "oa", "ob", "span"], "left_semi")
         direct = twice.select("id", "th", F.greatest(F.col("p") - F.col("ob"), F.lit(0)).alias("start"), (F.col("p") + length - F.col("oa")).alias("stop"))
-        sizes = spans.groupBy("key", "oa", "ob").agg(F.count(F.lit(1)).alias("spans")).where(F.col("spans") > 1)
+        sizes = store(spans.groupBy("key", "oa", "ob").agg(F.count(F.lit(1)).alias("spans")).where(F.col("spans") > 1), "sizes")
         left = store(spans.join(sizes, ["key", "oa", "ob"]).select(
             "one.*", "oa", "ob", (F.col("n") > 1).cast("int").alias("many"), "spans"), "edges")
         few = left.where(F.col("spans") <= hot_spans)
@@ -454,7 +455,7 @@ def joined_spans(spans: list[dict] | None, size: int, length: int) -> list[tuple
 
 
 def with_removals(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with `removed`, the (start, stop) byte runs to take out of each text.
+    """`docs` with `__removed`, the (start, stop) byte runs to take out of each text.
 
     Null text is empty, and a text of fewer than LENGTH bytes keeps everything. Repeated rows
     are copies of each other like any two equal texts, also under one id or without one.
@@ -469,7 +470,7 @@ def with_removals(docs: DataFrame, **how) -> DataFrame:
     def run(texts, found):
         return [[{"start": a, "stop": b} for a, b in joined_spans(s, len((t or "").encode()), length)] for t, s in zip(texts, found)]
 
-    return with_column(met, ["text", "__spans"], run, "removed", "array<struct<start:bigint,stop:bigint>>").drop("__spans")
+    return with_column(met, ["text", "__spans"], run, "__removed", "array<struct<start:bigint,stop:bigint>>").drop("__spans")
 
 
 def kept_bytes(text: str | None, removed: list[dict]) -> bytes:
@@ -481,9 +482,9 @@ def kept_bytes(text: str | None, removed: list[dict]) -> bytes:
 
 
 def kept_text(docs: DataFrame) -> DataFrame:
-    """Documents of `with_removals` with the rest of their texts; a character cut in the middle goes."""
+    """Documents of `with_removals` with `__rest`, the rest of their texts; a character cut in the middle goes."""
     run = lambda texts, removed: [None if t is None else kept_bytes(t, r).decode("utf-8", "ignore") for t, r in zip(texts, removed)]
-    return with_column(docs, ["text", "removed"], run, "rest", "string")
+    return with_column(docs, ["text", "__removed"], run, "__rest", "string")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
@@ -494,4 +495,4 @@ def removal_digests(docs: DataFrame) -> DataFrame:
         return {"doc_id": ids, "n_bytes": sizes, "n_removed": [sum(x["stop"] - x["start"] for x in r) for r in removed], "n_spans": [len(r) for r in removed],
                 "kept_sha256": [hashlib.sha256(kept_bytes(t, r)).hexdigest() for t, r in zip(texts, removed)]}
 
-    return map_batches(docs.select("doc_id", "text", "removed"), run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return map_batches(docs.select("doc_id", "text", "__removed"), run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

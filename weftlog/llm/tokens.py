@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from weftlog.llm import bpe
 from weftlog.llm.base import map_batches
 
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 512
 # Borders nearer to a cut than this are not used, and this many tokens must agree on each side.
 GUARD_CHARS = 64
