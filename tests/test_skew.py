@@ -1,5 +1,6 @@
 """The way taken for hot keys gives the same rows as the plain window."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -34,7 +35,15 @@ def same(a, b):
 
 def test_hot_keys_only_lists_large_groups(make_events):
     hot = hot_keys(skewed(make_events), ["session_id"], 50)
-    assert [r["session_id"] for r in hot] == ["hot"]
+    assert [r["session_id"] for r in hot.table.collect()] == ["hot"] and hot.count == 1
+
+
+def test_thousands_of_hot_keys_and_a_hot_null_key(spark):
+    rows = [(k if k % 50 else None, i) for k in range(5_000) for i in range(3)]
+    df = spark.createDataFrame(rows, "k int, i int").withColumn("u", F.monotonically_increasing_id())
+    hot = hot_keys(df, ["k"], 2)
+    assert hot.count == 4_901 and hot.rows == len(rows)
+    same(ordered(df, ["k"], ["u"], sums=["i"]), ordered(df, ["k"], ["u"], sums=["i"], rows_per_task=2_000, hot=hot))
 
 
 def test_ordered_matches_plain_window(make_events):
@@ -85,12 +94,14 @@ def test_exact_percentiles_with_many_distinct_values(spark):
             assert np.allclose([got[k][n] for n in probs], want, atol=1e-12)
 
 
-def test_long_sessions_are_packed_in_segments(make_events):
-    e = make_events({"a": [1, 2, 3, 4, 5, 6, 7], "b": [1, 2, 3, 4, 5, 6, 7], "c": [1, 2, 3, 4, 5, 6, 8]})
-    parts = K.session_arrays(e, cols=["cluster_id"], segment_rows=3).where("session_id = 'a'").orderBy("segment").collect()
-    assert [list(r["cluster_id"]) for r in parts] == [[1, 2, 3], [4, 5, 6], [7]]
-    fp = {r["session_id"]: r["fingerprint"] for r in K.session_fingerprint(e, segment_rows=3).collect()}
-    assert fp["a"] == fp["b"] != fp["c"]
+def test_long_sessions_are_one_row_with_one_kind_of_fingerprint(make_events):
+    ids = {"a": [1, 2, 3, 4, 5, 6, 7], "b": [1, 2, 3, 4, 5, 6, 7], "c": [1, 2, 3, 4, 5, 6, 8]}
+    e = make_events(ids)
+    for limit in (3, 1_000):
+        rows = {r["session_id"]: list(r["cluster_id"]) for r in K.session_arrays(e, cols=["cluster_id"], rows_per_task=limit).collect()}
+        assert rows == ids
+        fp = {r["session_id"]: r["fingerprint"] for r in K.session_fingerprint(e, rows_per_task=limit).collect()}
+        assert fp == {s: hashlib.md5("|".join(map(str, c)).encode()).hexdigest() for s, c in ids.items()}
 
 
 def test_result_does_not_depend_on_partitions(spark, make_events):

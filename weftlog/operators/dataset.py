@@ -132,14 +132,10 @@ def align_split(sequences: DataFrame, split: DataFrame, session: str = SESSION)
 # --- scaling ----------------------------------------------------------------
 
 
-def fit_scaler(vectors: DataFrame, floor: float = 0.1, vec: str = "vec", sample: int | None = None,
-               order: str = SESSION) -> DataFrame:
+def fit_scaler(vectors: DataFrame, floor: float = 0.1, vec: str = "vec") -> DataFrame:
     """One row: per-dimension mean and sample std with a floor, and how many were floored.
 
     The vector summarizer combines on the map side; nothing is exploded."""
-    if sample is not None:
-        keep = vectors.select(order).distinct().orderBy(order).limit(sample)
-        vectors = vectors.join(keep, order, "left_semi")
     v = array_to_vector(F.col(vec).cast("array<double>"))
     s = vectors.select(Summarizer.metrics("mean", "std", "count").summary(v).alias("s"))
     std = vector_to_array("s.std")
@@ -217,13 +213,16 @@ def data_sanity(nodes: DataFrame, edges: DataFrame, *, session: str = SESSION, v
 
 
 def dataset_meta(ds: DataFrame, max_seq_len: int, embed_dim: int, labels_source: str = "ground_truth",
-                 label: str = "label", node_scalars: int = 9, edge_dim: int = 10) -> DataFrame:
-    """One row describing the dataset: totals, rates, dimensions and split sizes."""
+                 label: str = "label", node_scalars: int = 9, edge_dim: int = 10, *, n_templates: int | None = None,
+                 seed: int = 42, run_tag: str | None = None) -> DataFrame:
+    """One row describing the dataset: totals, rates, dimensions, sizes and anomalies of the splits, and its origin."""
     return ds.agg(
         F.count(F.lit(1)).alias("sessions"), F.sum(label).cast("bigint").alias("anomalous"),
         F.avg(label).alias("anomaly_rate"),
         *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS],
+        *[F.count_if((F.col("split") == s) & (F.col(label) == 1)).alias(f"anomalous_{s}") for s in SPLITS],
     ).withColumns({
+        "n_templates": F.lit(n_templates).cast("bigint"), "seed": F.lit(seed), "run_tag": F.lit(run_tag).cast("string"),
         "labels_source": F.lit(labels_source), "max_seq_len": F.lit(max_seq_len), "embed_dim": F.lit(embed_dim),
         "node_dim": F.lit(embed_dim + node_scalars), "edge_dim": F.lit(edge_dim),
     })

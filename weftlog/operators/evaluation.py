@@ -56,10 +56,20 @@ def pr_curve(scores: DataFrame, **names) -> DataFrame:
 
 
 def best_threshold(scores: DataFrame, eps: float = 1e-10, **names) -> DataFrame:
-    """Threshold of the highest F1; the lowest threshold on a tie."""
+    """Threshold of the highest F1; the lowest threshold on a tie.
+
+    Scores without a positive label have no F1: the median score is the threshold then, with null
+    measures. Only a table without scores gives no row."""
     points = pr_points(score_steps(scores, **names))
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(eps))
-    return points.select("threshold", "precision", "recall", f1.alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
+    best = points.where(F.col("positives") > 0).select("threshold", "precision", "recall", f1.alias("f1"))
+    score = names.get("score", "score")
+    none = F.lit(None).cast("double")
+    # -1 ranks the fallback below every real point.
+    middle = scores.agg(F.median(score).alias("threshold")).where(F.col("threshold").isNotNull()).select(
+        "threshold", none.alias("precision"), none.alias("recall"), F.lit(-1.0).alias("f1"))
+    one = best.unionByName(middle).orderBy(F.desc("f1"), "threshold").limit(1)
+    return one.withColumn("f1", F.when(F.col("f1") >= 0, F.col("f1")))
 
 
 def roc_curve(scores: DataFrame, **names) -> DataFrame:

@@ -100,7 +100,7 @@ def graph_edges(
         rows = _sequenced(events, rows_per_task, hot=hot, **names)
         return _edges(rows, scale, bool(hot), session, cluster, rows_per_task)
     rest, part = split_hot(events, [session], hot)
-    few = sum(r["__rows"] for r in hot)
+    few = hot.rows
     cold_rows = with_sequence(rest, hot=[], **names)
     hot_rows = with_sequence(part, hot_rows=few, rows_per_task=rows_per_task, **names)
     return _edges(cold_rows, scale, False, session, cluster, rows_per_task).unionByName(

@@ -83,9 +83,10 @@ def predict(df: DataFrame, threshold: float | Column) -> DataFrame:
 
 def cascade(sessions: DataFrame, flags: DataFrame, scored: DataFrame, threshold: float, *,
             session: str = SESSION) -> DataFrame:
-    """Flagged sessions are decided at once; only the rest use the graph score."""
+    """Flagged sessions are decided at once; only the rest use the graph score. A session that has
+    neither stays, with no score and no prediction."""
     decided = flags.select(session, F.lit("stage1").alias("stage"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("pred"))
-    rest = sessions.join(flags.select(session), session, "left_anti").join(scored.select(session, "score"), session)
+    rest = sessions.join(flags.select(session), session, "left_anti").join(scored.select(session, "score"), session, "left")
     second = predict(rest, threshold).select(session, F.lit("stage2").alias("stage"), "score", "pred")
     return decided.unionByName(second)
 

@@ -11,7 +11,6 @@ from weftlog.operators.skew import ROWS_PER_TASK, first_by, nulls_last, ordered,
 
 SESSION, TS, LINE, CLUSTER = "session_id", "ts", "line_no", "cluster_id"
 # Longest piece of one session that is packed into a single row or hashed at once.
-SEGMENT_ROWS = 1_000_000
 
 
 def micros(col: Column | str, df: DataFrame | None = None) -> Column:
@@ -119,50 +118,29 @@ def fire_number(events: DataFrame, *, session: str = SESSION, cluster: str = CLU
 
 def session_arrays(
     events: DataFrame, *, session: str = SESSION, ts: str = TS, line: str = LINE,
-    cols: Sequence[str] = (CLUSTER, TS), segment_rows: int = SEGMENT_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
+    cols: Sequence[str] = (CLUSTER, TS), rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Packed ordered arrays, one row per session and `segment`.
+    """Packed ordered arrays, one row per session whatever its length.
 
-    A session of up to `segment_rows` events is one row (segment 0). Longer ones
-    continue in further rows, so no row has to hold an unbounded session.
+    A packed session is one row by definition; one whose arrays exceed the row limit of Spark
+    (2 GB) fails the job and is never cut. Use `with_position` where sessions can be that long.
     """
     rows = with_position(events, session=session, ts=ts, line=line, rows_per_task=rows_per_task)
-    rows = rows.withColumn("segment", F.floor(F.col("pos") / segment_rows).cast("bigint"))
-    packed = rows.groupBy(session, "segment").agg(
+    packed = rows.groupBy(session).agg(
         F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("__a"),
         F.first("n").alias("n"),
     )
-    return packed.select(session, "segment", "n", *[F.col(f"__a.{c}").alias(c) for c in cols])
+    return packed.select(session, "n", *[F.col(f"__a.{c}").alias(c) for c in cols])
 
 
 def session_fingerprint(
     events: DataFrame, *, session: str = SESSION, ts: str = TS, line: str = LINE,
-    cluster: str = CLUSTER, segment_rows: int = SEGMENT_ROWS, rows_per_task: int = ROWS_PER_TASK,
+    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """md5 of the ordered cluster ids joined by '|'.
-
-    A session longer than `segment_rows` is hashed piece by piece and its
-    fingerprint is the md5 of the piece digests: equal sequences still get equal
-    fingerprints and no row ever holds more than one piece.
-    """
-    arrays = session_arrays(
-        events, session=session, ts=ts, line=line, cols=[cluster],
-        segment_rows=segment_rows, rows_per_task=rows_per_task,
-    )
+    """md5 of the ordered cluster ids joined by '|', the same for sessions of every length."""
+    arrays = session_arrays(events, session=session, ts=ts, line=line, cols=[cluster], rows_per_task=rows_per_task)
     digest = F.md5(F.array_join(F.transform(F.col(cluster), lambda c: c.cast("string")), "|"))
-    pieces = arrays.select(
-        session, "segment", "n", digest.alias("digest"),
-        F.when(F.col("segment") == 0, F.slice(cluster, 1, 8)).alias("head"),
-    )
-    merged = pieces.groupBy(session).agg(
-        F.array_sort(F.collect_list(F.struct("segment", "digest"))).alias("__d"),
-        F.first("n").alias("n"), F.max("head").alias("head"),
-    )
-    whole = F.when(F.size("__d") == 1, F.col("__d.digest")[0]).otherwise(
-        F.md5(F.array_join(F.col("__d.digest"), "|"))
-    )
-    return merged.select(session, "n", "head", whole.alias("fingerprint"))
+    return arrays.select(session, "n", F.slice(cluster, 1, 8).alias("head"), digest.alias("fingerprint"))
 
 
 def top_patterns(fingerprints: DataFrame, k: int = 10, session: str = SESSION) -> DataFrame:

@@ -11,37 +11,52 @@ slice carries the offsets across slice borders. Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from weftlog.session import durable
 
 ROWS_PER_TASK = 2_000_000
-# By the pigeonhole principle the 4097th largest key holds under 1/4096 of all
-# rows, so listing this many keys is enough; the rest take the plain window.
-MAX_HOT_KEYS = 4096
-MAX_SLICES = 20_000
+# Key and slice tables up to this many counted rows are sent to every task; longer ones are joined.
+FEW_ROWS = 20_000
 
 _SLICE = "__slice"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> list:
-    """Keys with more than `rows_per_task` rows, at most MAX_HOT_KEYS of them."""
-    top = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > rows_per_task)
-        .orderBy(F.desc("__rows"), *keys)
-        .limit(MAX_HOT_KEYS)
+@dataclass(frozen=True)
+class HotKeys:
+    """The keys with too many rows for one task, as a stored table of any length, and their totals."""
+
+    table: DataFrame
+    count: int
+    rows: int
+
+    def __bool__(self) -> bool:
+        return self.count > 0
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> HotKeys:
+    """Keys with more than `rows_per_task` rows, a null key included; the list stays distributed."""
+    table = durable(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > rows_per_task)
     )
-    return top.collect()
+    total = table.agg(F.count(F.lit(1)).alias("n"), F.sum("__rows").alias("rows")).first()
+    return HotKeys(table, total["n"], total["rows"] or 0)
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, few: bool) -> DataFrame:
+    """Join on keys where null equals null; `few` says that `right` was counted and is short."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    met = left.join(F.broadcast(named) if few else named, on, how)
+    return met if how in ("left_semi", "left_anti") else met.drop(*[f"__r_{k}" for k in keys])
 
 
 def slices(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """Range-partition on `order` and store the slice each row fell into."""
-    n = max(2, min(n, MAX_SLICES))
-    spread = df.repartitionByRange(n, *nulls_last(order)).withColumn(_SLICE, F.spark_partition_id())
+    spread = df.repartitionByRange(max(2, n), *nulls_last(order)).withColumn(_SLICE, F.spark_partition_id())
     return durable(spread)
 
 
@@ -73,7 +88,7 @@ def ordered(
     lead: Sequence[str] = (),
     sums: Sequence[str] = (),
     rows_per_task: int = ROWS_PER_TASK,
-    hot: list | None = None,
+    hot: HotKeys | None = None,
     settle: bool = False,
 ) -> DataFrame:
     """Add per key: `pos` (0-based), `n`, `next_<c>`, `cum_<c>` and `tot_<c>`.
@@ -89,7 +104,7 @@ def ordered(
         df = durable(df)
     if keys:
         hot = hot_keys(df, keys, rows_per_task) if hot is None else hot
-        hot_rows = sum(r["__rows"] for r in hot)
+        hot_rows = hot.rows if hot else 0
     else:
         total = df.count()
         hot_rows = total if total > rows_per_task else 0
@@ -102,13 +117,10 @@ def ordered(
     return _plain(rest, keys, order, lead, sums).unionByName(done)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot: list) -> tuple[DataFrame, DataFrame]:
+def split_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
     """(other rows, rows of the hot keys) for a result of `hot_keys`."""
-    schema = StructType([df.schema[k] for k in keys])
-    names = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema=schema)
-    # At most MAX_HOT_KEYS rows, so both broadcasts are bounded.
-    few = F.broadcast(names)
-    return df.join(few, list(keys), "left_anti"), df.join(few, list(keys), "left_semi")
+    few, names = hot.count <= FEW_ROWS, hot.table.select(*keys)
+    return null_safe(df, names, keys, "left_anti", few), null_safe(df, names, keys, "left_semi", few)
 
 
 def sliced(
@@ -125,7 +137,7 @@ def sliced(
         aggs.append(
             F.min_by(F.struct(*lead), first_by(order)).alias("__head")
         )
-    # One row per (key, slice): at most MAX_SLICES + MAX_HOT_KEYS rows.
+    # One row per key and slice: no more than slices and keys together, as slices are ranges of keys.
     borders = cut.groupBy(*keys, _SLICE).agg(*aggs)
     by = Window.partitionBy(*[F.col(k) for k in keys])
     seq = by.orderBy(_SLICE)
@@ -140,7 +152,8 @@ def sliced(
     if lead:
         cols.append(F.lead("__head").over(seq).alias("__next"))
     borders = borders.select(*keys, _SLICE, F.col("__n"), *cols)
-    joined = local.join(F.broadcast(borders), keys + [_SLICE])
+    n_borders = cut.select(*keys, _SLICE).distinct().count()
+    joined = null_safe(local, borders, keys + [_SLICE], "inner", n_borders <= FEW_ROWS)
     last = F.col("pos") == F.col("__n") - 1
     out = [F.col(c) for c in df.columns]
     out.append((F.col("pos") + F.col("__off")).alias("pos"))

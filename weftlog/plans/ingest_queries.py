@@ -152,13 +152,15 @@ def s10(spark, sf):
 
 
 @query("s11_best_enriched_run", """
-    SELECT 'run_' || stage || '_' || (dataset % 10) AS run_tag, count(*) FILTER (price > 100000) AS enriched_count FROM v_runs
+    SELECT 'run_' || stage || '_' || (dataset % 10) AS run_tag, count(*) FILTER (price > 100000 OR (dataset % 2 = 0 AND price > 50000)) AS enriched_count FROM v_runs
     GROUP BY 1 ORDER BY enriched_count DESC, max(created) DESC, run_tag DESC LIMIT 1""", ["v_runs"])
 def s11(spark, sf):
     r = V.v_runs(spark, sf)
     cats = r.select(F.concat(F.lit("run_"), "stage", F.lit("_"), F.col("dataset") % 10).alias("run_tag"),
-                    F.when(F.col("price") > 100000, F.lit("{}")).alias("enriched"), F.col("created").alias("mtime"))
-    return S.best_enriched_run(cats)
+                    F.when(F.col("price") > 100000, F.lit("{}")).otherwise(F.lit("{cut off")).alias("large"),
+                    F.when((F.col("dataset") % 2 == 0) & (F.col("price") > 50000), F.lit('{"purpose": "x"}')).when(F.col("price") > 20000, F.lit("[]")).alias("small"),
+                    F.col("created").alias("mtime"))
+    return S.best_enriched_run(cats, ["large", "small"])
 
 
 @query("s12_upsert_graph", f"""

@@ -94,7 +94,7 @@ def k3s(spark, sf):
 
 @query("k4_session_arrays", f"""
     WITH {seq_sql('v_events')}
-    SELECT session_id, CAST(0 AS BIGINT) AS segment, max(n) AS n,
+    SELECT session_id, max(n) AS n,
            string_agg(CAST(cluster_id AS VARCHAR), ',' ORDER BY ts, line_no) AS cluster_ids,
            string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY ts, line_no) AS line_nos,
            string_agg(parameters[1], ',' ORDER BY ts, line_no) AS first_params
@@ -102,7 +102,7 @@ def k3s(spark, sf):
 def k4(spark, sf):
     e = V.v_events(spark, sf).withColumn("p", F.col("parameters")[0])
     a = K.session_arrays(e, cols=["cluster_id", "line_no", "p"])
-    return a.select("session_id", "segment", "n", joined("cluster_id").alias("cluster_ids"),
+    return a.select("session_id", "n", joined("cluster_id").alias("cluster_ids"),
                     joined("line_no").alias("line_nos"), joined("p").alias("first_params"))
 
 

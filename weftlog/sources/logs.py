@@ -2,47 +2,50 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import strip_header
+from weftlog.operators.skew import ordered
 
-# Bits left for the position inside one file when a line number spans several files.
-_FILE_BITS = 43
+# The last bits of a file's rank hold the position inside the file, if both fit.
+_WORD_BITS = 63
 
 
 def with_line_no(df: DataFrame) -> DataFrame:
     """A BIGINT that sorts lines in file order: file rank, block start, row in task.
 
     A full split is read by its own task and has at least one byte per line, so
-    block start plus the row counter never overtakes the next split of the file."""
-    rank = sorted(df.inputFiles())
-    files = df.sparkSession.createDataFrame(
-        [(_plain_path(p), i) for i, p in enumerate(rank)], "__file string, __rank bigint"
-    )
+    block start plus the row counter never overtakes the next split of the file.
+    The rank is the file's place in the sorted listing of the files themselves, in the
+    spelling the rows carry; a line whose file is not listed stops the job, and so does a
+    position that does not fit beside the rank."""
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = df.select("*", F.col("_metadata.file_path").alias("__file"),
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_size").alias("__size"),
                      F.col("_metadata.file_block_start").alias("__start"), row.alias("__row"))
-    rows = rows.withColumn("__file", F.regexp_replace("__file", r"^file:/+", "/"))
-    if len(rank) == 1:
-        offset = F.lit(0).cast("bigint")
+    listed = rows.select("__file", "__size").distinct()
+    listed = ordered(listed, [], ["__file"]).select("__file", F.col("pos").alias("__rank"), "__size")
+    span = listed.agg(F.count(F.lit(1)).alias("n"), F.max("__size").alias("size")).first()
+    bits = position_bits(span["n"], span["size"] or 0)
+    if span["n"] <= 1:
+        place = F.col("__start") + F.col("__row")
     else:
-        # One row per input file; the driver already holds this listing.
-        rows = rows.join(F.broadcast(files), "__file")
-        offset = F.shiftleft("__rank", _FILE_BITS)
-    return rows.withColumn("line_no", offset + F.col("__start") + F.col("__row")).select(*df.columns, "line_no")
+        rows = rows.join(listed.drop("__size"), "__file", "left")
+        rank = F.coalesce("__rank", F.raise_error(F.lit("a line of a file that is not listed")).cast("bigint"))
+        place = F.shiftleft(rank, bits) + F.col("__start") + F.col("__row")
+    return rows.withColumn("line_no", place).select(*df.columns, "line_no")
 
 
-def _plain_path(uri: str) -> str:
-    return re.sub(r"^file:/+", "/", uri)
+def position_bits(files: int, size: int) -> int:
+    """Bits for the position inside a file of `size` bytes, beside the rank of `files` files."""
+    bits = (2 * size).bit_length()
+    if bits + max(files - 1, 0).bit_length() > _WORD_BITS:
+        raise OverflowError("file rank and position do not fit one line number")
+    return bits
 
 
 def dense_line_no(df: DataFrame) -> DataFrame:
     """Replace `line_no` by 1..n in the same order."""
-    from weftlog.operators.skew import ordered
-
     return ordered(df, [], ["line_no"]).withColumn("line_no", F.col("pos") + 1).drop("pos", "n")
 
 

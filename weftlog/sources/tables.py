@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +61,16 @@ def latest_run(df: DataFrame, run_tag: str | None = None, column: str = "run_tag
     return picked
 
 
-def best_enriched_run(catalogs: DataFrame, enriched: str = "enriched", mtime: str = "mtime") -> DataFrame:
-    """The run with most enriched templates, the newer one on a tie."""
+def best_enriched_run(catalogs: DataFrame, enriched: str | Sequence[str] = "enriched", mtime: str = "mtime") -> DataFrame:
+    """The run with most enriched templates, the newer one on a tie.
+
+    A template counts if one of its records (large, small, ...) parses as an object; malformed text does not."""
+    names = [enriched] if isinstance(enriched, str) else list(enriched)
+    # An empty result of the parser is malformed text or null.
+    is_object = [F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(c).cast("string"))).startswith("OBJECT"), F.lit(False)) for c in names]
+    parses = reduce(or_, is_object)
     per = catalogs.groupBy("run_tag").agg(
-        F.count_if(F.col(enriched).isNotNull()).alias("enriched_count"), F.max(mtime).alias("mtime")
+        F.count_if(parses).alias("enriched_count"), F.max(mtime).alias("mtime")
     )
     key = F.struct("enriched_count", "mtime", "run_tag")
     return per.agg(F.max(key).alias("b")).select("b.run_tag", "b.enriched_count")
