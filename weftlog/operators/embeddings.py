@@ -54,14 +54,23 @@ def tfidf_dense(sparse: DataFrame, vocab: DataFrame, size: int | None = None, id
     return packed.select(id, F.transform(cols, lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding"))
 
 
-def cosine_similarity(vectors: DataFrame, id: str = "cluster_id", vec: str = "embedding", *,
-                      block_rows: int = 1024) -> DataFrame:
-    """Similarity of every pair id_a < id_b, the strict upper triangle of the matrix.
+# Templates of a catalog whose pair matrix may be listed, and queries searched in one pass over the rows.
+MAX_CATALOG = 5_000
+QUERY_BLOCK = 4_096
+
 
-    A blocked product: rows fall into blocks, each pair of blocks is one group of
-    at most about 2 * block_rows vectors, multiplied as matrices. The pair list is
-    the result asked for; it is never formed by a join."""
-    blocks = max(1, -(-vectors.count() // block_rows))
+def cosine_similarity(vectors: DataFrame, id: str = "cluster_id", vec: str = "embedding", *,
+                      block_rows: int = 1024, max_rows: int = MAX_CATALOG) -> DataFrame:
+    """Similarity of every pair id_a < id_b of a template catalog, the upper triangle of the matrix.
+
+    A catalog of more than `max_rows` templates is refused: the list of pairs grows with the
+    square of the rows. Use `nearest` for large tables and `similarity_correlation` for
+    statistics over all pairs. Rows fall into blocks, each pair of blocks is one group of at
+    most about 2 * block_rows vectors, multiplied as matrices."""
+    n = vectors.count()
+    if n > max_rows:
+        raise ValueError(f"{n} vectors are too many for a list of all pairs (at most {max_rows})")
+    blocks = max(1, -(-n // block_rows))
     rows = vectors.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -95,10 +104,79 @@ def cosine_similarity(vectors: DataFrame, id: str = "cluster_id", vec: str = "em
     return rows.groupBy("bi", "bj").applyInPandas(multiply, f"id_a {kind}, id_b {kind}, similarity double")
 
 
-def similarity_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pearson correlation of two similarity matrices over the shared pairs."""
-    pairs = a.join(b.withColumnRenamed("similarity", "other"), ["id_a", "id_b"])
-    return pairs.agg(F.corr("similarity", "other").alias("correlation"), F.count(F.lit(1)).alias("pairs"))
+def _units(column) -> np.ndarray:
+    m = np.vstack([np.asarray(v, dtype=float) for v in column])
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "cluster_id", vec: str = "embedding") -> DataFrame:
+    """query, id, similarity, rank: the `k` rows of `vectors` most similar to each query, itself left out.
+
+    Exact: queries go to the rows in blocks of a fixed size, every task keeps the best `k` of its
+    rows for each query, and only those meet. Ties take the smaller id."""
+    total = queries.count()
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    asked = queries.select(F.col(id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
+        if not part:
+            continue
+        ids, units = np.array([r["id"] for r in part]), _units([r["v"] for r in part])
+
+        def best(batches: Iterator[pd.DataFrame], ids=ids, units=units) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf = pdf.sort_values("id", ignore_index=True)
+                if pdf.empty:
+                    continue
+                sim, own = units @ _units(pdf["v"]).T, pdf["id"].to_numpy()
+                sim[ids[:, None] == own[None, :]] = -np.inf
+                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(len(ids)), top.shape[1])
+                out = pd.DataFrame({"query": ids[q], "id": own[top.ravel()], "similarity": sim[q, top.ravel()]})
+                yield out[np.isfinite(out["similarity"])]
+
+        some = rows.mapInPandas(best, "query bigint, id bigint, similarity double")
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return rows.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def similarity_correlation(a: DataFrame, b: DataFrame, id: str = "cluster_id", vec: str = "embedding") -> DataFrame:
+    """Pearson correlation of the similarities of two vector tables over all pairs of shared ids, and the pairs.
+
+    No pair is formed. With unit vectors U and W the sums over pairs of s, s * s and s * t are half
+    of |sum U|^2, |U'U|^2 and |U'W|^2, each less the diagonal, so every task sums small matrices."""
+    left = a.select(id, F.col(vec).cast("array<double>").alias("u"))
+    both = left.join(b.select(id, F.col(vec).cast("array<double>").alias("w")), id).select("u", "w")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            u, w = _units(pdf["u"]), _units(pdf["w"])
+            x, y = (u * u).sum(1), (w * w).sum(1)
+            parts = [u.sum(0), w.sum(0), u.T @ u, w.T @ w, u.T @ w, np.array([len(u), x.sum(), y.sum(), x @ x, y @ y, x @ y])]
+            total = parts if total is None else [p + q for p, q in zip(total, parts)]
+        if total is not None:
+            for kind, values in enumerate(total):
+                flat = values.ravel()
+                yield pd.DataFrame({"kind": np.full(len(flat), kind), "at": np.arange(len(flat)), "value": flat})
+
+    cells = both.mapInPandas(sums, "kind int, at bigint, value double").groupBy("kind", "at").agg(F.sum("value").alias("value"))
+    square = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value") * F.col("value"))), F.lit(0.0))
+    own = lambda at: F.coalesce(F.sum(F.when((F.col("kind") == 5) & (F.col("at") == at), F.col("value"))), F.lit(0.0))
+    s = cells.agg(
+        own(0).alias("n"), ((square(0) - own(1)) / 2).alias("s"), ((square(1) - own(2)) / 2).alias("t"),
+        ((square(2) - own(3)) / 2).alias("ss"), ((square(3) - own(4)) / 2).alias("tt"), ((square(4) - own(5)) / 2).alias("st"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    spread = F.sqrt((pairs * F.col("ss") - F.col("s") ** 2) * (pairs * F.col("tt") - F.col("t") ** 2))
+    return s.select(F.try_divide(pairs * F.col("st") - F.col("s") * F.col("t"), spread).alias("correlation"), pairs.cast("bigint").alias("pairs"))
 
 
 def clean_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:

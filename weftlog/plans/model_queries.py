@@ -82,20 +82,24 @@ def b2d(spark, sf):
 
 
 @query("b3_cosine_similarity", f"""
-    WITH e AS (SELECT vec_id, {VEC} AS v FROM embeddings)
-    SELECT a.vec_id AS id_a, b.vec_id AS id_b, {s6('list_cosine_similarity(a.v, b.v)')} AS similarity FROM e a JOIN e b ON a.vec_id < b.vec_id""")
+    WITH e AS (SELECT vec_id, {VEC} AS v FROM embeddings),
+    p AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+    SELECT query, id, {s6('s')} AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS INT) AS rank FROM p
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 10""")
 def b3(spark, sf):
-    return rounded(B.cosine_similarity(V.table(spark, sf, "embeddings"), "vec_id", block_rows=128), "similarity")
+    e = V.table(spark, sf, "embeddings")
+    return rounded(B.nearest(e, e.where("vec_id % 100 = 0"), 10, "vec_id"), "similarity")
 
 
 @query("b4_similarity_correlation", f"""
     WITH e AS (SELECT vec_id, {VEC} AS v FROM embeddings),
-    p AS (SELECT list_cosine_similarity(a.v, b.v) AS x, list_cosine_similarity(a.v[1:16], b.v[1:16]) AS y FROM e a JOIN e b ON a.vec_id < b.vec_id)
+    w AS (SELECT vec_id, v, list_transform(v, lambda x: x * x) AS q FROM e),
+    p AS (SELECT list_cosine_similarity(a.v, b.v) AS x, list_cosine_similarity(a.q, b.q) AS y FROM w a JOIN w b ON a.vec_id < b.vec_id)
     SELECT {s6('corr(x, y)')} AS correlation, count(*) AS pairs FROM p""")
 def b4(spark, sf):
     e = V.table(spark, sf, "embeddings")
-    head = e.select("vec_id", F.slice("embedding", 1, 16).alias("embedding"))
-    return rounded(B.similarity_correlation(B.cosine_similarity(e, "vec_id"), B.cosine_similarity(head, "vec_id")), "correlation")
+    squares = e.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * x).alias("embedding"))
+    return rounded(B.similarity_correlation(e, squares, "vec_id"), "correlation")
 
 
 @query("b5_vectors_from_table", f"""
@@ -325,9 +329,11 @@ def a14(spark, sf):
 
 @query("a15_dataset_meta", f"""
     SELECT count(*) AS sessions, CAST(sum(label) AS BIGINT) AS anomalous, {s6('avg(label)')} AS anomaly_rate, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val,
-           count(*) FILTER (split = 'test') AS n_test, 'ground_truth' AS labels_source, CAST(32 AS INT) AS max_seq_len, CAST(64 AS INT) AS embed_dim, CAST(73 AS INT) AS node_dim, CAST(10 AS INT) AS edge_dim FROM v_split""", ["v_split"])
+           count(*) FILTER (split = 'test') AS n_test, 'ground_truth' AS labels_source, CAST(32 AS INT) AS max_seq_len, CAST(64 AS INT) AS embed_dim, CAST(73 AS INT) AS node_dim, CAST(10 AS INT) AS edge_dim,
+           {", ".join(f"count(*) FILTER (split = '{p}' AND label = 1) AS anomalous_{p}" for p in ("train", "val", "test"))},
+           CAST(41 AS BIGINT) AS n_templates, CAST(42 AS INT) AS seed, '20260101_0900' AS run_tag FROM v_split""", ["v_split"])
 def a15(spark, sf):
-    return rounded(D.dataset_meta(V.v_split(spark, sf), 32, 64), "anomaly_rate")
+    return rounded(D.dataset_meta(V.v_split(spark, sf), 32, 64, n_templates=41, run_tag="20260101_0900"), "anomaly_rate")
 
 
 def event_bundle(spark, sf):

@@ -17,17 +17,19 @@ def dataset(spark, sf):
     store = scratch_path(spark, "flow")
     users = V.v_events(spark, sf).where("user_id % 9 = 0")
     labels = users.select("session_id", F.lit(1).alias("label")).distinct()
-    meta = W.raw_to_dataset(Q.raw_hdfs(spark, sf), store, "run", labels, max_len=48)
+    meta = W.raw_to_dataset(Q.raw_hdfs(spark, sf), store, "run", labels)
     return store, meta
 
 
 @query("flow_raw_to_dataset", f"""
     WITH {SESSIONS}, c AS (SELECT count(*) AS n, sum(CASE WHEN user_id % 9 = 0 THEN 1 ELSE 0 END) AS a FROM u)
     SELECT n AS sessions, CAST(a AS BIGINT) AS anomalous, {s6('a / n')} AS anomaly_rate, n - CAST(ceil(round(0.3 * n, 9)) AS BIGINT) AS n_train,
-           CAST(floor(ceil(round(0.3 * n, 9)) / 2) AS BIGINT) AS n_val, CAST(ceil(ceil(round(0.3 * n, 9)) / 2) AS BIGINT) AS n_test FROM c""")
+           CAST(floor(ceil(round(0.3 * n, 9)) / 2) AS BIGINT) AS n_val, CAST(ceil(ceil(round(0.3 * n, 9)) / 2) AS BIGINT) AS n_test,
+           (SELECT count(*) FROM events) AS lines, CAST(0 AS BIGINT) AS unmatched_lines, (SELECT count(*) FROM events WHERE event_id % 7 = 0) AS unkeyed_lines FROM c""")
 def raw_to_dataset(spark, sf):
     _, meta = dataset(spark, sf)
-    return rounded(meta, "anomaly_rate").select("sessions", "anomalous", "anomaly_rate", "n_train", "n_val", "n_test")
+    return rounded(meta, "anomaly_rate").select("sessions", "anomalous", "anomaly_rate", "n_train", "n_val", "n_test",
+                                                  "lines", "unmatched_lines", "unkeyed_lines")
 
 
 @query("flow_dataset_to_report")

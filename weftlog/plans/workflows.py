@@ -32,8 +32,8 @@ def raw_to_dataset(lines: DataFrame, store: str, run_tag: str, labels: DataFrame
                    scale: str = "raw", max_len: int | None = None) -> DataFrame:
     """Parsed lines (see `read_hdfs_log`) to a dataset bundle; returns its meta row.
 
-    Learn templates, annotate against the frozen catalog, drop unkeyed lines, build
-    session graphs, embeddings, labels, splits and padded sequences."""
+    Learn templates, annotate against the frozen catalog, drop unmatched and unkeyed lines (the
+    meta row counts both), build session graphs, embeddings, labels, splits and padded sequences."""
     base = f"{store}/{run_tag}"
     lines = stored(lines, f"{base}/lines")
     catalog = stored(T.mine_templates(lines), f"{base}/templates")
@@ -58,7 +58,11 @@ def raw_to_dataset(lines: DataFrame, store: str, run_tag: str, labels: DataFrame
         "nodes": attach_embedding(nodes, embeddings, dim), "edges": edges,
         "sequences": sequences, "embeddings": embeddings,
     }
-    meta = D.dataset_meta(split, max_len, dim, source)
+    dropped = annotated.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("cluster_id").isNull()).alias("unmatched_lines"),
+        F.count_if(F.col("cluster_id").isNotNull() & (F.coalesce("block_id", F.lit("")) == "")).alias("unkeyed_lines")).first()
+    meta = D.dataset_meta(split, max_len, dim, source, n_templates=catalog.count(), run_tag=run_tag).withColumns(
+        {k: F.lit(v) for k, v in dropped.asDict().items()})
     S.write_dataset(f"{base}/dataset", tables, meta)
     return meta
 
@@ -84,7 +88,7 @@ def dataset_to_report(spark: SparkSession, dataset: str, store: str, *, node_cod
                       smoothing: float = 1.0, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Report:
     """Fit on clean training sessions, score all, choose the threshold on validation, report on test."""
     split = spark.read.parquet(f"{dataset}/sequences").select("session_id", "label", "split")
-    nodes = _vectors(spark.read.parquet(f"{dataset}/nodes"), G.NODE_SCALARS)
+    nodes = _vectors(spark.read.parquet(f"{dataset}/nodes"), G.NODE_SCALARS, "embedding")
     edges = _vectors(spark.read.parquet(f"{dataset}/edges"), G.EDGE_SCALARS)
     clean = D.clean_train(split).select("session_id")
 
