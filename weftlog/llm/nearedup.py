@@ -29,8 +29,8 @@ TREES = 24
 DEPTH = 8
 # A pair at 75 % shares four values of a tree with probability 0.32, of one of 24 trees with 0.9999.
 MIN_DEPTH = 4
-REGION = 16
-NEIGHBOURS = 4
+REGION = 8
+NEIGHBOURS = 2
 # Share of equal hash values under which a pair is not confirmed: for a pair at 75 % of 192
 # values this lies 4.8 standard deviations below the mean.
 LEAST_ESTIMATE = 0.60
@@ -217,18 +217,18 @@ def centres(crowded: DataFrame, likely: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose full sets reach the similarity.
+    """(ca, cb) of the pairs (a, b, ca, cb) whose full sets reach the similarity.
 
     A pair and its two texts meet in a group of two rows; no document gathers its partners.
     """
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    met = ends.join(texts, "id").groupBy("a", "b").agg(F.collect_list("text").alias("two"))
+    ends = pairs.select("a", "b", "ca", "cb", F.explode(F.array("a", "b")).alias("id"))
+    met = ends.join(texts, "id").groupBy("a", "b", "ca", "cb").agg(F.collect_list("text").alias("two")).select("ca", "cb", "two")
 
     def run(a, b, two):
         ok = [len(t) == 2 and linked(shingles(t[0]), shingles(t[1])) for t in two]
-        return {"a": [x for x, k in zip(a, ok) if k], "b": [x for x, k in zip(b, ok) if k]}
+        return {"ca": [x for x, k in zip(a, ok) if k], "cb": [x for x, k in zip(b, ok) if k]}
 
-    return map_batches(met, run, "a bigint, b bigint")
+    return map_batches(met, run, "ca bigint, cb bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,7 +239,6 @@ def components(edges: DataFrame) -> DataFrame:
     their size. Rows stay as many as the edges; no group meets in one task.
     """
     now = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
-    before = None
     while True:
         # Large star: larger neighbours of u go to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -250,10 +249,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         now = store(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
                     .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
+        # Done when every id has one parent and no parent has one itself.
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+            now.select(F.col("v").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        open_ids = ends.groupBy("id").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0)))
+        if open_ids.isEmpty():
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = state
 
 
 def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -266,9 +267,10 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def best_links(pairs: DataFrame) -> DataFrame:
     """For each group the most likely pair that leaves it; ties take the smaller ids."""
-    rank = F.struct((-F.col("est")).alias("e"), "a", "b")
-    ends = pairs.select("a", "b", "est", F.explode(F.array("ca", "cb")).alias("c"))
-    return ends.groupBy("c").agg(F.min(rank).alias("p")).select("p.a", "p.b").distinct()
+    rank = F.min(F.struct((-F.col("est")).alias("e"), "a", "b", "ca", "cb")).alias("p")
+    sides = [pairs.groupBy(F.col(c).alias("c")).agg(rank) for c in ("ca", "cb")]
+    best = sides[0].unionByName(sides[1]).groupBy("c").agg(F.min("p").alias("p"))
+    return best.select("p.a", "p.b", "p.ca", "p.cb").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -291,18 +293,20 @@ def groups(docs: DataFrame) -> DataFrame:
     involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Every row of an id carries a text of it; the set decides which one is the member's.
     texts = store(
-        slim.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi")
+        slim.withColumnRenamed("doc_id", "id").join(involved.hint("shuffle_hash"), "id", "left_semi")
         .groupBy("id").agg(F.min("text").alias("text")), "texts")
-    links, roots = None, slim.sparkSession.createDataFrame([], "id bigint, root bigint")
-    open_pairs = likely.select("a", "b", "est", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    roots = store(involved.select("id", F.col("id").alias("root")), "roots")
+    rest, open_pairs = likely, likely.select("a", "b", "est", F.col("a").alias("ca"), F.col("b").alias("cb"))
     for last in (False, False, True):
-        chosen = store(open_pairs.select("a", "b") if last else best_links(open_pairs), "chosen")
-        new = store(confirmed(chosen, texts), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        chosen = store(open_pairs.select("a", "b", "ca", "cb") if last else best_links(open_pairs), "chosen")
+        # Groups are joined, not documents: a round only sees the groups of the last one.
+        joined = components(confirmed(chosen, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
+            F.col("id").alias("root"), F.col("root").alias("top"))
+        roots = store(roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
         if last:
             break
-        open_pairs = store(across(likely.join(chosen, ["a", "b"], "left_anti"), roots), "open")
+        rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        open_pairs = store(across(rest, roots), "open")
         if open_pairs.isEmpty():
             break
     rooted = reps.select("h1", "h2", F.col("id").alias("member")).join(roots, F.col("member") == F.col("id"), "left").select(
