@@ -25,11 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id; of repeated rows one stays."""
+    """One document of each near-duplicate group, that of the smallest id; of rows of one id one stays.
+
+    Documents without an id belong to no group and stay as they are.
+    """
     tuned(spark)
-    kept = nearedup.groups(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    kept = nearedup.groups(docs.where(F.col("doc_id").isNotNull())).where("kept").select("doc_id").distinct()
+    # Both steps deal by doc_id, so the documents move once.
+    one = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
