@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftlog.operators import dataset as D
 from weftlog.operators import embeddings as B
+from weftlog.operators import evaluation as E
 from weftlog.operators import scoring as M
 from weftlog.plans.model_queries import random_params
 
@@ -152,3 +153,50 @@ def test_report_separates_planted_anomalies(spark, tmp_path):
     report = W.dataset_to_report(spark, str(tmp_path / "d"), str(tmp_path), node_codes=3, edge_codes=3)
     assert report.test.first()["roc_auc"] > 0.95
     assert {r["status"] for r in report.leakage.collect()} <= {"PASS", "INFO"}
+
+
+def test_correlation_needs_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(30, 5)), rng.normal(size=(30, 3))
+    a[4] = 0
+    table = lambda m: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "cluster_id int, embedding array<double>")
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    i, j = np.triu_indices(30, 1)
+    s, t = (unit(a) @ unit(a).T)[i, j], (unit(b) @ unit(b).T)[i, j]
+    row = B.similarity_correlation(table(a), table(b)).first()
+    assert row["pairs"] == 435 and abs(row["correlation"] - np.corrcoef(s, t)[0, 1]) < 1e-9
+
+
+def test_nearest_is_exact_and_large_catalogs_are_refused(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(40, 4))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "cluster_id int, embedding array<double>").repartition(5)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    got = {(r["query"], r["rank"]): r["id"] for r in B.nearest(df, df.where("cluster_id % 10 = 0"), 3).collect()}
+    assert got == {(q, k + 1): int(x) for q in range(0, 40, 10) for k, x in enumerate(np.argsort(-sim[q])[:3])}
+    with pytest.raises(ValueError):
+        B.cosine_similarity(df, max_rows=39)
+
+
+def test_threshold_falls_back_to_the_median(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.5, 0), (0.2, 0)], "score double, label int")
+    assert E.best_threshold(df).first()["threshold"] == 0.2
+    assert E.best_threshold(df.limit(0)).first() is None
+
+
+def test_a_session_without_a_score_stays_in_the_cascade(spark):
+    ids = lambda *s: spark.createDataFrame([(x,) for x in s], "session_id string")
+    scored = spark.createDataFrame([("b", 0.9)], "session_id string, score double")
+    got = {r["session_id"]: (r["stage"], r["pred"]) for r in M.cascade(ids("a", "b", "c"), ids("a"), scored, 0.5).collect()}
+    assert got == {"a": ("stage1", 1), "b": ("stage2", 1), "c": ("stage2", None)}
+
+
+def test_line_numbers_do_not_overflow():
+    from weftlog.sources.logs import position_bits
+
+    assert position_bits(1, 10) == 5
+    assert (2 ** 20 + 1 << position_bits(2 ** 20 + 2, 1 << 40)) > 0
+    with pytest.raises(OverflowError):
+        position_bits(2 ** 30, 1 << 40)
