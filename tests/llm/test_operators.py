@@ -249,6 +249,20 @@ def test_near_duplicates_match_brute_force(spark, odd, empty):
     assert nearedup.groups(odd).count() == len(ODD) and nearedup.groups(empty).count() == 0
 
 
+def test_links_inside_a_crowd_match_brute_force(spark):
+    """Documents that share boilerplate below the threshold, each with one partner just above it."""
+    rng = random.Random(21)
+    words = lambda n: [f"r{rng.randrange(10 ** 9)}" for _ in range(n)]
+    shared, docs = words(344), []
+    for k in range(300):
+        half = words(6)
+        docs += [(2 * k + side, " ".join(shared + half + words(56 + (k + side) % 3))) for side in (0, 1)]
+    rng.shuffle(docs)
+    want = brute_groups(docs)
+    assert len({c for *_, c, _ in want}) == 300
+    assert sorted(tuple(r) for r in nearedup.groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, 9), (9, 8)]
     got = {r.id: r.root for r in nearedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

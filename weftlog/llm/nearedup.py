@@ -4,11 +4,16 @@ A forest has several trees. A tree's label of a document is a string of min-hash
 tree is the sorted order of all labels. Documents next to each other with a long common prefix
 are likely similar, so they are candidates; how long the prefix must be depends on the region:
 a small region is compared at MIN_DEPTH values, a crowded one is cut at the next value and the
-next, down to the full label, where neighbours stand for the rest. Crowded regions also compare
-each member with the member that has most likely partners, so that a group around one centre
-holds together. Candidates that all hash values call dissimilar are left out, the others are
-confirmed on their full sets in rounds: each round takes the most likely links that still
-connect different groups, so pairs inside a group are never listed, and the last takes all.
+next, down to the full label, with neighbours, and with the member that has most likely partners,
+so that a group around one centre holds together. Candidates that all hash values call dissimilar
+are left out, the others are confirmed on their full sets in rounds: each round takes the most
+likely links that still connect different groups, so pairs inside a group are never listed, and
+the last takes all.
+
+What crowded regions leave out is found exactly: a prefix-filter join of the full sets lists every
+pair of their members that may be linked and is not yet in one group. Shingles are sorted by a
+count sketch, rare ones first, so boilerplate comes last; which order it is changes the number of
+candidates and never a result.
 
 Exact copies of a set are one member throughout.
 """
@@ -35,6 +40,9 @@ NEIGHBOURS = 2
 # values this lies 4.8 standard deviations below the mean.
 LEAST_ESTIMATE = 0.60
 LIKELY = 0.72
+# Counters of the sketch that orders shingles, and rows a side of one cell of the prefix join.
+SLOTS = 1 << 18
+CELL = 500
 
 _RNG = np.random.default_rng(29)
 _WORD = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -140,8 +148,9 @@ def region_pairs(members: list[tuple[bytes, int]], depth: int = MIN_DEPTH):
 def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) candidates with a < b, and (region, id) of the members of crowded regions.
 
-    All trees are sorted at once: range partitions of (tree, label) are dealt by size, so a crowded
-    region spans tasks if it must; each task cuts what it holds.
+    All trees are sorted at once: range partitions of (tree, label) are dealt by size, so a region
+    spans tasks if it must; each task cuts what it holds, and its first and last regions, which may
+    go on in another task, count as crowded.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = (
@@ -154,13 +163,11 @@ def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = 2 * MIN_DEPTH
 
     def run(batches):
-        region, members, out = None, [], []
+        region, members, out, first = None, [], [], False
 
-        def flush():
-            if len(members) < 2:
-                return
+        def flush(border=False):
             out.extend((min(a, b), max(a, b), None) for a, b in region_pairs(members) if a != b)
-            if len(members) > REGION:
+            if border or len(members) > REGION:
                 out.extend((i, None, region) for _, i in members)
 
         def batch_of(some):
@@ -171,13 +178,14 @@ def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             for tree, label, i in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 here = bytes([tree]) + label[:head]
                 if here != region:
-                    flush()
+                    flush(first)
+                    first = region is None
                     region, members = here, []
                 members.append((label, i))
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
-        flush()
+        flush(True)
         if out:
             yield batch_of(out)
 
@@ -186,7 +194,7 @@ def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, found.where(F.col("b").isNull()).select("region", F.col("a").alias("id"))
 
 
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, reps: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     """a, b, est of the pairs whose hash values do not rule them out."""
     sig = reps.select("id", "sig")
     both = (
@@ -198,7 +206,7 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         x = np.frombuffer(b"".join(sa), ">u2").reshape(len(a), -1)
         y = np.frombuffer(b"".join(sb), ">u2").reshape(len(a), -1)
         est = (x == y).mean(axis=1)
-        keep = np.flatnonzero(est >= LEAST_ESTIMATE)
+        keep = np.flatnonzero(est >= least)
         return {"a": [a[k] for k in keep], "b": [b[k] for k in keep], "est": est[keep]}
 
     return map_batches(both, run, "a bigint, b bigint, est double")
@@ -213,6 +221,88 @@ def centres(crowded: DataFrame, likely: DataFrame) -> DataFrame:
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+# Exact candidates ---------------------------------------------------------------
+
+
+def slots(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def sketch(texts: DataFrame) -> np.ndarray:
+    """How many shingles of the texts fall into each of SLOTS counters."""
+    fields = to_arrow_schema(StructType.fromDDL("slot int, n bigint"))
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, slots(shingles(text)), 1)
+        used = np.flatnonzero(total)
+        yield as_batch({"slot": used.astype(np.int32), "n": total[used]}, fields)
+
+    rows = texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def prefixes(members: DataFrame, weight: np.ndarray) -> DataFrame:
+    """shingle, id, c, n, at and `short` of the shingles by which a member can be found.
+
+    Sets of x <= y shingles are linked if they share ceil(75 (x + y) / 175). With both in one order
+    they then share one of the first y - ceil(0.75 y) + 1 of the larger and of the first
+    x - ceil(150 x / 175) + 1 of the smaller set (`short`).
+    """
+    p = SIMILAR_PERCENT
+
+    def run(ids, groups, texts):
+        out = {c: [] for c in ("shingle", "id", "c", "n", "at", "short")}
+        for i, c, text in zip(ids, groups, texts):
+            s = shingles(text)
+            n = len(s)
+            m, k = n - (p * n + 99) // 100 + 1, n - (2 * p * n + 99 + p) // (100 + p) + 1
+            first = s[np.lexsort((s, weight[slots(s)]))[:m]] if n else s
+            out["shingle"].append(first.view(np.int64))
+            out["at"].append(np.arange(len(first), dtype=np.int32))
+            out["short"].append(np.arange(len(first)) < k)
+            for name, value in (("id", i), ("c", c), ("n", n)):
+                out[name].append(np.full(len(first), value, np.int64))
+        return {c: np.concatenate(v) for c, v in out.items()}
+
+    return map_batches(members.select("id", "c", "text"), run, "shingle bigint, id bigint, c bigint, n bigint, at int, short boolean")
+
+
+def unmet(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) with a < b: every pair of `texts` of different groups that can reach the similarity.
+
+    Members of a shingle's largest group are not compared with each other. The others meet in
+    cells of at most about CELL rows a side, so no shingle gathers in one task.
+    """
+    p = SIMILAR_PERCENT
+    members = texts.join(roots.withColumnRenamed("root", "c"), "id")
+    rows = store(prefixes(members, sketch(texts)), "prefixes")
+    per = rows.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if("short").alias("shorts"))
+    open_ = per.groupBy("shingle").agg(
+        F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), F.sum("shorts").alias("shorts"),
+    ).where((F.col("k") > F.col("top.k")) & (F.col("shorts") > 0)).select(
+        "shingle", F.col("top.c").alias("top"), F.ceil(F.col("k") / CELL).cast("int").alias("cells"))
+    met = store(rows.join(open_, "shingle").withColumn("other", F.col("c") != F.col("top")).drop("top"), "met")
+    cell, cells = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.explode(F.expr("sequence(0, cells - 1)"))
+    x = met.where("short").select("shingle", cell.alias("i"), cells.alias("j"), F.col("id").alias("x"), F.col("c").alias("cx"),
+                                  F.col("n").alias("nx"), F.col("at").alias("px"), F.col("other").alias("ox"))
+    y = met.select("shingle", cells.alias("i"), cell.alias("j"), F.col("id").alias("y"), F.col("c").alias("cy"),
+                   F.col("n").alias("ny"), F.col("at").alias("py"), F.col("other").alias("oy"))
+    # Equal sizes are taken in the order of the ids; the rest of both sets must suffice from the shared shingle on.
+    need = F.expr(f"{p} * (nx + ny)")
+    may = (
+        (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+        & F.expr(f"100 * nx >= {p} * ny") & (F.expr(f"{100 + p} * (nx - px)") >= need) & (F.expr(f"{100 + p} * (ny - py)") >= need)
+    )
+    key = ["shingle", "i", "j"]
+    side = lambda u, v: u.join(v, key).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return side(x, y.where("oy")).unionByName(side(x.where("ox"), y.where("NOT oy"))).distinct()
+
+
 # Confirmation ---------------------------------------------------------------------
 
 
@@ -273,6 +363,24 @@ def best_links(pairs: DataFrame) -> DataFrame:
     return best.select("p.a", "p.b", "p.ca", "p.cb").distinct()
 
 
+def merged(pairs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """`roots` (id, root) after all links among the pairs (a, b, est), confirmed in rounds."""
+    rest, open_pairs = pairs, store(across(pairs, roots), "open")
+    for last in (False, False, True):
+        if open_pairs.isEmpty():
+            break
+        chosen = store(open_pairs.select("a", "b", "ca", "cb") if last else best_links(open_pairs), "chosen")
+        # Groups are joined, not documents: a round only sees the groups of the last one.
+        joined = components(confirmed(chosen, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
+            F.col("id").alias("root"), F.col("root").alias("top"))
+        roots = store(roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+        if last:
+            break
+        rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        open_pairs = store(across(rest, roots), "open")
+    return roots
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of `docs` (doc_id, text).
 
@@ -290,25 +398,16 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs, crowded = forest(reps)
     likely = store(estimated(pairs, reps), "likely")
     likely = store(likely.unionByName(estimated(centres(crowded, likely).join(likely, ["a", "b"], "left_anti"), reps)), "candidates")
-    involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    crowd = store(crowded.select("id").distinct(), "crowd")
+    involved = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd).distinct()
     # Every row of an id carries a text of it; the set decides which one is the member's.
     texts = store(
         slim.withColumnRenamed("doc_id", "id").join(involved.hint("shuffle_hash"), "id", "left_semi")
         .groupBy("id").agg(F.min("text").alias("text")), "texts")
-    roots = store(involved.select("id", F.col("id").alias("root")), "roots")
-    rest, open_pairs = likely, likely.select("a", "b", "est", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    for last in (False, False, True):
-        chosen = store(open_pairs.select("a", "b", "ca", "cb") if last else best_links(open_pairs), "chosen")
-        # Groups are joined, not documents: a round only sees the groups of the last one.
-        joined = components(confirmed(chosen, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
-            F.col("id").alias("root"), F.col("root").alias("top"))
-        roots = store(roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
-        if last:
-            break
-        rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-        open_pairs = store(across(rest, roots), "open")
-        if open_pairs.isEmpty():
-            break
+    roots = store(texts.select("id", F.col("id").alias("root")), "roots")
+    roots = merged(likely, texts, roots)
+    exact = unmet(texts.join(crowd, "id", "left_semi"), roots).join(likely, ["a", "b"], "left_anti")
+    roots = merged(store(estimated(exact, reps, 0.0), "exact"), texts, roots)
     rooted = reps.select("h1", "h2", F.col("id").alias("member")).join(roots, F.col("member") == F.col("id"), "left").select(
         "h1", "h2", F.coalesce("root", "member").alias("component"))
     out = every.drop("sig").join(rooted, ["h1", "h2"], "left")
