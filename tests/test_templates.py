@@ -1,5 +1,7 @@
 """Template mining, matching, enrichment and file sources."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,36 @@ def test_mining_in_pieces_agrees_with_one_piece(spark):
     assert [r["template"] for r in whole.collect()] == [r["template"] for r in pieces.collect()] == ["INFO svc: call <*> took <*> ms code <*>"]
 
 
+def test_templates_do_not_depend_on_sizes(spark):
+    """Any piece size and any number of literals at a position give what one fold in line order gives."""
+    rng = random.Random(5)
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    texts = [" ".join(["INFO", "svc:", *(word(rng.randrange(6)) for _ in range(5))]) for _ in range(700)]
+    want, held = [], {}
+    for line, text in enumerate(texts):
+        row = text.split(" ")
+        scores = [sum(x == y != "<*>" for x, y in zip(shape, row)) / 7 for shape, *_ in want]
+        if text in held:
+            continue
+        held[text] = texts.count(text)
+        if scores and max(scores) >= 0.7:
+            best = want[scores.index(max(scores))]
+            best[0] = [x if x == y else "<*>" for x, y in zip(best[0], row)]
+            best[1] += held[text]
+        else:
+            want.append([row, held[text], line])
+    total = {}
+    for shape, k, line in want:
+        old = total.get(" ".join(shape), (0, line))
+        total[" ".join(shape)] = (old[0] + k, min(old[1], line))
+    for size in (5_000, 50, 7):
+        got = T.mine_templates(lines(spark, texts), 0.7, merge_rows=size).collect()
+        assert {r["template"]: (r["count"], r["first_line"]) for r in got} == total and len(got) > 20
+    for n in (100, 101, 150):
+        verbs = [f"INFO svc: {word(k)} the thing" for k in range(n)]
+        assert T.mine_templates(lines(spark, verbs), 0.95).count() == n
+
+
 def test_merge_respects_the_threshold():
     pdf = pd.DataFrame({"pattern": ["a b c d e", "a b x y z", "a b c q r"], "cnt": [1, 2, 3], "first_line": [0, 1, 2]})
     loose = T.merge_patterns(pdf, 0.4)

@@ -19,7 +19,7 @@ from weftlog.session import durable
 # A catalog up to this size is sent to every executor; a larger one is joined by shuffle.
 SMALL_CATALOG_ROWS = 20_000
 SMALL_CATALOG_CHARS = 16_000_000
-# Most distinct patterns of one bucket that one merge task takes.
+# Most distinct patterns of one bucket that are folded at once.
 MERGE_ROWS = 5_000
 
 _ANNOTATED = ["cluster_id", "template", "parameters"]
@@ -72,28 +72,45 @@ def number_templates(found: DataFrame) -> DataFrame:
     return rows.select((F.col("pos") + 1).cast("int").alias("cluster_id"), "template", "count", "first_line")
 
 
-def merge_patterns(pdf: pd.DataFrame, sim_th: float) -> pd.DataFrame:
+def merge_patterns(pdf: pd.DataFrame, sim_th: float, before: pd.DataFrame | None = None) -> pd.DataFrame:
     """Fold the patterns of one bucket into templates, earliest first line first.
 
     A pattern joins the most similar template when the share of equal literal
-    positions reaches `sim_th`; positions that differ become wildcards."""
+    positions reaches `sim_th`; positions that differ become wildcards. `before` holds
+    the templates of earlier patterns of the bucket: a bucket folded piece by piece in
+    the order of its first lines gives what it gives at once."""
     pdf = pdf.sort_values(["first_line", "pattern"], ignore_index=True)
+    if before is not None:
+        pdf = pd.concat([before, pdf], ignore_index=True)
+    known = 0 if before is None else len(before)
     codes, words = pd.factorize(np.array([p.split(" ") for p in pdf["pattern"]], dtype=object).ravel())
     rows = codes.reshape(len(pdf), -1)
     wild = -1
     rows = np.where(np.isin(rows, np.flatnonzero(words == WILDCARD)), wild, rows)
     shapes = np.empty_like(rows)
-    counts, firsts, n = np.zeros(len(pdf), dtype="int64"), np.zeros(len(pdf), dtype="int64"), 0
-    for row, cnt, first in zip(rows, pdf["cnt"], pdf["first_line"]):
-        if n:
-            same = ((shapes[:n] == row) & (shapes[:n] != wild)).mean(axis=1)
-            best = int(same.argmax())
-            if same[best] >= sim_th:
-                shapes[best] = np.where(shapes[best] == row, row, wild)
-                counts[best] += cnt
-                continue
-        shapes[n], counts[n], firsts[n] = row, cnt, first
-        n += 1
+    cnt, first = pdf["cnt"].to_numpy("int64"), pdf["first_line"].to_numpy("int64")
+    counts, firsts, n = np.zeros(len(pdf), dtype="int64"), np.zeros(len(pdf), dtype="int64"), known
+    shapes[:n], counts[:n], firsts[:n] = rows[:n], cnt[:n], first[:n]
+    at, step = known, 1
+    while at < len(rows):
+        # Rows are compared some at a time, up to the first one that changes a template.
+        some = rows[at:at + max(1, min(step, 1_000_000 // (max(n, 1) * rows.shape[1])))]
+        same = ((shapes[None, :n] == some[:, None]) & (shapes[None, :n] != wild)).mean(axis=2) if n else np.full((len(some), 1), -1.0)
+        best = same.argmax(axis=1)
+        joins = same[np.arange(len(some)), best] >= sim_th if n else np.zeros(len(some), bool)
+        fits = joins & ((shapes[best] == some) | (shapes[best] == wild)).all(axis=1)
+        stop = len(some) if fits.all() else int(fits.argmin())
+        np.add.at(counts, best[:stop], cnt[at:at + stop])
+        at, step = at + stop, 2 * step
+        if stop < len(some):
+            if joins[stop]:
+                k = best[stop]
+                shapes[k] = np.where(shapes[k] == some[stop], some[stop], wild)
+                counts[k] += cnt[at]
+            else:
+                shapes[n], counts[n], firsts[n] = some[stop], cnt[at], first[at]
+                n += 1
+            at, step = at + 1, max(1, stop)
     named = np.append(words, WILDCARD)  # the code -1 reads the last entry
     return pd.DataFrame({
         "pattern": [" ".join(named[s]) for s in shapes[:n]], "cnt": counts[:n], "first_line": firsts[:n],
@@ -106,10 +123,11 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
     template, and the tokens in which they differ become wildcards.
 
     Spark does the volume: masking, merging equal texts, bucketing by token count
-    and leading tokens, and replacing positions with more than `max_children`
-    different tokens. What is left per bucket is folded in Python, in salted pieces
-    of about `merge_rows` patterns; rounds with other salts repeat until every bucket
-    fits one piece or stops shrinking. The result depends on the lines only.
+    and leading tokens, and sorting each bucket by first line. A task then reads the
+    distinct texts of its buckets in that order, at most `merge_rows` at a time, and holds
+    a bucket's templates only. The result depends on the lines only, not on the size of
+    a bucket, on `merge_rows` or on `max_children`, which bounded the tree of the analysed
+    workflow: buckets need no such bound. A bucket is folded by one task.
     """
     texts = durable(_distinct_content(lines, content, line))
     t = tokens("masked")
@@ -117,45 +135,27 @@ def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_ch
     lead = F.transform(F.slice("t", 1, max(depth - 2, 1)),
                        lambda w: F.when(w.rlike(r"\d"), F.lit(WILDCARD)).otherwise(w))
     rows = texts.select("cnt", "first_line", t.alias("t")).select(
-        "*", F.size("t").alias("n_tokens"), F.array_join(lead, " ").alias("lead")
+        F.size("t").alias("n_tokens"), F.array_join(lead, " ").alias("lead"), F.array_join("t", " ").alias("pattern"), "cnt", "first_line"
     )
     bucket = ["n_tokens", "lead"]
-    cells = rows.select(*bucket, F.posexplode("t").alias("i", "w")).distinct()
-    wide = cells.groupBy(*bucket, "i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max_children)
-    wide = wide.groupBy(*bucket).agg(F.collect_list("i").alias("wide"))
-    rows = rows.join(wide, bucket, "left")
-    pattern = F.array_join(
-        F.transform("t", lambda w, i: F.when(F.array_contains(F.coalesce("wide", F.array().cast("array<int>")), i), F.lit(WILDCARD)).otherwise(w)),
-        " ",
-    )
-    state = rows.groupBy(*bucket, pattern.alias("pattern")).agg(
-        F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_line")
-    )
-    state = durable(state)
-    schema = "n_tokens int, lead string, pattern string, cnt bigint, first_line bigint"
-    before, stuck, turn = None, 0, 0
-    while True:
-        sizes = state.groupBy(*bucket).agg(F.count(F.lit(1)).alias("k"))
-        total, largest = sizes.agg(F.sum("k"), F.max("k")).first()
-        stuck = stuck + 1 if total == before else 0
-        if total is None or stuck == 3:
-            break
-        pieces = F.ceil(F.col("k") / merge_rows).cast("int")
-        salted = state.join(sizes, bucket).withColumn(
-            "piece", F.pmod(F.xxhash64(F.lit(turn), "pattern"), pieces).cast("int")
-        ).drop("k")
-
-        def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            out = merge_patterns(pdf, sim_th)
-            out.insert(0, "n_tokens", key[0])
-            out.insert(1, "lead", key[1])
-            return out
-
-        state = durable(salted.groupBy(*bucket, "piece").applyInPandas(fold, schema))
-        before, turn = total, turn + 1
-        if largest <= merge_rows:
-            break
-    found = state.groupBy(F.col("pattern").alias("template")).agg(
+    state = rows.groupBy(*bucket, "pattern").agg(F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_line"))
+    state = state.repartition(*bucket).sortWithinPartitions(*bucket, "first_line", "pattern")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, found = None, None
+        for pdf in batches:
+            for key, part in pdf.groupby(bucket, sort=False):
+                if key != open_:
+                    if found is not None:
+                        yield found
+                    open_, found = key, None
+                for k in range(0, len(part), merge_rows):
+                    found = merge_patterns(part.iloc[k:k + merge_rows][["pattern", "cnt", "first_line"]], sim_th, found)
+        if found is not None:
+            yield found
+
+    merged = durable(state.mapInPandas(fold, "pattern string, cnt bigint, first_line bigint"))
+    found = merged.groupBy(F.col("pattern").alias("template")).agg(
         F.sum("cnt").alias("count"), F.min("first_line").alias("first_line")
     )
     return number_templates(found)
