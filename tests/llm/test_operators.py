@@ -215,6 +215,15 @@ def test_pages_of_any_shape(spark):
     assert htmlmain.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_unclosed_and_self_closing_elements_hide_no_text():
+    texts = lambda page: [n.text for n in htmlmain.tree(page) if n.text is not None]
+    for tag in ("svg", "select", "template", "noscript"):
+        assert texts(f"<p>one</p><{tag} class=x><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag}>gone</{tag}><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><svg width='1' /><p>two</p><svg>gone</svg><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><script>gone<p>two</p>") == ["one"]
+
+
 def brute_groups(docs):
     sets = []
     for _, t in docs:

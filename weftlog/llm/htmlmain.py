@@ -28,6 +28,8 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg head select".split())
+# Those that hold markup: without an end tag only the tag itself is dropped.
+READ_ON = frozenset("noscript template svg head select".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 # A start tag of the first closes an open element of the second, up to the nearest of the third.
 CLOSES = {
@@ -132,10 +134,12 @@ def tree(page: str) -> list[Node]:
             elif tag not in INLINE:
                 close({tag})
         elif tag in RAW:
+            if tag == "svg" and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
             if end:
                 pos = end.end()
-            elif tag == "head":
+            elif tag in READ_ON:
                 continue
             else:
                 break
