@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.llm import chat, decontaminate, htmlmain, langid, nearedup, packing, quality, suffixes, tokenfile, tokens
+from weftlog.llm import (
+    chat, decontaminate, htmlmain, langid, lexical, licences, nearedup, packing, quality, suffixes, tokenfile, tokens, trie,
+)
 from weftlog.llm.base import store, table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +108,58 @@ def op10_language_id(spark, sf_dir):
 @query("op6_near_duplicates")
 def op6_near_duplicates(spark, sf_dir):
     return nearedup.groups(table(spark, sf_dir, "documents"))
+
+
+_TERMS = (r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+OP11_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+    s AS (SELECT count(*) FILTER (len(w) > 0) AS all_docs, CAST(sum(len(w)) AS BIGINT) AS all_terms FROM d),
+    p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+    f AS (SELECT t, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY t, all_docs),
+    q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS t FROM benchmark)),
+    x AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+          FROM q JOIN p USING (t) JOIN f USING (t), s GROUP BY ALL),
+    k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+    SELECT * FROM k WHERE rank <= 50"""
+
+
+@query("op11_lexical_search", OP11_SQL)
+def op11_lexical_search(spark, sf_dir):
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The decimal digits of an id bit by bit, lowest first, through the reflected polynomial of crc32.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                lambda ch: list_transform(range(8), lambda k: (ascii(ch) >> CAST(k AS INTEGER)) & 1)))),
+            lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+OP12_SQL = f"""
+    WITH t AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS idx
+        FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT c.conv_id, 0 AS part, idx, role, text FROM c JOIN t ON t.conv_id = c.base AND idx < h
+          UNION ALL SELECT c.conv_id, 1, idx, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND idx >= h),
+    o AS (SELECT conv_id, text, sha256(length(role) || ':' || role || text) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY part, idx) AS depth FROM r),
+    m AS (SELECT conv_id, depth, length(text) AS chars, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM o
+          UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+    n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM m GROUP BY path, depth),
+    l AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id),
+    e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM m JOIN l USING (conv_id, depth) GROUP BY path),
+    k AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    g AS (SELECT *, coalesce(n_children, 0) AS kids FROM n LEFT JOIN k USING (path)),
+    u AS (SELECT a.path, count(*) FILTER (b.kids = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.chars) AS BIGINT) AS saved_tokens
+          FROM g a JOIN g b ON starts_with(b.path, a.path) GROUP BY a.path)
+    SELECT g.conv_id, g.depth, up.conv_id AS parent_conv_id, g.n_convs, g.kids AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM g JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n up ON g.depth > 0 AND up.path = left(g.path, length(g.path) - 64)"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_licence_scan")
+def op13_licence_scan(spark, sf_dir):
+    return licences.verdicts(licences.scan(table(spark, sf_dir, "documents")))
