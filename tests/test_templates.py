@@ -31,50 +31,84 @@ def test_mining_counts_every_line_and_ignores_partitioning(spark):
     assert a == b and sum(r["count"] for r in a) == len(texts)
 
 
-def test_mining_in_pieces_agrees_with_one_piece(spark):
-    """A bucket folded in several salted pieces and rounds ends in the same templates."""
-    texts = [f"INFO svc: call k{i % 90} took {i % 80} ms code {i % 3}" for i in range(2000)]
-    whole = T.mine_templates(lines(spark, texts), max_children=1000)
-    pieces = T.mine_templates(lines(spark, texts), max_children=1000, merge_rows=50)
-    assert [r["template"] for r in whole.collect()] == [r["template"] for r in pieces.collect()] == ["INFO svc: call <*> took <*> ms code <*>"]
-
-
-def test_templates_do_not_depend_on_sizes(spark):
-    """Any piece size and any number of literals at a position give what one fold in line order gives."""
-    rng = random.Random(5)
-    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
-    texts = [" ".join(["INFO", "svc:", *(word(rng.randrange(6)) for _ in range(5))]) for _ in range(700)]
-    want, held = [], {}
+def mined(texts, sim_th, depth=4):
+    """{template: (count, first line)} by the rule of `mine_templates`, group by group."""
+    held = {}
     for line, text in enumerate(texts):
-        row = text.split(" ")
-        scores = [sum(x == y != "<*>" for x, y in zip(shape, row)) / 7 for shape, *_ in want]
-        if text in held:
+        n, first = held.get(text, (0, line))
+        held[text] = (n + 1, first)
+    buckets = {}
+    for text in held:
+        t = text.split(" ")
+        lead = tuple("<*>" if any(c.isdigit() for c in w) else w for w in t[:max(depth - 2, 1)])
+        buckets.setdefault((len(t), lead), []).append(t)
+    out, todo = {}, list(buckets.values())
+    while todo:
+        group = todo.pop()
+        seen = [sorted({t[i] for t in group}) for i in range(len(group[0]))]
+        varied = [i for i, w in enumerate(seen) if len(w) > 1]
+        if varied and sum(len(w) == 1 and w != ["<*>"] for w in seen) / len(seen) < sim_th:
+            at = min(varied, key=lambda i: ("<*>" in seen[i], len(seen[i]), i))
+            todo += [[t for t in group if t[at] == w] for w in seen[at]]
             continue
-        held[text] = texts.count(text)
-        if scores and max(scores) >= 0.7:
-            best = want[scores.index(max(scores))]
-            best[0] = [x if x == y else "<*>" for x, y in zip(best[0], row)]
-            best[1] += held[text]
-        else:
-            want.append([row, held[text], line])
-    total = {}
-    for shape, k, line in want:
-        old = total.get(" ".join(shape), (0, line))
-        total[" ".join(shape)] = (old[0] + k, min(old[1], line))
-    for size in (5_000, 50, 7):
-        got = T.mine_templates(lines(spark, texts), 0.7, merge_rows=size).collect()
-        assert {r["template"]: (r["count"], r["first_line"]) for r in got} == total and len(got) > 20
+        template = " ".join("<*>" if i in varied else w[0] for i, w in enumerate(seen))
+        n, first = out.get(template, (0, len(texts)))
+        out[template] = (n + sum(held[" ".join(t)][0] for t in group), min(first, *(held[" ".join(t)][1] for t in group)))
+    return out
+
+
+WORDS = "abcdefghij"
+
+
+def mixed_texts(seed, n, kinds=6):
+    rng = random.Random(seed)
+    word = lambda k: "".join(WORDS[int(d)] for d in str(k))
+    texts = [" ".join(["INFO", "svc:", *(word(rng.randrange(kinds)) for _ in range(5))]) for _ in range(n)]
+    texts += [f"WARN db: {rng.choice(['open', 'close', 'drop'])} <*> {word(rng.randrange(90))} by {word(rng.randrange(900))}" for _ in range(n // 2)]
+    return texts + ["single", "", "WARN db: open x y by z"]
+
+
+@pytest.mark.parametrize("sim_th", [0.2, 0.4, 0.6, 0.7, 0.95])
+def test_templates_equal_brute_force_for_any_split(spark, sim_th, monkeypatch):
+    texts = mixed_texts(5, 300)
+    want = mined(texts, sim_th)
+    for parts, shares in ((1, 1000), (7, 3)):
+        # Few shares make large groups take the broadcast way, small ones the shuffled one.
+        monkeypatch.setattr("weftlog.operators.skew.SHARES", shares)
+        rows = T.mine_templates(lines(spark, texts).repartition(parts), sim_th).collect()
+        assert {r["template"]: (r["count"], r["first_line"]) for r in rows} == want
+        assert [r["cluster_id"] for r in sorted(rows, key=lambda r: (r["first_line"], r["template"]))] == list(range(1, len(rows) + 1))
+    assert (len(want) > 20) == (sim_th > 0.5)
+
+
+def test_number_of_values_is_no_switch(spark):
+    word = lambda k: "".join(WORDS[int(d)] for d in str(k))
     for n in (100, 101, 150):
         verbs = [f"INFO svc: {word(k)} the thing" for k in range(n)]
         assert T.mine_templates(lines(spark, verbs), 0.95).count() == n
+        assert [r["template"] for r in T.mine_templates(lines(spark, verbs)).collect()] == ["INFO svc: <*> the thing"]
 
 
-def test_merge_respects_the_threshold():
-    pdf = pd.DataFrame({"pattern": ["a b c d e", "a b x y z", "a b c q r"], "cnt": [1, 2, 3], "first_line": [0, 1, 2]})
-    loose = T.merge_patterns(pdf, 0.4)
-    assert list(loose["pattern"]) == ["a b <*> <*> <*>"] and loose["cnt"].sum() == 6
-    tight = T.merge_patterns(pdf, 0.6)
-    assert sorted(tight["pattern"]) == ["a b c <*> <*>", "a b x y z"]
+def test_threshold_decides_between_one_group_and_its_parts(spark):
+    texts = ["a b c d e", "a b x y z", "a b c q r"]
+    get = lambda th: sorted(r["template"] for r in T.mine_templates(lines(spark, texts), th).collect())
+    assert get(0.4) == ["a b <*> <*> <*>"]
+    assert get(0.6) == ["a b c <*> <*>", "a b x y z"]
+
+
+def test_no_task_holds_a_bucket(spark):
+    """One bucket of many texts: rows are exploded and merged per position, never gathered."""
+    texts = [f"INFO svc: {i} step" for i in range(50)] + mixed_texts(6, 200)
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "group string, t string, cnt bigint")
+    rows = rows.select(F.lit("one").alias("group"), F.split("t", " ").alias("t"), "cnt", F.lit(0).alias("first_line"))
+    plan = T._group_shapes(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "collect_list(t" not in plan and "partial_min(w" in plan
+
+
+def test_lines_without_text_give_no_template(spark):
+    df = spark.createDataFrame([(0, None), (1, "a b c")], "line_no bigint, content string")
+    assert [(r["template"], r["count"]) for r in T.mine_templates(df).collect()] == [("a b c", 1)]
+    assert T.mine_templates(df.where("false")).count() == 0
 
 
 CATALOG = [(1, "INFO a <*> c"), (2, "INFO a b <*>"), (3, "INFO <*> <*> <*>"), (4, "<*> a b c"), (5, "one"), (6, "INFO a b <*>")]
@@ -107,6 +141,46 @@ def test_matching_equals_brute_force(spark):
     assert all(r["cluster_id"] is not None for r in rows)
 
 
+def best_of(catalog, text):
+    words = text.split()
+    fits = []
+    for i, t in catalog:
+        shape = t.split(" ")
+        if len(shape) == len(words) and all(s in ("<*>", w) for s, w in zip(shape, words)):
+            fits.append((-sum(s != "<*>" for s in shape), i))
+    return min(fits)[1] if fits else None
+
+
+@pytest.mark.parametrize("shares", [1000, 4])
+def test_index_match_equals_brute_force_with_hot_keys(spark, shares, monkeypatch):
+    """Templates of one literal that many texts hold, wildcard-led ones, ones without literals, and a text most lines share."""
+    monkeypatch.setattr(T, "MATCH_SHARES", shares)
+    monkeypatch.setattr("weftlog.operators.skew.SHARES", shares)
+    rng = random.Random(9)
+    catalog = [(1, "INFO <*> <*>"), (2, "<*> <*> <*>"), (3, "<*> <*> <*>"), (4, "<*> b <*>"), (5, "<*> <*> c d")]
+    catalog += [(k, " ".join(["INFO", *(rng.choice(["<*>", *"abcde"]) for _ in range(rng.randrange(2, 5)))])) for k in range(6, 90)]
+    catalog += [(k, f"<*> <*> {rng.choice('abcde')} <*> {rng.choice('abcde')}") for k in range(90, 130)]
+    texts = [" ".join([rng.choice(["INFO", "INFO", "WARN"]), *rng.choices("abcdef", k=rng.randrange(1, 5))]) for _ in range(400)]
+    texts += ["INFO a b"] * 300 + ["no such line at all here"] * 50
+    df = lines(spark, texts)
+    cat = spark.createDataFrame(catalog, "cluster_id int, template string")
+    got = T.match_templates(df, cat, small=False).orderBy("line_no").collect()
+    assert [r["cluster_id"] for r in got] == [best_of(catalog, t) for t in texts]
+    empty = T.match_templates(df, cat.where("false"), small=False)
+    assert empty.where("cluster_id IS NULL").count() == len(texts)
+
+
+def test_no_match_key_exceeds_its_share(spark, monkeypatch):
+    """Every template has the same literal, and all texts hold it: the key is salted to its share."""
+    monkeypatch.setattr(T, "MATCH_SHARES", 20)
+    catalog = spark.createDataFrame([(k, "INFO <*> <*>") for k in range(30)], "cluster_id int, template string")
+    texts = spark.range(500).select(F.col("id").alias("text_id"), F.lit(3).alias("n"), F.array(F.lit("INFO"), F.col("id").cast("string"), F.lit("x")).alias("words"))
+    cands = T._candidates(texts, T.literal_index(catalog))
+    assert cands.count() == 500 * 30
+    spread = cands.groupBy(F.pmod("text_id", F.lit(20))).count()
+    assert spread.agg(F.max("count")).first()[0] <= 500 * 30 / 20
+
+
 def test_enrichment_sends_only_new_templates(spark):
     cat = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "cluster_id int, template string")
     stored = spark.createDataFrame([(0, "{}"), (2, "{}")], "cluster_id int, enriched string")

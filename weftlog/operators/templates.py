@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +12,14 @@ from pyspark.sql import functions as F
 from weftlog.functions.columns import (
     PLACEHOLDER, WILDCARD, coerce_json, extract_block_id, extract_parameters, mask_tokens,
 )
-from weftlog.operators.skew import ordered
+from weftlog.operators.skew import join_weighed, ordered
 from weftlog.session import durable
 
 # A catalog up to this size is sent to every executor; a larger one is joined by shuffle.
 SMALL_CATALOG_ROWS = 20_000
 SMALL_CATALOG_CHARS = 16_000_000
-# Most distinct patterns of one bucket that are folded at once.
-MERGE_ROWS = 5_000
+# Most of the candidates of a shuffled match that one join key may hold: one in this many.
+MATCH_SHARES = 1_000
 
 _ANNOTATED = ["cluster_id", "template", "parameters"]
 
@@ -72,93 +71,69 @@ def number_templates(found: DataFrame) -> DataFrame:
     return rows.select((F.col("pos") + 1).cast("int").alias("cluster_id"), "template", "count", "first_line")
 
 
-def merge_patterns(pdf: pd.DataFrame, sim_th: float, before: pd.DataFrame | None = None) -> pd.DataFrame:
-    """Fold the patterns of one bucket into templates, earliest first line first.
-
-    A pattern joins the most similar template when the share of equal literal
-    positions reaches `sim_th`; positions that differ become wildcards. `before` holds
-    the templates of earlier patterns of the bucket: a bucket folded piece by piece in
-    the order of its first lines gives what it gives at once."""
-    pdf = pdf.sort_values(["first_line", "pattern"], ignore_index=True)
-    if before is not None:
-        pdf = pd.concat([before, pdf], ignore_index=True)
-    known = 0 if before is None else len(before)
-    codes, words = pd.factorize(np.array([p.split(" ") for p in pdf["pattern"]], dtype=object).ravel())
-    rows = codes.reshape(len(pdf), -1)
-    wild = -1
-    rows = np.where(np.isin(rows, np.flatnonzero(words == WILDCARD)), wild, rows)
-    shapes = np.empty_like(rows)
-    cnt, first = pdf["cnt"].to_numpy("int64"), pdf["first_line"].to_numpy("int64")
-    counts, firsts, n = np.zeros(len(pdf), dtype="int64"), np.zeros(len(pdf), dtype="int64"), known
-    shapes[:n], counts[:n], firsts[:n] = rows[:n], cnt[:n], first[:n]
-    at, step = known, 1
-    while at < len(rows):
-        # Rows are compared some at a time, up to the first one that changes a template.
-        some = rows[at:at + max(1, min(step, 1_000_000 // (max(n, 1) * rows.shape[1])))]
-        same = ((shapes[None, :n] == some[:, None]) & (shapes[None, :n] != wild)).mean(axis=2) if n else np.full((len(some), 1), -1.0)
-        best = same.argmax(axis=1)
-        joins = same[np.arange(len(some)), best] >= sim_th if n else np.zeros(len(some), bool)
-        fits = joins & ((shapes[best] == some) | (shapes[best] == wild)).all(axis=1)
-        stop = len(some) if fits.all() else int(fits.argmin())
-        np.add.at(counts, best[:stop], cnt[at:at + stop])
-        at, step = at + stop, 2 * step
-        if stop < len(some):
-            if joins[stop]:
-                k = best[stop]
-                shapes[k] = np.where(shapes[k] == some[stop], some[stop], wild)
-                counts[k] += cnt[at]
-            else:
-                shapes[n], counts[n], firsts[n] = some[stop], cnt[at], first[at]
-                n += 1
-            at, step = at + 1, max(1, stop)
-    named = np.append(words, WILDCARD)  # the code -1 reads the last entry
-    return pd.DataFrame({
-        "pattern": [" ".join(named[s]) for s in shapes[:n]], "cnt": counts[:n], "first_line": firsts[:n],
-    })
-
+def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, *,
+                   content: str = "content", line: str = "line_no") -> DataFrame:
+    """Learn templates from masked text: a group of lines that agree in enough positions is one
+    template, and the positions in which they differ become wildcards.
 
-def mine_templates(lines: DataFrame, sim_th: float = 0.4, depth: int = 4, max_children: int = 100, *,
-                   content: str = "content", line: str = "line_no", merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """Learn templates from masked text: similar lines of one bucket become one
-    template, and the tokens in which they differ become wildcards.
+    A bucket holds the texts of one token count and equal leading tokens. A group is a template
+    if the share of positions in which all its texts have the same literal reaches `sim_th`, or if
+    no position differs. Any other group is split by the token at its position of fewest
+    distinct tokens (one without wildcards first, then the leftmost), and the parts are
+    looked at again, so a round fixes one position.
 
-    Spark does the volume: masking, merging equal texts, bucketing by token count
-    and leading tokens, and sorting each bucket by first line. A task then reads the
-    distinct texts of its buckets in that order, at most `merge_rows` at a time, and holds
-    a bucket's templates only. The result depends on the lines only, not on the size of
-    a bucket, on `merge_rows` or on `max_children`, which bounded the tree of the analysed
-    workflow: buckets need no such bound. A bucket is folded by one task.
+    The rule sees sets of texts only: smallest, largest and distinct tokens per position, which
+    merge in any order. The result depends neither on the order of the lines nor on how a
+    bucket is spread over tasks; nothing reads a bucket in one task. Lines without text give no
+    template.
     """
-    texts = durable(_distinct_content(lines, content, line))
-    t = tokens("masked")
+    texts = _distinct_content(lines, content, line)
     # Tokens with digits are treated as variable when they lead, as is usual for logs.
     lead = F.transform(F.slice("t", 1, max(depth - 2, 1)),
                        lambda w: F.when(w.rlike(r"\d"), F.lit(WILDCARD)).otherwise(w))
-    rows = texts.select("cnt", "first_line", t.alias("t")).select(
-        F.size("t").alias("n_tokens"), F.array_join(lead, " ").alias("lead"), F.array_join("t", " ").alias("pattern"), "cnt", "first_line"
-    )
-    bucket = ["n_tokens", "lead"]
-    state = rows.groupBy(*bucket, "pattern").agg(F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_line"))
-    state = state.repartition(*bucket).sortWithinPartitions(*bucket, "first_line", "pattern")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, found = None, None
-        for pdf in batches:
-            for key, part in pdf.groupby(bucket, sort=False):
-                if key != open_:
-                    if found is not None:
-                        yield found
-                    open_, found = key, None
-                for k in range(0, len(part), merge_rows):
-                    found = merge_patterns(part.iloc[k:k + merge_rows][["pattern", "cnt", "first_line"]], sim_th, found)
-        if found is not None:
-            yield found
-
-    merged = durable(state.mapInPandas(fold, "pattern string, cnt bigint, first_line bigint"))
-    found = merged.groupBy(F.col("pattern").alias("template")).agg(
-        F.sum("cnt").alias("count"), F.min("first_line").alias("first_line")
-    )
-    return number_templates(found)
+    rows = durable(texts.select(tokens("masked").alias("t"), "cnt", "first_line").select(
+        F.concat_ws(" ", F.size("t").cast("string"), lead).alias("group"), "t", "cnt", "first_line"))
+    found: list[DataFrame] = []
+    while True:
+        shapes = durable(_group_shapes(rows))
+        same = F.size(F.filter("cells", lambda c: c["w"] != WILDCARD)) / F.size("cells")
+        open_ = (same < sim_th) & F.exists("cells", lambda c: c["w"].isNull())
+        found.append(shapes.where(~open_).select(
+            F.array_join(F.transform("cells", lambda c: F.coalesce(c["w"], F.lit(WILDCARD))), " ").alias("template"), "cnt", "first_line"))
+        undecided = shapes.where(open_).select("group", "cells", "texts")
+        total = undecided.agg(F.sum("texts")).first()[0]
+        if total is None:
+            break
+        rows = durable(_split_groups(rows, undecided, total))
+    merged = reduce(DataFrame.unionByName, found).groupBy("template").agg(
+        F.sum("cnt").alias("count"), F.min("first_line").alias("first_line"))
+    return number_templates(merged)
+
+
+def _group_shapes(rows: DataFrame) -> DataFrame:
+    """Per group: number of texts, lines, first line, and per position its only token (null where
+    tokens differ) and whether a wildcard is among them."""
+    cells = rows.select("group", "cnt", "first_line", F.posexplode("t").alias("i", "w"))
+    spots = cells.groupBy("group", "i").agg(
+        F.min("w").alias("lo"), F.max("w").alias("hi"), F.bool_or(F.col("w") == WILDCARD).alias("wild"),
+        F.count(F.lit(1)).alias("texts"), F.sum("cnt").alias("cnt"), F.min("first_line").alias("first_line"))
+    cell = F.struct("i", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("w"), "wild")
+    return spots.groupBy("group").agg(
+        F.array_sort(F.collect_list(cell)).alias("cells"), F.first("texts").alias("texts"),
+        F.first("cnt").alias("cnt"), F.first("first_line").alias("first_line"))
+
+
+def _split_groups(rows: DataFrame, undecided: DataFrame, total: int) -> DataFrame:
+    """The texts of undecided groups, each in the part of its token at the group's splitting position."""
+    part = join_weighed(rows, undecided.withColumn("size", F.col("texts")), ["group"], "texts", total)
+    varied = F.transform(F.filter("cells", lambda c: c["w"].isNull()), lambda c: F.struct(
+        c["i"].alias("i"), c["wild"].alias("wild"), F.get("t", c["i"]).alias("w")))
+    seen = part.select("group", "size", F.explode(varied).alias("c")).select("group", "size", "c.*").distinct()
+    spread = seen.groupBy("group", "size", "i", "wild").agg(F.count(F.lit(1)).alias("k"))
+    at = spread.groupBy("group", "size").agg(F.min(F.struct("wild", "k", "i"))["i"].alias("at"))
+    placed = join_weighed(part.drop("cells", "size"), at, ["group"], "size", total)
+    group = F.concat("group", F.lit(" "), F.col("at").cast("string"), F.lit("="), F.get("t", F.col("at")))
+    return placed.select(group.alias("group"), "t", "cnt", "first_line")
 
 
 # --- matching ---------------------------------------------------------------
@@ -204,7 +179,7 @@ def match_templates(lines: DataFrame, catalog: DataFrame, *, content: str = "con
     Best means most literal tokens, then the lowest id. Candidates share the token
     count and the first two tokens (or a wildcard there). A small catalog, checked
     by rows and bytes, is broadcast and lines never move. For a large one the
-    distinct masked texts are matched by a shuffled join and joined back.
+    distinct masked texts are matched through an index of rare literals and joined back.
     """
     return _matched(lines, catalog, content, small).drop("__holes")
 
@@ -246,22 +221,62 @@ def _match_in_place(lines: DataFrame, catalog: DataFrame, content: str) -> DataF
                        F.col("__b.holes").alias("__holes"))
 
 
+def literal_index(catalog: DataFrame) -> DataFrame:
+    """n, i, w, cand: every template with a literal under its rarest one, that is the
+    (token count, position, literal) fewest templates have; ties go to the leftmost."""
+    keyed = _keyed_catalog(catalog).select(F.col("k_n").alias("n"), "cand")
+    name = F.struct("cand.cluster_id", "cand.template")
+    spots = keyed.select("n", name.alias("name"), F.explode("cand.literals").alias("l")).select("n", "name", "l.*")
+    common = spots.groupBy("n", "i", "w").agg(F.count(F.lit(1)).alias("templates"))
+    total = common.agg(F.coalesce(F.sum("templates"), F.lit(0))).first()[0]
+    rated = join_weighed(spots, common.withColumn("rate", F.col("templates")), ["n", "i", "w"], "templates", total)
+    rarest = rated.groupBy("name").agg(F.min(F.struct("rate", "i", "w")).alias("r"))
+    return keyed.withColumn("name", name).join(rarest.select("name", "r.i", "r.w"), "name").select("n", "i", "w", "cand")
+
+
+def _candidates(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """text_id, cand: the templates whose rarest literal stands in the text.
+
+    A key holds as many candidates as it has texts times templates. One that holds more than its
+    share is salted into as many parts as it takes, so no join key has more than one
+    in `MATCH_SHARES` of all candidates (and of all probes); tokens that many texts but no
+    template has are dropped before the shuffle."""
+    keys = ["n", "i", "w"]
+    probes = texts.select("text_id", "n", F.posexplode("words").alias("i", "w"))
+    per_key = durable(
+        probes.groupBy(*keys).agg(F.count(F.lit(1)).alias("probes"))
+        .join(index.groupBy(*keys).agg(F.count(F.lit(1)).alias("templates")), keys, "left")
+        .withColumn("made", F.col("probes") * F.coalesce("templates", F.lit(0))))
+    all_probes, made = per_key.agg(F.coalesce(F.sum("probes"), F.lit(0)), F.coalesce(F.sum("made"), F.lit(0))).first()
+    parts = F.greatest(F.ceil(F.col("probes") * MATCH_SHARES / max(all_probes, 1)), F.ceil(F.col("made") * MATCH_SHARES / max(made, 1)))
+    # Fewer than 2 * MATCH_SHARES keys can be above their share of one or the other.
+    hot = per_key.where(parts > 1).select(*keys, F.when(F.col("made") > 0, parts.cast("int")).otherwise(F.lit(0)).alias("parts"))
+    met = probes.join(F.broadcast(hot), keys, "left")
+    plain = met.where(F.col("parts").isNull()).drop("parts").join(index, keys).select("text_id", "cand")
+    spread = index.join(F.broadcast(hot), keys).where("parts > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    salted = met.where("parts > 0").withColumn("salt", F.pmod("text_id", "parts").cast("int")).drop("parts")
+    return plain.unionByName(salted.join(spread, [*keys, "salt"]).select("text_id", "cand"))
+
+
 def _match_by_shuffle(lines: DataFrame, catalog: DataFrame, content: str) -> DataFrame:
+    """Distinct masked texts meet the templates whose rarest literal they hold, and are compared with
+    those only. Templates without literals differ in nothing that matters, so the lowest id of
+    each token count stands for them."""
     masked = lines.drop("cluster_id", "template").withColumn("__m", mask_tokens(content))
-    texts = masked.select("__m").distinct().withColumn("w", tokens("__m"))
-    second = F.when(F.size("w") > 1, F.col("w")[1]).otherwise(F.lit(""))
-    keys = F.array_distinct(F.array(
-        *[F.struct(a.alias("k_1"), b.alias("k_2"))
-          for a in (F.col("w")[0], F.lit(WILDCARD)) for b in (second, F.lit(WILDCARD))]
-    ))
-    probes = texts.select("__m", "w", F.size("w").alias("k_n"), F.explode(keys).alias("k")).select("__m", "w", "k_n", "k.*")
-    pairs = probes.join(_keyed_catalog(catalog), ["k_n", "k_1", "k_2"])
-    best = (
-        pairs.where(_fits(F.col("w"), F.col("cand")))
-        .groupBy("__m").agg(F.min(F.struct("cand.rank", "cand.cluster_id", "cand.template", "cand.holes")).alias("b"))
-        .select("__m", "b.cluster_id", "b.template", F.col("b.holes").alias("__holes"))
-    )
-    return masked.join(best, "__m", "left").drop("__m")
+    texts = durable(masked.groupBy("__m").agg(F.count(F.lit(1)).alias("lines")).where(F.col("__m").isNotNull()).select(
+        "__m", "lines", F.xxhash64("__m").alias("text_id"), tokens("__m").alias("words")).withColumn("n", F.size("words")))
+    cands = _candidates(texts, durable(literal_index(catalog)))
+    # Equal ids of different texts only bring more candidates, all of which are compared.
+    fits = texts.join(cands, "text_id").where(_fits(F.col("words"), F.col("cand")))
+    best = fits.groupBy("__m").agg(F.min("cand").alias("best"))
+    blank = _keyed_catalog(catalog).where(F.size("cand.literals") == 0).groupBy(F.col("k_n").alias("n")).agg(F.min("cand").alias("blank"))
+    found = texts.select("__m", "n", "lines").join(best, "__m", "left").join(blank, "n", "left").select(
+        "__m", "lines", F.coalesce("best", "blank").alias("b"))
+    found = found.where(F.col("b").isNotNull()).select(
+        "__m", "lines", F.col("b.cluster_id").alias("cluster_id"), F.col("b.template").alias("template"), F.col("b.holes").alias("__holes"))
+    total = texts.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    # Stored once: the lines of common and of other texts join it apart.
+    return join_weighed(masked, durable(found), ["__m"], "lines", total, "left").drop("__m")
 
 
 def annotate(lines: DataFrame, catalog: DataFrame, *, content: str = "content", raw: str = "raw") -> DataFrame:

@@ -363,7 +363,7 @@ def j6(spark, sf):
 
 
 # In these lines every bucket is one template whose variable positions differ, so the
-# similarity miner and the positional one must both give what this SQL gives.
+# agreement miner and the positional one must both give what this SQL gives.
 POSITIONAL = rf"""
     WITH m AS (SELECT line_no, string_split(regexp_replace(regexp_replace({CONTENT}, 'blk_-?\d+', '<BLK>', 'g'), '/?\d+\.\d+\.\d+\.\d+(:\d+)?', '<IP>', 'g'), ' ') AS t FROM v_raw_hdfs),
     b AS (SELECT len(t) AS n, t[1] || ' ' || t[2] AS lead, count(*) AS c, min(line_no) AS first_line FROM m GROUP BY 1, 2),
@@ -378,6 +378,30 @@ def t1(spark, sf):
     return T.mine_templates(raw_hdfs(spark, sf))
 
 
+# One round of the splitting rule: tokens per position, what each group comes to, and the parts of the open ones.
+_ROUND = """
+    c{k} AS (SELECT grp, i, count(DISTINCT w) AS words, min(w) AS w FROM (SELECT grp, unnest(t) AS w, unnest(range(8)) AS i FROM g{k}) GROUP BY grp, i),
+    s{k} AS (SELECT grp, count(*) FILTER (words = 1 AND w <> '<*>') / 8.0 >= 0.8 OR max(words) = 1 AS done, arg_min(i, words * 100 + i) FILTER (words > 1) AS at_pos,
+                    string_agg(CASE WHEN words = 1 THEN w ELSE '<*>' END, ' ' ORDER BY i) AS template FROM c{k} GROUP BY grp),
+    f{k} AS (SELECT template, count(*) AS c, min(line_no) AS line FROM g{k} JOIN s{k} USING (grp) WHERE done GROUP BY grp, template),
+    g{n} AS (SELECT grp || ' ' || at_pos || '=' || t[at_pos + 1] AS grp, t, line_no FROM g{k} JOIN s{k} USING (grp) WHERE NOT done)"""
+
+
+@query("t1_mine_templates_split", f"""
+    WITH g0 AS (SELECT 'all' AS grp, line_no, ['INFO', 'item:', l_returnflag, l_linestatus, 'of', chr(CAST(97 + l_suppkey % 7 AS INT)), chr(CAST(97 + l_partkey % 19 AS INT)), 'end'] AS t
+                FROM (SELECT *, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS line_no FROM lineitem)),
+    {",".join(_ROUND.format(k=k, n=k + 1) for k in range(6))},
+    f AS ({" UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(6))})
+    SELECT template, CAST(sum(c) AS BIGINT) AS count, min(line) AS first_line FROM f GROUP BY template""")
+def t1s(spark, sf):
+    """Messages of one bucket that agree in too few positions: several rounds, many templates."""
+    li = V.table(spark, sf, "lineitem")
+    letter = lambda c, k: F.chr(F.lit(97) + F.col(c) % k)
+    words = [F.lit("INFO"), F.lit("item:"), "l_returnflag", "l_linestatus", F.lit("of"), letter("l_suppkey", 7), letter("l_partkey", 19), F.lit("end")]
+    rows = li.select((F.col("l_orderkey").cast("bigint") * 10 + F.col("l_linenumber")).alias("line_no"), F.concat_ws(" ", *words).alias("content"))
+    return T.mine_templates(rows, 0.8).select("template", "count", "first_line")
+
+
 @query("t2_mine_templates_positional", POSITIONAL, ["v_raw_hdfs"])
 def t2(spark, sf):
     return T.mine_templates_positional(raw_hdfs(spark, sf))
