@@ -15,6 +15,7 @@ from weftlog.plans import views as V
 from weftlog.plans.registry import joined, query, r6, rounded, s6
 from weftlog.plans.session_queries import seq_sql
 from weftlog.session import scratch_path
+from weftlog.sources import graph_store
 from weftlog.sources import logs as L
 from weftlog.sources import tables as S
 
@@ -175,10 +176,24 @@ def s12(spark, sf):
     edges = G.graph_edges_basic(e).select("session_id", "src", "dst", "weight")
     part = F.substring("session_id", 5, 20).cast("bigint") % 3 == 0
     again = edges.where(part).withColumn("weight", F.col("weight") * 10)
-    S.upsert_graph(path, 1, blocks, nodes, edges)
-    S.upsert_graph(path, 2, blocks.where(part), nodes.where(part), again)
-    S.upsert_graph(path, 3, blocks.where(part), nodes.where(part), again)
-    return spark.read.parquet(f"{path}/v3/edges")
+    graph_store.upsert_graph(path, blocks, nodes, edges, buckets=8)
+    graph_store.upsert_graph(path, blocks.where(part), nodes.where(part), again, buckets=8)
+    graph_store.upsert_graph(path, blocks.where(part), nodes.where(part), again, buckets=8)
+    return graph_store.read_graph(spark, path, "edges")
+
+
+@query("s12_last_write_wins", """
+    SELECT session_id, cluster_id, arg_max(CAST(value AS DOUBLE), line_no) AS value, count(*) AS seen FROM v_events GROUP BY 1, 2""", ["v_events"])
+def s12_last(spark, sf):
+    """A batch that holds every node many times, in the order of its lines: the last line's row stays."""
+    path = scratch_path(spark, "store")
+    e = V.v_events(spark, sf)
+    nodes = e.select("session_id", "cluster_id", F.col("value").cast("double").alias("value"), "line_no")
+    seen = e.groupBy("session_id", "cluster_id").agg(F.count("*").alias("seen"))
+    none = e.where("false")
+    edges = none.select("session_id", F.col("cluster_id").alias("src"), F.col("cluster_id").alias("dst"), "line_no")
+    graph_store.upsert_graph(path, none.select("session_id", "line_no"), nodes, edges, order="line_no", buckets=8)
+    return graph_store.read_graph(spark, path, "nodes").drop("line_no").join(seen, ["session_id", "cluster_id"])
 
 
 @query("s13_load_graph", f"""

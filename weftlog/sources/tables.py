@@ -76,10 +76,7 @@ def best_enriched_run(catalogs: DataFrame, enriched: str | Sequence[str] = "enri
     return per.agg(F.max(key).alias("b")).select("b.run_tag", "b.enriched_count")
 
 
-# --- graph store ------------------------------------------------------------
-
-STORE_KEYS = {"blocks": ["session_id"], "nodes": ["session_id", "cluster_id"], "edges": ["session_id", "src", "dst"]}
-
+# --- keyed tables -----------------------------------------------------------
 
 def upsert(stored: DataFrame | None, fresh: DataFrame, keys: Sequence[str], version: str | None = None) -> DataFrame:
     """Merge by key: stored rows whose key does not come again, plus the fresh rows.
@@ -99,14 +96,6 @@ def upsert(stored: DataFrame | None, fresh: DataFrame, keys: Sequence[str], vers
     return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
-def upsert_graph(store: str, version: int, blocks: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
-    """Write the next version of the three tables; readers of the last one are not disturbed."""
-    spark = blocks.sparkSession
-    for name, fresh in {"blocks": blocks, "nodes": nodes, "edges": edges}.items():
-        old = spark.read.parquet(f"{store}/v{version - 1}/{name}") if version > 1 else None
-        upsert(old, fresh, STORE_KEYS[name]).write.mode("overwrite").parquet(f"{store}/v{version}/{name}")
-
-
 # What an absent attribute of a stored node or edge counts as.
 NODE_DEFAULTS = {"occurrence_count": 1, "param_count": 0, "param_num_mean": 0.0, "param_num_max": 0.0}
 EDGE_DEFAULTS = {"weight": 1, "time_delta_s": -1.0, "time_delta_std": 0.0}
