@@ -19,6 +19,20 @@ def test_one_shuffle_serves_windows_and_groups(spark, name):
     assert len(re.findall("Exchange hashpartitioning", plan(spark, name))) == 1
 
 
+@pytest.mark.parametrize("name", ["gr_graph_records"])
+def test_a_stored_run_is_grouped_without_moving_it(spark, name):
+    text = plan(spark, name)
+    assert "Exchange hashpartitioning" not in text and "Window" not in text and text.count("Bucketed: true") >= 2
+
+
+def test_scored_edges_stay_where_they_are(spark):
+    """The model is broadcast, the stored edges are scored and grouped by session in place; only nodes move."""
+    text = plan(spark, "m5_session_component_scores")
+    assert "BroadcastHashJoin [src" in text and not re.search(r"Exchange hashpartitioning\((src|dst)", text)
+    edges = text[text.index("structure"):]
+    assert len(re.findall("Exchange hashpartitioning", text)) <= 2 and edges
+
+
 def test_matching_a_small_catalog_moves_no_lines(spark):
     text = plan(spark, "j5_match_templates")
     # Exchanges: the four packed catalog sides and the spreading of the rendered lines.

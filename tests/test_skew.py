@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weftlog.operators import dataset as D
@@ -114,3 +115,18 @@ def test_result_does_not_depend_on_partitions(spark, make_events):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     key = lambda r: (r["session_id"], r["src"], r["dst"], r["weight"], round(r["td_std"], 9))
     assert sorted(map(key, base)) == sorted(map(key, again))
+
+
+@pytest.mark.parametrize("scale", ["raw", "log"])
+def test_a_stored_run_equals_the_lazy_way_with_and_without_hot_sessions(spark, make_events, scale):
+    sessions = {"hot": [i % 4 for i in range(90)], "a": [1, 2, 1], "b": [3], "c": [2] * 7}
+    params = {"hot": [["5", "x"], ["nan"]] * 45, "a": [["1.5"], [], ["2"]]}
+    e = make_events(sessions, params=params).repartition(3)
+    for per_task in (2_000_000, 25):
+        run = G.ordered_run(e, scale, rows_per_task=per_task)
+        assert (run.hot is None) == (per_task > 25)
+        same(G.graph_nodes(run, scale), G.graph_nodes(e, scale))
+        same(G.graph_edges(run, scale, rows_per_task=per_task), G.graph_edges(e, scale))
+        same(G.graph_sizes(run), G.graph_sizes(e))
+        same(G.event_chain(run), G.event_chain(e))
+        same(G.graph_edges_basic(run), G.graph_edges_basic(e))

@@ -57,7 +57,13 @@ def _parsed(c: Column) -> Column:
 
 
 def to_number(col: Column | str, finite_only: bool = False) -> Column:
+    """The number Python's float() reads, else null. Most are digits and a point, which need no pattern."""
     c = _c(col)
+    plain = F.translate(c, "0123456789.", "") == ""
+    return F.when(plain, c.try_cast("double")).otherwise(_patterned_number(c, finite_only))
+
+
+def _patterned_number(c: Column, finite_only: bool) -> Column:
     value = F.when(c.rlike(FLOAT_TEXT), _parsed(c))
     if finite_only:
         return F.when(F.abs(value) < F.lit(float("inf")), value)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -12,7 +15,9 @@ from weftlog.operators.sessions import (
     CLUSTER, LINE, SESSION, TS, length_stats, session_fingerprint, with_sequence,
 )
 from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, hot_keys, split_hot
+from weftlog.session import bucketed, durable
 
+# The features of a node and of an edge, in the order of the packed vectors.
 NODE_SCALARS = [
     "occurrence_count", "param_count", "param_num_mean", "param_num_max",
     "first_pos", "last_pos", "mean_pos", "std_pos", "pos_spread",
@@ -23,6 +28,43 @@ EDGE_SCALARS = [
 ]
 
 
+@dataclass(frozen=True)
+class OrderedRun:
+    """Events in session order, stored once: `rows` is dealt by session, so that grouping it by session, or by
+    session and more, moves nothing; `hot` has the rows of sessions too long for that (None: there are none)."""
+
+    rows: DataFrame
+    hot: DataFrame | None = None
+
+    def parts(self) -> list[tuple[DataFrame, bool]]:
+        return [(self.rows, False)] + ([(self.hot, True)] if self.hot is not None else [])
+
+
+def ordered_run(events: DataFrame, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE, cluster: str = CLUSTER,
+                params: str = "parameters", rows_per_task: int = ROWS_PER_TASK) -> OrderedRun:
+    """The run that `graph_nodes`, `graph_edges` and the other operators of this module read: positions, next
+    event, delta and parameter numbers of every event. Events are read, moved and ordered once.
+
+    `scale` must be that of the operators that read the run."""
+    names = dict(session=session, ts=ts, line=line, cluster=cluster)
+    keep = [c for c in (session, ts, line, cluster, params) if c in events.columns]
+    slim = events.select(*keep)
+    if params in keep:
+        slim = with_param_stats(slim, params, finite_only=scale == "log")
+    hot = hot_keys(slim, [session], rows_per_task)
+    cols = [session, cluster, "pos", "n", "norm_pos", f"next_{cluster}", "delta_us", *[c for c in ("param_count", "num_count", "num_sum", "num_max") if c in slim.columns]]
+    if not hot:
+        return OrderedRun(bucketed(with_sequence(slim, hot=hot, **names).select(*cols), session))
+    rest, part = split_hot(slim, [session], hot)
+    long = with_sequence(part, hot_rows=hot.rows, rows_per_task=rows_per_task, **names).select(*cols)
+    return OrderedRun(bucketed(with_sequence(rest, hot=[], **names).select(*cols), session), durable(long))
+
+
+def _of_run(run: OrderedRun, fn) -> DataFrame:
+    """`fn(rows, hot)` of both parts of a run; no session is in both."""
+    return reduce(DataFrame.unionByName, [fn(rows, hot) for rows, hot in run.parts()])
+
+
 def _sequenced(events: DataFrame, rows_per_task: int, **names) -> DataFrame:
     if "delta_us" in events.columns:
         return events
@@ -53,19 +95,25 @@ def param_summary(df: DataFrame, params: str = "parameters", finite_only: bool =
 
 
 def graph_nodes(
-    events: DataFrame, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
+    events: DataFrame | OrderedRun, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
     cluster: str = CLUSTER, params: str = "parameters", rows_per_task: int = ROWS_PER_TASK,
     hot: list | None = None,
 ) -> DataFrame:
-    """One node per (session, cluster) with occurrence, parameter and position features.
+    """One node per (session, cluster) with occurrence, parameter and position features, from events or a run.
 
     Parameters are reduced inside each row first, so nothing is exploded and the
     shuffle carries numbers only. Positions are summed as doubles, which is exact
     while the sum stays below 2^53 and cannot overflow beyond. `scale='log'` compresses the first four.
     """
+    if isinstance(events, OrderedRun):
+        return _of_run(events, lambda rows, _: _nodes(rows, scale, session, cluster))
     keep = [c for c in (session, ts, line, cluster, params, "pos", "n", "norm_pos", "delta_us") if c in events.columns]
     slim = with_param_stats(events.select(*keep), params, finite_only=scale == "log")
     rows = _sequenced(slim, rows_per_task, session=session, ts=ts, line=line, cluster=cluster, hot=hot)
+    return _nodes(rows, scale, session, cluster)
+
+
+def _nodes(rows: DataFrame, scale: str, session: str, cluster: str) -> DataFrame:
     span = F.greatest(F.first("n") - 1, F.lit(1))
     has = F.sum("num_count") > 0
     nodes = rows.groupBy(session, cluster).agg(
@@ -85,14 +133,16 @@ def graph_nodes(
 
 
 def graph_edges(
-    events: DataFrame, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
+    events: DataFrame | OrderedRun, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
     cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK, hot: list | None = None,
 ) -> DataFrame:
-    """One edge per (session, src, dst) with weight, delta statistics and mean positions.
+    """One edge per (session, src, dst) with weight, delta statistics and mean positions, from events or a run.
 
     Deltas are whole microseconds until the last step, which keeps the percentiles
     exact. `scale='log'` clips negative deltas first and log-scales weight and deltas.
     """
+    if isinstance(events, OrderedRun):
+        return _of_run(events, lambda rows, long: _edges(rows, scale, long, session, cluster, rows_per_task))
     # An edge group cannot outgrow its session, so one look at the sessions is enough.
     hot = hot_keys(events, [session], rows_per_task) if hot is None else hot
     names = dict(session=session, ts=ts, line=line, cluster=cluster)
@@ -143,8 +193,10 @@ def _edges(rows: DataFrame, scale: str, hot: bool, session: str, cluster: str, r
     return edges.withColumns(seconds).select(*keys, *EDGE_SCALARS)
 
 
-def graph_edges_basic(events: DataFrame, *, session: str = SESSION, cluster: str = CLUSTER,
+def graph_edges_basic(events: DataFrame | OrderedRun, *, session: str = SESSION, cluster: str = CLUSTER,
                       rows_per_task: int = ROWS_PER_TASK, **names) -> DataFrame:
+    if isinstance(events, OrderedRun):
+        return _of_run(events, lambda rows, _: graph_edges_basic(rows, session=session, cluster=cluster))
     rows = _sequenced(events, rows_per_task, session=session, cluster=cluster, **names)
     pairs = rows.where(F.col("pos") < F.col("n") - 1)
     return pairs.groupBy(session, F.col(cluster).alias("src"), F.col(f"next_{cluster}").alias("dst")).agg(
@@ -154,9 +206,11 @@ def graph_edges_basic(events: DataFrame, *, session: str = SESSION, cluster: str
     )
 
 
-def event_chain(events: DataFrame, *, session: str = SESSION, cluster: str = CLUSTER,
+def event_chain(events: DataFrame | OrderedRun, *, session: str = SESSION, cluster: str = CLUSTER,
                 rows_per_task: int = ROWS_PER_TASK, **names) -> DataFrame:
     """One node per line; each row also carries the chain edge to its successor."""
+    if isinstance(events, OrderedRun):
+        return _of_run(events, lambda rows, _: event_chain(rows, session=session, cluster=cluster))
     rows = _sequenced(events, rows_per_task, session=session, cluster=cluster, **names)
     has_next = F.col("pos") < F.col("n") - 1
     return rows.select(
@@ -166,9 +220,11 @@ def event_chain(events: DataFrame, *, session: str = SESSION, cluster: str = CLU
     )
 
 
-def graph_sizes(events: DataFrame, *, session: str = SESSION, cluster: str = CLUSTER,
+def graph_sizes(events: DataFrame | OrderedRun, *, session: str = SESSION, cluster: str = CLUSTER,
                 rows_per_task: int = ROWS_PER_TASK, **names) -> DataFrame:
     """Nodes and edges of the collapsed and of the chain form, per session."""
+    if isinstance(events, OrderedRun):
+        return _of_run(events, lambda rows, _: graph_sizes(rows, session=session, cluster=cluster))
     rows = _sequenced(events, rows_per_task, session=session, cluster=cluster, **names)
     pairs = rows.groupBy(session, cluster, f"next_{cluster}").agg(
         F.count(F.lit(1)).alias("c"), F.count_if(F.col("pos") < F.col("n") - 1).alias("w")
@@ -229,10 +285,10 @@ def graph_records(
 
 def session_graphs(events: DataFrame, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
                    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) over one look at the session sizes."""
-    names = dict(session=session, ts=ts, line=line, cluster=cluster, rows_per_task=rows_per_task)
-    hot = hot_keys(events, [session], rows_per_task)
-    return graph_nodes(events, scale, hot=hot, **names), graph_edges(events, scale, hot=hot, **names)
+    """(nodes, edges) of one stored run: neither grouping moves an event again."""
+    run = ordered_run(events, scale, session=session, ts=ts, line=line, cluster=cluster, rows_per_task=rows_per_task)
+    names = dict(session=session, cluster=cluster, rows_per_task=rows_per_task)
+    return graph_nodes(run, scale, **names), graph_edges(run, scale, **names)
 
 
 def canonical_graphs(events: DataFrame, *, session: str = SESSION, ts: str = TS, line: str = LINE,

@@ -48,17 +48,26 @@ def fit_transition_model(train_edges: DataFrame, alpha: float = 1.0) -> DataFram
     base = F.col("total") + F.lit(alpha * v)
     seen = pairs.join(totals, "src").select("src", "dst", ((F.col("w") + alpha) / base).alias("p"))
     unseen = totals.select("src", F.lit(None).cast("int").alias("dst"), (F.lit(alpha) / base).alias("p"))
-    return seen.unionByName(unseen).withColumn("vocabulary", F.lit(v))
+    return durable(seen.unionByName(unseen).withColumn("vocabulary", F.lit(v)))
 
 
-def structure_error(edges: DataFrame, model: DataFrame) -> DataFrame:
-    """-ln p per edge; unseen successors and sources get their smoothed share."""
-    seen = model.where(F.col("dst").isNotNull()).select("src", "dst", "p")
-    unseen = model.where(F.col("dst").isNull()).select("src", F.col("p").alias("p_unseen"))
-    v = model.agg(F.max("vocabulary")).first()[0] or 1
-    rows = edges.join(seen, ["src", "dst"], "left").join(unseen, "src", "left")
-    p = F.coalesce("p", "p_unseen", F.lit(1.0 / v))
-    return rows.withColumn("error", -F.log(p)).drop("p", "p_unseen")
+# A transition model of up to this many rows is sent to every task (about 60 bytes a row).
+SMALL_MODEL_ROWS = 500_000
+
+
+def structure_error(edges: DataFrame, model: DataFrame, small: bool | None = None) -> DataFrame:
+    """-ln p per edge; unseen successors and sources get their smoothed share.
+
+    The rows of the model are counted. Up to `SMALL_MODEL_ROWS` it is broadcast and edges are scored
+    where they are, keeping how they are dealt; a larger model is joined by shuffle."""
+    rows, v = model.agg(F.count(F.lit(1)), F.max("vocabulary")).first()
+    small = rows <= SMALL_MODEL_ROWS if small is None else small
+    side = F.broadcast if small else lambda df: df
+    seen = side(model.where(F.col("dst").isNotNull()).select("src", "dst", "p"))
+    unseen = side(model.where(F.col("dst").isNull()).select("src", F.col("p").alias("p_unseen")))
+    met = edges.join(seen, ["src", "dst"], "left").join(unseen, "src", "left")
+    p = F.coalesce("p", "p_unseen", F.lit(1.0 / (v or 1)))
+    return met.select(*edges.columns, (-F.log(p)).alias("error"))
 
 
 def session_component_scores(nodes: DataFrame, edges: DataFrame, *, session: str = SESSION) -> DataFrame:

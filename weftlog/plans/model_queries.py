@@ -17,7 +17,7 @@ from weftlog.plans import views as V
 from weftlog.plans.ingest_queries import event_catalog
 from weftlog.plans.registry import joined, query, r6, rounded, s6
 from weftlog.plans.session_queries import seq_sql
-from weftlog.session import durable, scratch_path
+from weftlog.session import bucketed, scratch_path
 from weftlog.sources import tables as S
 
 VEC = "[CAST(x AS DOUBLE) FOR x IN embedding]"
@@ -416,7 +416,7 @@ def m3(spark, sf):
     SELECT ed.session_id, ed.src, ed.dst, {s6('-ln(coalesce((coalesce(w, 0) + 0.5) / (t + 0.5 * v), 1 / v))')} AS error
     FROM ed CROSS JOIN vv LEFT JOIN tot ON ed.src = tot.src LEFT JOIN pw ON ed.src = pw.src AND ed.dst = pw.dst""", ["v_items"])
 def m4(spark, sf):
-    edges = durable(item_edges(spark, sf))  # fitted on a part and scored as a whole
+    edges = bucketed(item_edges(spark, sf), "session_id")  # fitted on a part and scored as a whole
     out = M.structure_error(edges, M.fit_transition_model(edges.where("session_id % 3 = 0"), 0.5))
     return rounded(out.select("session_id", "src", "dst", "error"), "error")
 
@@ -428,7 +428,7 @@ COMP = f"""nd AS (SELECT session_id, cluster_id, avg(l_quantity) / 50 AS e FROM
 
 
 def item_components(spark, sf):
-    e, edges = V.v_items(spark, sf), durable(item_edges(spark, sf))
+    e, edges = V.v_items(spark, sf), bucketed(item_edges(spark, sf), "session_id")
     nodes = e.groupBy("session_id", "cluster_id").agg((F.avg("l_quantity") / 50).alias("node_error"))
     scored = M.structure_error(edges, M.fit_transition_model(edges.where("session_id % 3 = 0"), 0.5))
     scored = scored.withColumnRenamed("error", "structure_error").withColumn("edge_error", F.lit(1.0) / F.col("weight"))

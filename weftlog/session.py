@@ -54,6 +54,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
+    """Store `df` in the shared folder dealt by `keys`: groupings and joins on them then move nothing.
+
+    Rows that are already dealt by `keys` are written where they are. One key is one bucket's, so
+    keep keys of very many rows apart (see `skew.split_hot`)."""
+    spark = df.sparkSession
+    name = f"weft_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved while the catalog knows the table; its files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint that survives executor loss."""
     shared_dir(df.sparkSession)
