@@ -8,6 +8,7 @@ from weftlog.operators import dataset as D
 from weftlog.operators import embeddings as B
 from weftlog.operators import evaluation as E
 from weftlog.operators import scoring as M
+from weftlog.operators import sessions as K
 from weftlog.plans.model_queries import random_params
 
 
@@ -200,3 +201,83 @@ def test_line_numbers_do_not_overflow():
     assert (2 ** 20 + 1 << position_bits(2 ** 20 + 2, 1 << 40)) > 0
     with pytest.raises(OverflowError):
         position_bits(2 ** 30, 1 << 40)
+
+
+def test_fits_that_read_too_much_fail_the_leakage_report(spark):
+    ds = spark.createDataFrame([(i, int(i % 3 == 0), ("train", "val", "test")[i % 5 % 3]) for i in range(60)], "session_id bigint, label int, split string")
+    rows = ds.withColumn("vec", F.array(F.col("session_id").cast("double")))
+
+    def statuses(used, mode="clean"):
+        seen = E.FitCapture()
+        D.fit_scaler(seen.watch("scaler", used)).first()
+        seen.count("again", used)
+        table = seen.table(spark)
+        assert table.groupBy("split").agg(F.count_distinct("digest", "rows", "anomalous")).where("`count(DISTINCT digest, rows, anomalous)` > 1").count() == 0
+        return {r["check"]: (r["value"], r["status"]) for r in E.leakage_report(ds, table, mode).collect()}
+
+    clean = statuses(D.clean_train(rows))
+    assert clean["source_scaler"] == clean["source_again"] == ("train", "PASS") and clean["anomalies_in_scaler"] == ("0", "PASS")
+    whole = statuses(rows)
+    assert whole["source_scaler"] == ("test,train,val", "FAIL") and whole["anomalies_in_scaler"] == ("20", "FAIL")
+    noisy = statuses(D.clean_train(rows, "noisy"), "noisy")
+    assert noisy["source_scaler"][1] == noisy["anomalies_in_scaler"][1] == "PASS" and noisy["anomalies_in_scaler"][0] != "0"
+    assert statuses(rows.withColumn("split", F.lit(None).cast("string")))["source_scaler"] == ("unknown", "FAIL")
+
+
+def test_only_undecided_sessions_are_ordered_and_scored(spark, make_events):
+    from weftlog.operators import graphs as G
+
+    sessions = {f"ok{i}": [1, 3, 1, 3] for i in range(30)} | {f"bad{i}": [1, 2] for i in range(9)} | {"long": [1] * 80}
+    e = make_events(sessions)
+    catalog = spark.createDataFrame([(1, "INFO a"), (2, "ERROR b"), (3, "INFO c")], "cluster_id int, template string")
+    flags = D.stage1_flags(e, catalog, K.session_lengths(e))
+    scanned = []
+
+    def score(rest):
+        run = G.ordered_run(rest)
+        scanned.append(run.rows.count())
+        return run.rows.groupBy("session_id").agg(F.avg("pos").alias("score"))
+
+    out, rest = M.cheap_first(e, flags, score, 1.0)
+    got = {r["session_id"]: (r["stage"], r["score"], r["pred"]) for r in out.collect()}
+    assert scanned == [30 * 4] and rest.select("session_id").distinct().count() == 30
+    assert got == {s: ("stage2", 1.5, 1) if s.startswith("ok") else ("stage1", None, 1) for s in sessions}
+    plan = K.with_sequence(rest)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Join LeftAnti")
+
+
+def test_packed_vectors_equal_joined_ones(spark):
+    from weftlog.operators import lookups as J
+
+    rng = np.random.default_rng(6)
+    emb = spark.createDataFrame([(int(i), rng.normal(size=3).tolist()) for i in (7, -2, 1000000, 3)] + [(5, None)], "cluster_id int, embedding array<double>")
+    seqs = spark.createDataFrame([("a", [7, 3, -1, 5]), ("b", []), ("c", [1000000, 8, -2]), ("d", None)], "session_id string, cids array<int>")
+    get = lambda df: {r["session_id"]: r["vectors"] for r in df.collect() if r["vectors"]}
+    packed = J.dense_sequence(seqs, emb, 3, small=True)
+    assert get(packed) == get(J.dense_sequence(seqs, emb, 3, small=False)) and packed.count() == 4
+    assert "Join" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert get(J.dense_sequence(seqs, emb.where("false"), 3)) == {"a": [[0.0] * 3] * 4, "c": [[0.0] * 3] * 3}
+    nodes = spark.createDataFrame([(7,), (8,)], "cluster_id int")
+    same = lambda small: sorted(map(str, J.attach_embedding(nodes, emb, 3, small=small).collect()))
+    assert same(True) == same(False)
+
+
+def test_a_noisy_fit_and_a_dataset_without_validation(spark, tmp_path):
+    from weftlog.plans import workflows as W
+
+    rows = [(f"s{s}", s * 10 + i, float(i), c, ["1"]) for s in range(40) for i, c in enumerate([1, 2, 3, 1])]
+    e = spark.createDataFrame(rows, "session_id string, line_no bigint, ts double, cluster_id int, parameters array<string>")
+    from weftlog.operators import graphs as G
+    from weftlog.sources import tables as S
+
+    split = D.stratified_split(e.select("session_id").distinct().withColumn("label", (F.substring("session_id", 2, 9).cast("int") % 4 == 0).cast("int")))
+    nodes, edges = G.session_graphs(e)
+    tables = {"nodes": nodes, "edges": edges, "sequences": D.padded_sequences(e, 4).join(split, "session_id"),
+              "embeddings": spark.createDataFrame([(1, [1.0])], "cluster_id int, embedding array<double>")}
+    S.write_dataset(str(tmp_path / "d"), tables, D.dataset_meta(split, 4, 1))
+    report = W.dataset_to_report(spark, str(tmp_path / "d"), str(tmp_path), mode="noisy", node_codes=2, edge_codes=2)
+    found = {r["check"]: (r["value"], r["status"]) for r in report.leakage.collect()}
+    assert found["anomalies_in_node_scaler"][0] != "0" and {s for _, s in found.values()} == {"PASS", "INFO"}
+    tables["sequences"].where("split <> 'val'").write.mode("overwrite").parquet(str(tmp_path / "d" / "sequences"))
+    with pytest.raises(ValueError):
+        W.dataset_to_report(spark, str(tmp_path / "d"), str(tmp_path), node_codes=2, edge_codes=2)

@@ -6,13 +6,15 @@ sums of positives and negatives in descending score order (`score_steps`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.operators.dataset import clean_train, split_overlap, split_summary
+from weftlog.operators.dataset import SPLITS, split_overlap, split_summary
 from weftlog.operators.scoring import COMPONENTS
+from weftlog.operators.sessions import SESSION
 from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, ordered
 
 
@@ -214,17 +216,55 @@ def error_distribution(components: DataFrame, label: str = "label", rows_per_tas
     return stats.join(quart, keys)
 
 
-def leakage_report(ds: DataFrame, scaler_source: str = "train", mode: str = "clean") -> DataFrame:
-    """Overlaps, split sizes, anomalies left in clean train and the scaler source as check rows."""
+class FitCapture:
+    """What the fits of a model really read: order-free counts of their rows, taken while the fits run.
+
+    `watch` hands the rows on and counts them in the same pass; the fit must be an action on what it
+    returns. `count` takes a pass of its own, for fits that leave the DataFrame interface."""
+
+    def __init__(self):
+        self._watched: list[tuple[str, Observation]] = []
+        self._counted: list[tuple] = []
+
+    @staticmethod
+    def _measures(label: str) -> list[Column]:
+        split = F.coalesce("split", F.lit("unknown"))
+        out = []
+        for s in (*SPLITS, "unknown"):
+            here = split == s if s != "unknown" else ~split.isin(*SPLITS)
+            out += [F.count_if(here).alias(f"{s}_rows"), F.count_if(here & (F.col(label) == 1)).alias(f"{s}_anomalous"),
+                    F.coalesce(F.sum(F.when(here, F.pmod(F.xxhash64(SESSION), F.lit(1 << 31)))), F.lit(0)).alias(f"{s}_digest")]
+        return out
+
+    def watch(self, fit: str, rows: DataFrame, label: str = "label") -> DataFrame:
+        """`rows` (session_id, label, split, ...), counted by the first action on the result."""
+        seen = Observation(f"{fit}-{uuid.uuid4().hex}")
+        self._watched.append((fit, seen))
+        return rows.observe(seen, *self._measures(label))
+
+    def count(self, fit: str, rows: DataFrame, label: str = "label") -> DataFrame:
+        self._counted.append((fit, rows.agg(*self._measures(label)).first().asDict()))
+        return rows
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """fit, split, rows, anomalous, digest: a row per fit and split it read rows of. `digest` is a sum of id
+        hashes, so two fits over the same rows have the same digest whatever their order."""
+        seen = [(fit, o.get) for fit, o in self._watched] + self._counted
+        rows = [(fit, s, m[f"{s}_rows"], m[f"{s}_anomalous"], m[f"{s}_digest"]) for fit, m in seen for s in (*SPLITS, "unknown") if m[f"{s}_rows"]]
+        return spark.createDataFrame(rows, "fit string, split string, rows bigint, anomalous bigint, digest bigint")
+
+
+def leakage_report(ds: DataFrame, fits: DataFrame, mode: str = "clean") -> DataFrame:
+    """Check rows on overlaps and split sizes of `ds`, and on what the fits read (see `FitCapture`):
+    rows of other splits than train in any fit, and anomalous rows in a clean fit, fail."""
     cols = lambda check, value, status: [check.alias("check"), value.cast("string").alias("value"), status.alias("status")]
     overlap = split_overlap(ds).select(*cols(F.concat(F.lit("overlap_"), "pair"), F.col("shared"), F.col("status")))
     sizes = split_summary(ds).select(*cols(F.concat(F.lit("size_"), "split"), F.col("size"), F.lit("INFO")))
-    left = clean_train(ds, mode).agg(F.coalesce(F.sum("label"), F.lit(0)).alias("k"))
-    left = left.select(*cols(F.lit("anomalies_in_train"), F.col("k"), F.when((F.col("k") == 0) | F.lit(mode == "noisy"), "PASS").otherwise("FAIL")))
-    source = ds.sparkSession.createDataFrame(
-        [("scaler_source", scaler_source, "PASS" if scaler_source == "train" else "FAIL")], "check string, value string, status string"
-    )
-    return overlap.unionByName(sizes).unionByName(left).unionByName(source)
+    per = fits.groupBy("fit").agg(F.array_join(F.array_sort(F.collect_set("split")), ",").alias("source"), F.sum("anomalous").alias("k"))
+    source = per.select(*cols(F.concat(F.lit("source_"), "fit"), F.col("source"), F.when(F.col("source") == "train", "PASS").otherwise("FAIL")))
+    clean = (F.col("k") == 0) | F.lit(mode == "noisy")
+    left = per.select(*cols(F.concat(F.lit("anomalies_in_"), "fit"), F.col("k"), F.when(clean, "PASS").otherwise("FAIL")))
+    return overlap.unionByName(sizes).unionByName(source).unionByName(left)
 
 
 def loss_proportions(history: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,6 +100,19 @@ def cascade(sessions: DataFrame, flags: DataFrame, scored: DataFrame, threshold:
     return decided.unionByName(second)
 
 
+def cheap_first(events: DataFrame, flags: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, *,
+                session: str = SESSION) -> tuple[DataFrame, DataFrame]:
+    """(decisions, undecided events): stage 1 runs first, and `score` sees the events of undecided sessions only.
+
+    `flags` has the sessions stage 1 has decided (see `stage1_flags`); it is stored, because it is read
+    before and after. The anti join stands below whatever `score` does, so flagged sessions are neither
+    ordered nor scored, and it deals events by session as the ordering needs them."""
+    flags = durable(flags)
+    sessions = events.select(session).distinct()
+    rest = events.join(flags.select(session), session, "left_anti")
+    return cascade(sessions, flags, score(rest), threshold, session=session), rest
+
+
 # --- scoring with externally trained weights ---------------------------------
 
 

@@ -501,7 +501,7 @@ def j3(spark, sf):
 
 @query("j4_flag_error_sessions", "SELECT DISTINCT session_id FROM v_events WHERE cluster_id = 2 AND value > 200", ["v_events"])
 def j4(spark, sf):
-    e = V.v_events(spark, sf).where((F.col("cluster_id") != 2) | (F.col("value") > 200))
+    e = V.v_mild_events(spark, sf)
     return J.flag_error_sessions(e, J.error_clusters(T.distinct_templates(e)))
 
 
