@@ -56,3 +56,15 @@ def test_filters_reach_the_scan(spark):
 
     df = cap_lines(V.v_events(spark, SF), 100).select("line_no")
     assert "LessThanOrEqual(event_id,100)" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_text_is_cut_once(spark):
+    """The counts are stored; the frequencies and the norms read them, and the small vocabulary is broadcast."""
+    text = plan(spark, "b1_tfidf")
+    assert "Exchange hashpartitioning" not in text and "split(" not in text and "Bucketed: true" in text
+
+
+def test_sliding_windows_repeat_panes_not_events(spark):
+    text = plan(spark, "k3_window_totals_sliding")
+    below = text[text.index("Generate"):]
+    assert "HashAggregate" in below and below.index("HashAggregate") < below.index("FileScan")

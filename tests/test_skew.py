@@ -130,3 +130,31 @@ def test_a_stored_run_equals_the_lazy_way_with_and_without_hot_sessions(spark, m
         same(G.graph_sizes(run), G.graph_sizes(e))
         same(G.event_chain(run), G.event_chain(e))
         same(G.graph_edges_basic(run), G.graph_edges_basic(e))
+
+
+@pytest.mark.parametrize("size,slide", [(60, None), (60, 20), (60, 45), (40, 60), (7, 3)])
+def test_panes_equal_exploded_windows(spark, size, slide):
+    rng = random.Random(size)
+    rows = [(i, rng.randrange(-200, 300), rng.random() < 0.1, f"n{rng.randrange(3)}") for i in range(400)] + [(999, None, True, "n0")]
+    e = spark.createDataFrame(rows, "line_no bigint, unix_ts bigint, is_anomaly boolean, node_id string").repartition(3)
+    step = slide or size
+    want = {}
+    for line, t, bad, node in rows:
+        for k in range(-400, 400) if t is not None else ():
+            if k * step <= t < k * step + size:
+                for key in ((k,), (k, node)):
+                    n, b, first = want.get(key, (0, 0, 10 ** 9))
+                    want[key] = (n + 1, b + bad, min(first, line))
+    for keys in ([], ["node_id"]):
+        got = {(r["window_id"], *(r[c] for c in keys)): (r["events"], r["anomalous"], r["first_line"]) for r in K.window_totals(e, size, slide, keys=keys).collect()}
+        assert got == {k: v for k, v in want.items() if len(k) == 1 + len(keys)}
+        assert all(r["label"] == (r["anomalous"] > 0) for r in K.window_totals(e, size, slide, keys=keys).collect())
+
+
+def test_tfidf_joined_and_broadcast_agree(spark, monkeypatch):
+    from weftlog.operators import embeddings as B
+
+    monkeypatch.setattr("weftlog.operators.skew.SHARES", 5)
+    rng = random.Random(3)
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(["the", "the", "a", "b", "C", "d" + str(i)], k=rng.randrange(9)))) for i in range(60)], "cluster_id int, text string")
+    same(B.tfidf(texts, small=True), B.tfidf(texts, small=False))

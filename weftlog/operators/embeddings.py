@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.columns import finite_array, l2_normalise
-from weftlog.operators.skew import ordered
+from weftlog.operators.skew import join_weighed, ordered
+from weftlog.session import bucketed, durable
 
 # The characters Python's `str.isspace` counts as white space.
 BLANKS = (
@@ -19,21 +20,31 @@ BLANKS = (
 )
 
 
-def tfidf(texts: DataFrame, id: str = "cluster_id", text: str = "text") -> DataFrame:
+# A vocabulary of up to this many tokens is sent to every task (about 40 bytes a token).
+SMALL_VOCABULARY = 1_000_000
+
+
+def tfidf(texts: DataFrame, id: str = "cluster_id", text: str = "text", small: bool | None = None) -> DataFrame:
     """Sparse rows `(id, token, tf, idf, weight)`: raw counts, smoothed idf, unit length per text.
 
-    idf = ln((1 + n) / (1 + df)) + 1, tokens are runs of non-blanks in lower case."""
+    idf = ln((1 + n) / (1 + df)) + 1, tokens are runs of non-blanks in lower case. A text is cut
+    once: its counts are stored dealt by id, and both the document frequencies and the weights
+    read them. The counted vocabulary is broadcast while it is small, so counts stay where
+    they are and the norm of a text needs no exchange; a larger one is joined, common tokens apart."""
     n = texts.count()
-    # Texts are spread by id before they are cut: the shuffle moves compact rows,
-    # and counting per text, like the norm below, then needs no further exchange.
+    # Texts are spread by id before they are cut: the shuffle moves compact rows, and
+    # counting per text needs no further exchange.
     plain = F.translate(F.lower(text), BLANKS, " " * len(BLANKS))
     words = texts.select(id, text).repartition(id).select(
         id, F.explode(F.array_remove(F.split(plain, " "), "")).alias("token")
     )
-    tf = words.groupBy(id, "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0 + n) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
-    rows = tf.join(df.select("token", idf.alias("idf")), "token").withColumn("__w", F.col("tf") * F.col("idf"))
+    tf = bucketed(words.groupBy(id, "token").agg(F.count(F.lit(1)).alias("tf")), id)
+    df = durable(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    tokens, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    idf = df.select("token", "df", (F.log(F.lit(1.0 + n) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)).alias("idf"))
+    small = tokens <= SMALL_VOCABULARY if small is None else small
+    rows = tf.join(F.broadcast(idf.drop("df")), "token") if small else join_weighed(tf, idf, ["token"], "df", total)
+    rows = rows.withColumn("__w", F.col("tf") * F.col("idf"))
     # A text is one input row, so a window over its tokens is bounded by that row.
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id)))
     return rows.select(id, "token", "tf", "idf", (F.col("__w") / norm).alias("weight"))

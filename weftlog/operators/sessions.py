@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from weftlog.operators.skew import ROWS_PER_TASK, first_by, nulls_last, ordered, sliced
 
 SESSION, TS, LINE, CLUSTER = "session_id", "ts", "line_no", "cluster_id"
-# Longest piece of one session that is packed into a single row or hashed at once.
 
 
 def micros(col: Column | str, df: DataFrame | None = None) -> Column:
@@ -56,6 +56,38 @@ def sessions_by_window(
     return events.withColumn(out, F.explode(F.sequence(first, last)))
 
 
+def window_panes(events: DataFrame, size_s: int = 21_600, slide_s: int | None = None, *, keys: Sequence[str] = (),
+                 unix_ts: str = "unix_ts", flag: str | None = "is_anomaly", line: str = LINE) -> DataFrame:
+    """pane, keys, events, anomalous, first_line: one row per pane and key, merged before the shuffle.
+
+    A pane is the longest stretch that every window holds whole or not at all, the greatest common
+    divisor of size and slide. Events are counted once, however many windows cover them."""
+    step = math.gcd(size_s, size_s if slide_s is None else slide_s)
+    pane = F.floor(F.floor(F.col(unix_ts)).cast("bigint") / F.lit(step)).cast("bigint")
+    bad = F.count_if(F.col(flag).cast("boolean")) if flag else F.lit(0).cast("bigint")
+    return events.where(F.col(unix_ts).isNotNull()).groupBy(pane.alias("pane"), *keys).agg(
+        F.count(F.lit(1)).alias("events"), bad.alias("anomalous"), F.min(line).alias("first_line"))
+
+
+def window_totals(events: DataFrame, size_s: int = 21_600, slide_s: int | None = None, *, keys: Sequence[str] = (),
+                  out: str = "window_id", **names) -> DataFrame:
+    """out, keys, events, anomalous, label, first_line per (sliding) window and key, from panes.
+
+    Same windows as `sessions_by_window`, but only the panes are repeated for the windows that hold
+    them, never the events; `label` is 1 where a window holds a flagged event."""
+    slide = size_s if slide_s is None else slide_s
+    step = math.gcd(size_s, slide)
+    panes = window_panes(events, size_s, slide_s, keys=keys, **names)
+    start = F.col("pane") * F.lit(step)
+    last = F.floor(start / F.lit(slide)).cast("bigint")
+    first = (F.floor((start - F.lit(size_s)) / F.lit(slide)) + 1).cast("bigint")
+    # Slides longer than the size leave gaps; a pane in a gap is in no window.
+    held = panes.where(first <= last).withColumn(out, F.explode(F.sequence(first, last)))
+    return held.groupBy(out, *keys).agg(
+        F.sum("events").alias("events"), F.sum("anomalous").alias("anomalous"),
+        (F.sum("anomalous") > 0).cast("int").alias("label"), F.min("first_line").alias("first_line"))
+
+
 def sort_events(events: DataFrame, session: str = SESSION, ts: str = TS, line: str = LINE) -> DataFrame:
     """Total order: session, time, then file order for equal times."""
     return events.orderBy(*nulls_last([session, ts, line]))

@@ -92,6 +92,24 @@ def k3s(spark, sf):
     return e.groupBy("window_id").agg(F.count("*").alias("events"), F.min("line_no").alias("first_line"))
 
 
+SLIDING = """w AS (SELECT *, unnest(range(CAST(floor((unix_ts - 21600) / 7200.0) AS BIGINT) + 1, CAST(floor(unix_ts / 7200.0) AS BIGINT) + 1)) AS win FROM v_events)"""
+
+
+@query("k3_window_totals_sliding", f"""
+    WITH {SLIDING} SELECT win AS window_id, count(*) AS events, CAST(count(*) FILTER (is_anomaly) AS BIGINT) AS anomalous,
+           CAST(max(CAST(is_anomaly AS INT)) AS INT) AS label, min(line_no) AS first_line FROM w GROUP BY 1""", ["v_events"])
+def k3_totals(spark, sf):
+    """Lengths and labels of overlapping windows without repeating an event."""
+    return K.window_totals(V.v_events(spark, sf), 21_600, 7_200)
+
+
+@query("k3_node_window_totals", f"""
+    WITH {SLIDING} SELECT win AS window_id, node_id, count(*) AS events, CAST(count(*) FILTER (is_anomaly) AS BIGINT) AS anomalous,
+           CAST(max(CAST(is_anomaly AS INT)) AS INT) AS label, min(line_no) AS first_line FROM w GROUP BY 1, 2""", ["v_events"])
+def k3_node_totals(spark, sf):
+    return K.window_totals(V.v_events(spark, sf), 21_600, 7_200, keys=["node_id"])
+
+
 @query("k4_session_arrays", f"""
     WITH {seq_sql('v_events')}
     SELECT session_id, max(n) AS n,
