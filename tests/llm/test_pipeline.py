@@ -59,3 +59,48 @@ def test_kept_documents_are_the_smallest_of_their_groups(spark, corpus):
     frame = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     rows = nearedup.groups(frame).collect()
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows) and {r.component_id for r in rows if r.doc_id in (3, 200)} == {3}
+
+
+def without_runs(texts, unit):
+    """Words of every text that are in no run of `unit` words which stands anywhere else."""
+    where = {}
+    words = [t.split() for t in texts]
+    for k, ws in enumerate(words):
+        for i in range(len(ws) - unit + 1):
+            where.setdefault(tuple(ws[i:i + unit]), []).append((k, i))
+    gone = {(k, i + j) for places in where.values() if len(places) > 1 for k, i in places for j in range(unit)}
+    return [[w for i, w in enumerate(ws) if (k, i) not in gone] for k, ws in enumerate(words)]
+
+
+def test_passages_of_fifty_words_go_and_shorter_ones_stay(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(400)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    docs = {}
+    for size in (45, 49, 50, 51, 55, 130):
+        passage = text(size)
+        for k in range(3):
+            docs[size * 10 + k] = " ".join(text(rng.randint(0, 60))) + "\n\t " + "  ".join(passage) + " " + " ".join(text(rng.randint(0, 60)))
+    docs |= {1: "one two " * 60, 2: " ".join(text(300)), 3: " ".join(["again"] * 99), 4: "é\xa0ß " * 51 + "end", 5: None, 6: ""}
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in docs.items()]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, frame, "").collect()}
+    keys = [k for k in docs if docs[k] is not None]
+    split = lambda t: [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t)]
+    want = dict(zip(keys, without_runs([" ".join(split(docs[k])).replace("\xa0", "~") for k in keys], 50)))
+    for k in keys:
+        left = [w.replace("\xa0", "~") for w in split(got[k].text)] if k in got else []
+        assert left == want[k], k
+        assert k not in got or got[k].n_chars == len(got[k].text)
+    assert {k for k in docs if k not in got} == {k for k in keys if docs[k] and not want[k]}
+    assert all(got[450 + k].text == docs[450 + k] for k in range(3)) and got[5].text is None
+
+
+def test_no_text_is_lost_where_ids_repeat(spark):
+    rng = random.Random(22)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (None, d), (4, a + " end")]
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()))
+    assert got == sorted([(1, a), (1, b), (3, c), (0, d)])

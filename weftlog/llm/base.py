@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -30,12 +32,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str) -> DataFrame:
+_CLEARERS: dict[str, Callable[[], None]] = {}
+_holder: str | None = None
+
+
+def holds(name: str, clear: Callable[[], None]) -> None:
+    """Register what a module keeps in a Python worker between tasks, such as a memo of words."""
+    _CLEARERS[name] = clear
+
+
+def take_worker(name: str | None) -> None:
+    """Called where a task starts: workers are reused, so what tasks of another kind left behind is freed
+    and given back to the system. Tasks of one kind keep what they hold."""
+    global _holder
+    if name == _holder:
+        return
+    for other, clear in _CLEARERS.items():
+        if other != name:
+            clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+    _holder = name
+
+
+def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str, kind: str | None = None) -> DataFrame:
     """`fn(column lists...)` per Arrow batch, in the order of the columns of `df`; it returns a
-    dict of equally long lists or arrays, or None for no rows."""
+    dict of equally long lists or arrays, or None for no rows. `kind` names what its tasks hold."""
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        take_worker(kind)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -46,13 +75,14 @@ def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str) -> D
     return df.mapInArrow(run, schema)
 
 
-def with_column(df: DataFrame, inputs: list[str], fn: Callable[..., list], name: str, ddl: str) -> DataFrame:
+def with_column(df: DataFrame, inputs: list[str], fn: Callable[..., list], name: str, ddl: str, kind: str | None = None) -> DataFrame:
     """`df` with one more column, `fn(lists of the input columns)`; all other columns pass as they are."""
     order = [df.columns.index(c) for c in inputs]
     schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {ddl}").fields])
     fields = to_arrow_schema(schema)
 
     def run(batches):
+        take_worker(kind)
         for batch in batches:
             new = pa.array(fn(*[batch.column(i).to_pylist() for i in order]), type=fields.field(name).type)
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, fields)], new], schema=fields)

@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from weftlog.llm.base import holds
+
 # Entries of a memo before it starts afresh: about 220 MB of a worker's memory.
 MEMO_ENTRIES = 1_400_000
 # Closing marks that are a pre-token of their own at the end of a word.
@@ -34,6 +36,14 @@ def word_memo(path: str) -> "WordMemo":
     return WordMemo(path)
 
 
+def _forget() -> None:
+    word_memo.cache_clear()
+    tokenizer.cache_clear()
+
+
+holds("words", _forget)
+
+
 class WordMemo:
     """Token ids of texts, as little-endian unsigned integers of `width` bytes."""
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.base import map_batches, with_column
+from weftlog.llm.base import holds, map_batches, with_column
 
 # Edits, in words, per word of an item; items of fewer words say too little to be looked for.
 MAX_EDIT_RATIO = 0.2
@@ -261,6 +261,7 @@ def _searcher(spark, items: list[tuple[int, str]], ratio: float):
 
 
 _INDEXES: dict[str, Index] = {}
+holds("items", _INDEXES.clear)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDIT_RATIO) -> DataFrame:
@@ -271,7 +272,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDIT_RAT
     out = docs.withColumn("__hits", F.array().cast(HITS))
     for items in item_blocks(benchmark):
         search = _searcher(docs.sparkSession, items, ratio)
-        out = with_column(out, ["text"], search, "__found", HITS).withColumn("__hits", F.concat("__hits", "__found")).drop("__found")
+        out = with_column(out, ["text"], search, "__found", HITS, "items").withColumn("__hits", F.concat("__hits", "__found")).drop("__found")
     return out
 
 
@@ -290,6 +291,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDIT_RATIO)
             rows = [(i, h) for i, hits in zip(ids, search(texts)) for h in hits]
             return {"doc_id": [i for i, _ in rows], **{c: [h[c] for _, h in rows] for c in ("item_id", "first_word", "n_words", "distance")}}
 
-        part = map_batches(slim, run, "doc_id bigint, item_id bigint, first_word int, n_words int, distance int")
+        part = map_batches(slim, run, "doc_id bigint, item_id bigint, first_word int, n_words int, distance int", "items")
         out = part if out is None else out.unionByName(part)
     return out

@@ -64,7 +64,7 @@ def sequence_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         width = bpe.word_memo(tokenizer_path).width
         return {"doc_id": ids, "n_tokens": [len(b) // width for b in tokens.token_ids(tokenizer_path, texts, chunk=None)]}
 
-    return map_batches(slim, count, "doc_id bigint, n_tokens bigint")
+    return map_batches(slim, count, "doc_id bigint, n_tokens bigint", "words")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, buckets: int = BUCKETS,

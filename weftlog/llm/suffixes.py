@@ -21,9 +21,12 @@ so a window repeats exactly if two anchors agree on enough bytes to their left a
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -34,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from weftlog.llm.base import as_batch, map_batches, store, with_column
+from weftlog.operators.skew import join_weighed
 
 LENGTH = 400
 GRAM = 50
@@ -404,12 +408,14 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
     out = None
     while True:
         # Written before the join, so that a key with very many rows can be split over tasks.
-        keys = store(level.groupBy("key", "oa", "ob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n"), "keys")
-        again = store(level.join(keys, ["key", "oa", "ob"], "left_semi"), "again")
+        keys = store(level.groupBy("key", "oa", "ob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "keys")
+        again = store(join_weighed(level, keys, ["key", "oa", "ob"], "n", level.count()), "again")
         # Equal spans merge in the tasks that read them, however many copies there are.
         spans = again.groupBy("key", "oa", "ob", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "p")).alias("one"))
         spans = store(spans, "spans")
-        twice = again.join(spans.where(F.col("n") > 1).select("key", "oa", "ob", "span"), ["key", "oa", "ob", "span"], "left_semi")
+        # A span with very many copies stays where its rows are.
+        repeated = spans.where(F.col("n") > 1).select("key", "oa", "ob", "span", "n")
+        twice = join_weighed(again, repeated, ["key", "oa", "ob", "span"], "n", again.count())
         direct = twice.select("id", "th", F.greatest(F.col("p") - F.col("ob"), F.lit(0)).alias("start"), (F.col("p") + length - F.col("oa")).alias("stop"))
         sizes = store(spans.groupBy("key", "oa", "ob").agg(F.count(F.lit(1)).alias("spans")).where(F.col("spans") > 1), "sizes")
         left = store(spans.join(sizes, ["key", "oa", "ob"]).select(
@@ -454,21 +460,76 @@ def joined_spans(spans: list[dict] | None, size: int, length: int) -> list[tuple
     return [(a, b) for a, b in out]
 
 
-def with_removals(docs: DataFrame, **how) -> DataFrame:
+# One word of a text as so many bytes, for runs that are counted in words.
+WORD_CODE = 8
+
+
+def word_code(word: bytes) -> bytes:
+    """48 bits of a hash of the word, in eight ASCII characters."""
+    return base64.b64encode(xxhash.xxh3_64_digest(word)[:6])
+
+
+def word_coded(rows: DataFrame) -> DataFrame:
+    """`keyed` rows with every word of the text, a run of bytes other than white space, replaced by its code."""
+    def run(ids, hashes, texts):
+        known: dict[bytes, bytes] = {}
+        out = []
+        for text in texts:
+            words = text.encode().split()
+            for w in set(words) - known.keys():
+                known[w] = word_code(w)
+            out.append(b"".join(map(known.__getitem__, words)).decode())
+        return {"id": ids, "th": hashes, "text": out}
+
+    return map_batches(rows, run, "id bigint, th bigint, text string")
+
+
+def without_repeated_runs(docs: DataFrame, words: int, **how) -> DataFrame:
+    """`docs` with `__rest`, the text without every run of `words` words or more that also stands anywhere else.
+
+    The search is that of repeated byte strings over the coded words, so runs are whole words and
+    differences in white space do not matter. Equal codes of different words (48 bits) are the one
+    way to a wrong run; it would take `words` of them in a row. What follows a removed run moves
+    up; other text stays as it is, null stays null."""
+    length = words * WORD_CODE
+    marked = with_removals(docs, rows=word_coded(keyed(docs)), size=lambda t: len(t.encode().split()) * WORD_CODE, length=length, **how)
+
+    def run(texts, removed):
+        out = []
+        for text, runs in zip(texts, removed):
+            whole = [(-(-r["start"] // WORD_CODE), r["stop"] // WORD_CODE) for r in runs]
+            whole = [(a, b) for a, b in whole if b - a >= words]
+            if not whole:
+                out.append(text)
+                continue
+            starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+            kept, at = [], 0
+            for a, b in whole:
+                kept.append(text[at:starts[a]])
+                at = starts[b]
+            out.append("".join([*kept, text[at:]]))
+        return out
+
+    return with_column(marked, ["text", "__removed"], run, "__rest", "string").drop("__removed")
+
+
+def with_removals(docs: DataFrame, rows: DataFrame | None = None, size: Callable[[str], int] = lambda t: len(t.encode()), **how) -> DataFrame:
     """`docs` with `__removed`, the (start, stop) byte runs to take out of each text.
 
     Null text is empty, and a text of fewer than LENGTH bytes keeps everything. Repeated rows
-    are copies of each other like any two equal texts, also under one id or without one.
+    are copies of each other like any two equal texts, also under one id or without one. `rows` are
+    the `keyed` rows, by default those of `docs`, with other bytes for the same texts, and `size` then
+    gives their number for a text.
     """
     length = how.get("length", LENGTH)
-    rows = keyed(docs)
+    rows = keyed(docs) if rows is None else rows
     # A shuffled row is known by (id, th), so equal rows get equal spans.
     spans = repeated_spans(rows, **how).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
     met = marked.join(spans.withColumnsRenamed({"id": "__id", "th": "__th"}).hint("shuffle_hash"), ["__id", "__th"], "left").drop("__id", "__th")
 
     def run(texts, found):
-        return [[{"start": a, "stop": b} for a, b in joined_spans(s, len((t or "").encode()), length)] for t, s in zip(texts, found)]
+        return [[{"start": a, "stop": b} for a, b in joined_spans(s, size(t or ""), length)] for t, s in zip(texts, found)]
 
     return with_column(met, ["text", "__spans"], run, "__removed", "array<struct<start:bigint,stop:bigint>>").drop("__spans")
 
@@ -488,11 +549,14 @@ def kept_text(docs: DataFrame) -> DataFrame:
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of documents of `with_removals`."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text of documents of `with_removals`; text is what is
+    kept, without a character cut in the middle."""
 
     def run(ids, texts, removed):
         sizes = [len((t or "").encode()) for t in texts]
+        kept = [kept_bytes(t, r) for t, r in zip(texts, removed)]
         return {"doc_id": ids, "n_bytes": sizes, "n_removed": [sum(x["stop"] - x["start"] for x in r) for r in removed], "n_spans": [len(r) for r in removed],
-                "kept_sha256": [hashlib.sha256(kept_bytes(t, r)).hexdigest() for t, r in zip(texts, removed)]}
+                "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "text": [k.decode("utf-8", "ignore") for k in kept]}
 
-    return map_batches(docs.select("doc_id", "text", "__removed"), run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
+    return map_batches(docs.select("doc_id", "text", "__removed"), run, schema)

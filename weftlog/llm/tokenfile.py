@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, path
         }
 
     frame = "array<struct<data:binary,size:bigint,checksum:bigint>>"
-    coded = map_batches(slim, encode, f"part int, doc_id bigint, n_tokens bigint, width int, crc bigint, frames {frame}")
+    coded = map_batches(slim, encode, f"part int, doc_id bigint, n_tokens bigint, width int, crc bigint, frames {frame}", "words")
     placed = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "crc")
     fields = to_arrow_schema(StructType.fromDDL("part int, file string, n_docs bigint, n_tokens bigint"))
 

@@ -113,4 +113,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, chu
         n = [len(b) // width for b in token_ids(tokenizer_path, texts, chunk_chars, overlap_chars)]
         return {"doc_id": ids, "n_bytes": sizes, "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    return map_batches(slim, count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_batches(slim, count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", "words")
