@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftlog.llm import decontaminate, nearedup, packing, quality, suffixes
 from weftlog.llm.base import store, table, tuned
+from weftlog.operators.skew import ordered
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,25 +26,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id; of rows of one id one stays.
+    """One document of each near-duplicate group, that of the smallest id.
 
-    Documents without an id belong to no group and stay as they are.
+    Rows of one id and one text are one document. Where rows of one id have different texts each text
+    is a document of its own, of equal ids the one with the smaller hash first, so a text only goes
+    if another document stands for it. Documents without an id belong to no group and stay.
     """
     tuned(spark)
-    kept = nearedup.groups(docs.where(F.col("doc_id").isNotNull())).where("kept").select("doc_id").distinct()
-    # Both steps deal by doc_id, so the documents move once.
-    one = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = store(named.select("doc_id", "__th").distinct(), "names")
+    if texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = nearedup.groups(named).where("kept").select("doc_id").distinct()
+        # Both steps deal by doc_id, so the documents move once.
+        one = named.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    else:
+        numbers = store(ordered(texts, [], ["doc_id", "__th"]).select("doc_id", "__th", "pos"), "numbers")
+        numbered = named.join(numbers, ["doc_id", "__th"])
+        kept = nearedup.groups(numbered.select(F.col("pos").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("pos")).distinct()
+        one = numbered.join(kept, "pos", "left_semi").dropDuplicates(["doc_id", "__th"])
+    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+# Words of a passage that goes where it stands more than once.
+PASSAGE_WORDS = 50
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of repeated strings; one that has no word left goes."""
+    """Documents without their repeated passages, runs of PASSAGE_WORDS words or more that also stand
+    elsewhere; one that has no word left goes."""
     tuned(spark)
-    rest = suffixes.kept_text(suffixes.with_removals(docs))
-    changed = F.size("__removed") > 0
-    out = rest.withColumn("text", F.when(changed, F.col("__rest")).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.when(changed, F.char_length("__rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    rest = suffixes.without_repeated_runs(docs, PASSAGE_WORDS)
+    rest = rest.withColumn("__changed", F.coalesce(F.col("__rest") != F.col("text"), F.lit(False)))
+    size = F.char_length("__rest").cast(docs.schema["n_chars"].dataType)
+    out = rest.withColumns({"text": F.col("__rest"), "n_chars": F.when(F.col("__changed"), size).otherwise(F.col("n_chars"))})
+    return out.where(~F.col("__changed") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
