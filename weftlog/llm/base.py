@@ -58,9 +58,10 @@ def take_worker(name: str | None) -> None:
     _holder = name
 
 
-def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str, kind: str | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str, kind: str | None = None, leave: bool = False) -> DataFrame:
     """`fn(column lists...)` per Arrow batch, in the order of the columns of `df`; it returns a
-    dict of equally long lists or arrays, or None for no rows. `kind` names what its tasks hold."""
+    dict of equally long lists or arrays, or None for no rows. `kind` names what its tasks hold;
+    with `leave` they free it at their end, for work that is followed by other work."""
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -71,6 +72,8 @@ def map_batches(df: DataFrame, fn: Callable[..., dict | None], schema: str, kind
             out = fn(*[batch.column(i).to_pylist() for i in range(batch.num_columns)])
             if out is not None:
                 yield as_batch(out, fields)
+        if leave:
+            take_worker(None)
 
     return df.mapInArrow(run, schema)
 

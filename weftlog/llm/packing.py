@@ -56,7 +56,7 @@ def bucket_borders(histogram: dict[int, int], buckets: int) -> list[int]:
     return borders[::-1]
 
 
-def sequence_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def sequence_lengths(docs: DataFrame, tokenizer_path: str, leave: bool = False) -> DataFrame:
     """doc_id, n_tokens of every row of `docs`; null text has 0 tokens."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -64,20 +64,21 @@ def sequence_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         width = bpe.word_memo(tokenizer_path).width
         return {"doc_id": ids, "n_tokens": [len(b) // width for b in tokens.token_ids(tokenizer_path, texts, chunk=None)]}
 
-    return map_batches(slim, count, "doc_id bigint, n_tokens bigint", "words")
+    return map_batches(slim, count, "doc_id bigint, n_tokens bigint", "words", leave)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, buckets: int = BUCKETS,
-         token_budget: int = TOKEN_BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
+         token_budget: int = TOKEN_BUDGET, group_rows: int = GROUP_ROWS, leave: bool = False) -> DataFrame:
     """One row per sequence: doc_id, piece, first_token, n_tokens, bucket_len, batch_id, slot.
 
     A document of more than `max_len` tokens is cut into pieces of `max_len` and a rest; no
     token is lost. An empty document is one sequence of 0 tokens. Rows of one bucket are
     numbered without gaps and cut into batches of `token_budget // bucket_len` sequences (at
     least one), so only the last batch of a bucket can be short. `batch_id` is unique within
-    its bucket. Repeated documents and null ids are packed like any other row.
+    its bucket. Repeated documents and null ids are packed like any other row. `leave` frees the
+    memo of words at the end of each task, at the price of learning words anew.
     """
-    whole = store(sequence_lengths(docs, tokenizer_path), "lengths")
+    whole = store(sequence_lengths(docs, tokenizer_path, leave), "lengths")
     last = F.greatest(F.ceil(F.col("n_tokens") / max_len) - 1, F.lit(0)).cast("int")
     pieces = (
         whole.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))

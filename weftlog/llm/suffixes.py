@@ -476,7 +476,7 @@ def word_coded(rows: DataFrame) -> DataFrame:
         out = []
         for text in texts:
             words = text.encode().split()
-            for w in set(words) - known.keys():
+            for w in [w for w in set(words) if w not in known]:
                 known[w] = word_code(w)
             out.append(b"".join(map(known.__getitem__, words)).decode())
         return {"id": ids, "th": hashes, "text": out}
