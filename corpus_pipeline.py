@@ -71,7 +71,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences in length buckets and batches of a token budget."""
     tuned(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Idle workers would hold their memos beside the JVM work of whatever runs next.
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), leave=True)
 
 
 STAGES = [
