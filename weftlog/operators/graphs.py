@@ -390,7 +390,9 @@ def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 42, *, sessio
              F.collect_list(F.when(F.col("src_idx") != F.col("dst_idx"), code)).alias("used"))
     )
     m = k * (k - 1)
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col(session)), F.greatest(m, F.lit(1)))
+    # 60 bits of a digest, which other engines can follow.
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(session).cast("string")))
+    start = F.pmod(F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint"), F.greatest(m, F.lit(1)))
     walk = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.least(m, F.col("e") * 2) - 1),
         lambda i: F.pmod(start + i * F.lit(_STRIDE), m),

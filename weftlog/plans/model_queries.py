@@ -386,6 +386,36 @@ def m2(spark, sf):
     return M.reconstruction_error(scaled, M.fit_vector_reconstructor(is_train(scaled), 8)).select("session_id", "error")
 
 
+# Two dimensions, where the first component has a closed form: the angle whose double has the tangent 2b / (a - d).
+TWO = f"""v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) + 0.5::DOUBLE * CAST(embedding[1] AS DOUBLE) AS y FROM embeddings),
+    f AS (SELECT avg(x) AS mx, avg(y) AS my, greatest(stddev_samp(x), 0.1) AS sx, greatest(stddev_samp(y), 0.1) AS sy FROM v WHERE vec_id % 20 < 14),
+    z AS (SELECT vec_id, (x - mx) / sx AS x, (y - my) / sy AS y FROM v, f),
+    c AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM z WHERE vec_id % 20 < 14),
+    t AS (SELECT *, 0.5::DOUBLE * atan2(2 * b, a - d) AS angle, sqrt((a - d) * (a - d) + 4 * b * b) AS gap FROM c)"""
+
+
+def plane(spark, sf):
+    e = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("session_id"), F.col("embedding").cast("array<double>").alias("v"))
+    v = e.select("session_id", F.array(F.col("v")[0], F.col("v")[1] + F.col("v")[0] * 0.5).alias("vec"))
+    scaled = D.apply_scaler(v, D.fit_scaler(is_train(v)))
+    return scaled, M.fit_vector_reconstructor(is_train(scaled), 1)
+
+
+@query("m1_two_dimensions", f"""
+    WITH {TWO} SELECT {s6('(a + d + gap) / 2 / (a + d)')} AS explained, {s6('abs(cos(angle))')} AS first_x, {s6('abs(sin(angle))')} AS first_y FROM t""")
+def m1_two(spark, sf):
+    _, model = plane(spark, sf)
+    first = [abs(float(x)) for x in model.pc.toArray()[:, 0]]
+    row = spark.createDataFrame([(float(model.explainedVariance[0]), *first)], "explained double, first_x double, first_y double")
+    return rounded(row, "explained", "first_x", "first_y")
+
+
+@query("m2_two_dimensions", f"""
+    WITH {TWO} SELECT vec_id AS session_id, {s6('pow(y * cos(angle) - x * sin(angle), 2) / 2')} AS error FROM z, t""")
+def m2_two(spark, sf):
+    return rounded(M.reconstruction_error(*plane(spark, sf)).select("session_id", "error"), "error")
+
+
 @query("m2_full_rank_error", "SELECT vec_id AS session_id, 0.0::DOUBLE AS error FROM embeddings")
 def m2_full(spark, sf):
     """With as many codes as dimensions nothing is lost."""
@@ -477,6 +507,39 @@ def m8(spark, sf):
     return one.unionByName(two)
 
 
+def tiny_params() -> dict:
+    """One hidden and one latent number per node, so that the whole forward pass is a line of SQL."""
+    one = lambda w, b: [(np.array(w, dtype=float), np.array(b, dtype=float))]
+    return {
+        "node_mean": np.array([1.0, 3.0]), "node_std": np.array([2.0, 4.0]), "edge_mean": np.array([1.0]), "edge_std": np.array([2.0]),
+        "node_proj": one([[0.5], [-0.25]], [0.1]), "edge_proj": one([[0.75]], [-0.2]), "convs": [{"eps": 0.5, "layers": one([[0.8]], [0.05])}],
+        "node_decoder": one([[0.3, -0.6]], [0.2, 0.1]), "edge_decoder": one([[0.4], [-0.7]], [0.15]),
+    }
+
+
+@query("m8_tiny_weights", f"""
+    WITH {seq_sql('v_items')},
+    x AS (SELECT session_id, cluster_id, (count(*) - 1.0::DOUBLE) / 2 AS x1, (cluster_id - 3.0::DOUBLE) / 4 AS x2 FROM seq GROUP BY 1, 2),
+    h AS (SELECT *, 0.5::DOUBLE * x1 - 0.25::DOUBLE * x2 + 0.1::DOUBLE AS h FROM x),
+    e AS (SELECT session_id, cluster_id AS src, next_cluster_id AS dst, (count(*) - 1.0::DOUBLE) / 2 AS a FROM seq WHERE pos < n - 1 GROUP BY 1, 2, 3),
+    m AS (SELECT e.session_id, dst AS cluster_id, sum(greatest(h.h + 0.75::DOUBLE * a - 0.2::DOUBLE, 0)) AS m FROM e JOIN h ON e.session_id = h.session_id AND src = h.cluster_id GROUP BY 1, 2),
+    z AS (SELECT h.session_id, h.cluster_id, x1, x2, 0.8::DOUBLE * (1.5::DOUBLE * h + coalesce(m, 0)) + 0.05::DOUBLE AS z FROM h LEFT JOIN m ON h.session_id = m.session_id AND h.cluster_id = m.cluster_id),
+    n AS (SELECT session_id, avg((pow(0.3::DOUBLE * z + 0.2::DOUBLE - x1, 2) + pow(-0.6::DOUBLE * z + 0.1::DOUBLE - x2, 2)) / 2) AS node FROM z GROUP BY 1),
+    g AS (SELECT e.session_id, avg(ln(1 + exp(-s.z * d.z))) AS structure, avg(pow(0.4::DOUBLE * s.z - 0.7::DOUBLE * d.z + 0.15::DOUBLE - a, 2)) AS edge
+          FROM e JOIN z s ON e.session_id = s.session_id AND src = s.cluster_id JOIN z d ON e.session_id = d.session_id AND dst = d.cluster_id GROUP BY 1)
+    SELECT n.session_id, {s6('coalesce(structure, 0)')} AS structure, {s6('node')} AS node, {s6('coalesce(edge, 0)')} AS edge FROM n LEFT JOIN g ON n.session_id = g.session_id""", ["v_items"])
+def m8_tiny(spark, sf):
+    run = G.ordered_run(V.v_items(spark, sf).drop("parameters"))
+    nodes = run.rows.groupBy("session_id", "cluster_id").agg(F.count("*").cast("double").alias("c"))
+    packed = nodes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "c"))).alias("ns"))
+    edges = G.graph_edges_basic(run).groupBy("session_id").agg(F.collect_list(F.struct("src", "dst", F.array(F.col("weight").cast("double")).alias("a"))).alias("es"))
+    at = lambda end: F.transform(F.coalesce("es", F.array().cast("array<struct<src:int,dst:int,a:array<double>>>")), lambda e: F.array_position(F.col("ns.cluster_id"), e[end]) - 1)
+    records = packed.join(edges, "session_id", "left").select(
+        "session_id", F.transform("ns", lambda n: F.array(n["c"], n["cluster_id"].cast("double"))).alias("x"), at("src").alias("edge_src"), at("dst").alias("edge_dst"),
+        F.coalesce(F.col("es.a"), F.array().cast("array<array<double>>")).alias("edge_attr"))
+    return rounded(M.batch_score(records, tiny_params()), "structure", "node", "edge")
+
+
 @query("m9_cascade", f"""
     WITH {FLAGS}, sc AS (SELECT session_id, avg(value) / 100 AS score FROM v_events GROUP BY 1)
     SELECT fl.session_id, CASE WHEN e OR l THEN 'stage1' ELSE 'stage2' END AS stage, {s6('CASE WHEN NOT (e OR l) THEN score END')} AS score,

@@ -444,7 +444,18 @@ def gm(spark, sf):
     return out.select("session_id", "cluster_id", r6(F.col("h")[0]).alias("h1"), r6(F.col("h")[1]).alias("h2"))
 
 
-@query("gx_negative_edges")
+@query("gx_negative_edges", f"""
+    WITH {seq_sql('v_items')}, e AS (SELECT DISTINCT session_id, cluster_id AS src, next_cluster_id AS dst FROM seq WHERE pos < n - 1),
+    d AS (SELECT session_id, cluster_id, row_number() OVER (PARTITION BY session_id ORDER BY cluster_id) - 1 AS i FROM (SELECT DISTINCT session_id, cluster_id FROM seq)),
+    s AS (SELECT session_id, count(*) AS k, count(*) * (count(*) - 1) AS m, ('0x' || left(md5('42:' || session_id), 15))::BIGINT AS digest FROM d GROUP BY 1),
+    c AS (SELECT e.session_id, count(*) AS e FROM e GROUP BY 1),
+    u AS (SELECT e.session_id, a.i * (s.k - 1) + CASE WHEN b.i > a.i THEN b.i - 1 ELSE b.i END AS code FROM e JOIN s USING (session_id)
+          JOIN d a ON a.session_id = e.session_id AND a.cluster_id = src JOIN d b ON b.session_id = e.session_id AND b.cluster_id = dst WHERE src <> dst),
+    w AS (SELECT session_id, k, e, step, (digest % m + step * 1000000007) % m AS code
+          FROM (SELECT s.*, c.e, unnest(range(least(m, 2 * c.e))) AS step FROM s JOIN c USING (session_id) WHERE m > 0)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step) AS r FROM w ANTI JOIN u ON u.session_id = w.session_id AND u.code = w.code),
+    p AS (SELECT session_id, code // (k - 1) AS i, code % (k - 1) + CASE WHEN code % (k - 1) >= code // (k - 1) THEN 1 ELSE 0 END AS j FROM f WHERE r <= e)
+    SELECT p.session_id, a.cluster_id AS src, b.cluster_id AS dst FROM p JOIN d a ON a.session_id = p.session_id AND a.i = p.i JOIN d b ON b.session_id = p.session_id AND b.i = p.j""", ["v_items"])
 def gx(spark, sf):
     e = V.v_items(spark, sf)
     nodes = e.select("session_id", "cluster_id").distinct()

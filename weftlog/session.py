@@ -37,15 +37,18 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
-    Where it is unset a folder below `spark.sql.warehouse.dir` is used, which all
-    executors share as well; a machine-local temporary folder never is.
+    Where it is unset a folder below `spark.sql.warehouse.dir` is used. On a cluster that
+    must be in a shared file system; a path of one machine is refused.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local") and ("://" not in warehouse or warehouse.startswith("file:")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; {warehouse} is one machine's")
+        configured = f"{warehouse}/_scratch"
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
