@@ -140,6 +140,41 @@ def test_leaks_are_found_up_to_the_limit(spark, odd, empty):
     assert decontaminate.with_hits(odd, bench).drop("__hits").count() == len(ODD)
 
 
+@pytest.mark.parametrize("kind", ["substituted", "inserted", "deleted", "mixed"])
+def test_edited_items_of_any_length_are_found(kind):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [words(n) for n in (8, 12, 30, 55, 64, 65, 100, 200, 300) for _ in range(6)]
+    index = decontaminate.Index([(k, " ".join(i)) for k, i in enumerate(items)])
+    texts = []
+    for item in items:
+        part = item[:]
+        for _ in range(int(len(item) * 0.2)):
+            step = kind if kind != "mixed" else rng.choice(["substituted", "inserted", "deleted"])
+            at = rng.randrange(len(part))
+            part[at:at + (step != "inserted")] = [] if step == "deleted" else words(1)
+        texts.append(" ".join(words(rng.randint(0, 40)) + part + words(rng.randint(0, 40))))
+    hits = [{h["item_id"]: h for h in found} for found in index.search(texts)]
+    assert sum(k in found for k, found in enumerate(hits)) >= 0.95 * len(items)
+    assert all(h["distance"] <= int(len(items[k]) * 0.2) for found in hits for k, h in found.items())
+
+
+def test_short_items_are_looked_up_with_their_one_edit():
+    items = [(1, "alpha beta gamma"), (2, "one two three four five"), (3, "a b c d e f g h"), (4, "too short"), (5, "p q r s t u v")]
+    index = decontaminate.Index(items)
+    ids = lambda text: [h["item_id"] for h in index.search([text])[0]]
+    assert ids("x ALPHA beta\tgamma y") == [1] and ids("alpha beta gamma") == [1]
+    assert ids("alpha beta") == ids("alpha x gamma") == ids("too short") == ids("") == []
+    assert ids("one two three four") == ids("zero two three four five") == ids("x one two NEW three four five") == [2]
+    assert ids("one two x four y") == []
+    assert ids("a b c d e f g") == ids("b c d e f g h") == [3]
+    for at in range(7):
+        part = "p q r s t u v".split()
+        assert ids(" ".join(["z", *part[:at], "?", *part[at + 1:], "z"])) == [5] == ids(" ".join(part[:at] + part[at + 1:]))
+    assert decontaminate.Index([(4, "too short")]).search(["too short", None, ""]) == [[], [], []]
+
+
 def brute_quality(text):
     import re
 

@@ -10,11 +10,19 @@ looked up, and what is found is checked by the exact edit distance against the w
 A window within d word edits of an item of n words keeps at least n - q + 1 - qd of its runs of
 q words (the q-gram lemma), so windows with fewer known pairs or triples cannot match and are
 not walked.
+
+The number of walks is set per length class: it is raised until simulated items of that length,
+edited up to the limit by substitutions, insertions, deletions and a mix of them, are found with
+the target recall. Long items are cut into pieces: of the pieces of an item with at most `ratio`
+edits a word, one has no larger share of them, so finding any piece within its own limit is enough.
+Items too short for walks are cut into one piece more than they may have edits; one of the pieces
+stands in the text unchanged and is looked up as it is. Whole items are verified in every case.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -25,8 +33,15 @@ from weftlog.llm.base import holds, map_batches, with_column
 
 # Edits, in words, per word of an item; items of fewer words say too little to be looked for.
 MAX_EDIT_RATIO = 0.2
-MIN_ITEM_WORDS = 8
-WALKS = 12
+MIN_ITEM_WORDS = 3
+# Items of fewer words are looked up by unchanged pieces, items of more than PIECE_ABOVE words are cut.
+MIN_WALKED_WORDS = 8
+PIECE_ABOVE = 64
+PIECE_WORDS = 48
+# Recall at the limit of edits that each kind of edit must reach in simulated items.
+TARGET_RECALL = 0.97
+MIN_WALKS, MAX_WALKS = 12, 64
+TRIALS = 64
 SAMPLES_PER_WALK = 10
 SAMPLED_STEPS = 6
 # Items of one length class are at most this much longer than its shortest.
@@ -35,7 +50,7 @@ GRAM_BITS = 22
 # Benchmark text held by every task at a time; a larger benchmark is searched in blocks of it.
 BLOCK_BYTES = 16 << 20
 # Windows walked at once.
-WALK_ROWS = 8192
+WALK_ROWS = 2048
 
 HITS = "array<struct<item_id:bigint,first_word:int,n_words:int,distance:int>>"
 
@@ -72,8 +87,54 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def walked(rows: np.ndarray, mixed: np.ndarray, bits: np.ndarray, ended: int) -> np.ndarray:
+    """Outputs (step, row) of the walk given by `bits` over word sequences of equal length."""
+    n, size = rows.shape
+    which = np.arange(n)
+    padded = np.concatenate([rows, np.full((n, 1), ended, np.int64)], axis=1)
+    pointer = np.zeros(n, np.int64)
+    seen = np.empty((bits.size, n), np.int64)
+    for t, bit in enumerate(bits):
+        word = padded[which, pointer]
+        seen[t] = word
+        pointer = np.minimum(pointer + ((mixed[word] * bit) >> np.uint64(63)).astype(np.int64), size)
+    return seen
+
+
+def edited(size: int, edits: int, kind: str, rng: np.random.Generator) -> list[int]:
+    """Window of `size` words that starts with the words 1 to size after `edits` edits; 0 is any other word."""
+    words = list(range(1, size + 1))
+    for _ in range(edits):
+        step = kind if kind != "mixed" else rng.choice(["substituted", "inserted", "deleted"])
+        at = int(rng.integers(max(1, len(words))))
+        if step == "inserted":
+            words.insert(at, 0)
+        elif step == "deleted":
+            del words[at:at + 1]
+        elif words:
+            words[at] = 0
+    return (words + [0] * size)[:size]
+
+
+@lru_cache(maxsize=4096)
+def walks_for(size: int, limit: int, target: float = TARGET_RECALL) -> int:
+    """Walks with which windows of `size` words and `limit` edits of any one kind are found with `target` recall."""
+    rng = np.random.default_rng([11, size, limit])
+    kinds = ("substituted", "inserted", "deleted", "mixed")
+    rows = np.array([list(range(1, size + 1))] + [edited(size, limit, kind, rng) for kind in kinds for _ in range(TRIALS)], np.int64)
+    missed = np.ones((len(kinds), TRIALS))
+    for n in range(1, MAX_WALKS + 1):
+        mixed = rng.integers(1, 1 << 62, size + 2, dtype=np.uint64)
+        seen = walked(rows, mixed, rng.integers(1, 1 << 62, 3 * size, dtype=np.uint64) | np.uint64(1), size + 1)
+        agree = (seen[:, 1:] == seen[:, :1]).mean(axis=0).reshape(missed.shape)
+        missed *= (1 - agree ** SAMPLED_STEPS) ** SAMPLES_PER_WALK
+        if n >= MIN_WALKS and 1 - missed.mean(axis=1).max() >= target:
+            break
+    return n
+
+
 class Index:
-    """The items of one block: vocabulary, known word pairs, and hash tables by length class."""
+    """The items of one block: vocabulary, known word pairs, hash tables by length class, pieces of short items."""
 
     def __init__(self, items: list[tuple[int, str]], ratio: float = MAX_EDIT_RATIO, seed: int = 3):
         self.ratio, self.seed = ratio, seed
@@ -91,11 +152,28 @@ class Index:
         # Random words by code, so that a step's bit is one multiplication.
         rng = np.random.default_rng(seed)
         self.mixed = rng.integers(1, 1 << 62, len(self.vocabulary) + 2, dtype=np.uint64)
+        # Shorter texts hold no item; the longest edit of an item of few words is a lost word.
+        self.least = min((len(i) - int(len(i) * ratio) for _, i in self.items), default=0)
         self.classes: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        waiting = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
+        # What is walked: (item, first word, words), whole items but for long ones.
+        self.pieces: list[tuple[int, int, list[int]]] = []
+        # Unchanged pieces of short items: words of a piece to its places (item, first word).
+        self.exact: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
+        for k, (_, item) in enumerate(self.items):
+            n = len(item)
+            if n < MIN_WALKED_WORDS:
+                cuts = [n * j // (int(n * ratio) + 1) for j in range(int(n * ratio) + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if b > a:
+                        self.exact.setdefault(b - a, {}).setdefault(tuple(item[a:b]), []).append((k, a))
+            else:
+                parts = 1 if n <= PIECE_ABOVE else -(-n // PIECE_WORDS)
+                cuts = [n * j // parts for j in range(parts + 1)]
+                self.pieces += [(k, a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
+        waiting = sorted(range(len(self.pieces)), key=lambda p: len(self.pieces[p][2]))
         while waiting:
-            size = len(self.items[waiting[0]][1])
-            group = [k for k in waiting if len(self.items[k][1]) <= size * CLASS_RATIO]
+            size = len(self.pieces[waiting[0]][2])
+            group = [p for p in waiting if len(self.pieces[p][2]) <= size * CLASS_RATIO]
             waiting = waiting[len(group):]
             self._add_class(size, group)
 
@@ -109,14 +187,14 @@ class Index:
     def _add_class(self, size: int, group: list[int]) -> None:
         # Windows as long as the shortest item of the class: longer items are looked up by
         # their start and verified whole, so their own limit of edits holds for the window too.
-        limit = max(int(len(self.items[k][1]) * self.ratio) for k in group)
-        steps = 3 * size
+        limit = max(int(len(self.pieces[p][2]) * self.ratio) for p in group)
+        walks, steps = walks_for(size, limit), 3 * size
         rng = np.random.default_rng([self.seed, size])
-        seeds = rng.integers(1, 1 << 62, (WALKS, steps), dtype=np.uint64) | np.uint64(1)
-        picks = np.stack([np.stack([rng.choice(steps, SAMPLED_STEPS, replace=False) for _ in range(SAMPLES_PER_WALK)]) for _ in range(WALKS)])
+        seeds = rng.integers(1, 1 << 62, (walks, steps), dtype=np.uint64) | np.uint64(1)
+        picks = np.stack([np.stack([rng.choice(steps, SAMPLED_STEPS, replace=False) for _ in range(SAMPLES_PER_WALK)]) for _ in range(walks)])
         rows = np.full((len(group), size), -1, np.int64)
-        for r, k in enumerate(group):
-            rows[r] = self.items[k][1][:size]
+        for r, p in enumerate(group):
+            rows[r] = self.pieces[p][2][:size]
         keys = self._keys(rows, seeds, picks)
         flat = keys.reshape(-1)
         owner = np.repeat(np.array(group, np.int64), keys.shape[1])
@@ -125,20 +203,11 @@ class Index:
 
     def _keys(self, rows: np.ndarray, seeds: np.ndarray, picks: np.ndarray) -> np.ndarray:
         """Hash values (row, walk * sample) of word sequences of equal length."""
-        n, size = rows.shape
         out = []
-        which = np.arange(n)
-        ended = len(self.vocabulary) + 1
-        padded = np.concatenate([rows, np.full((n, 1), ended, np.int64)], axis=1)
         for walk, (bits, samples) in enumerate(zip(seeds, picks)):
-            pointer = np.zeros(n, np.int64)
-            seen = np.empty((bits.size, n), np.int64)
-            for t, bit in enumerate(bits):
-                word = padded[which, pointer]
-                seen[t] = word
-                pointer = np.minimum(pointer + ((self.mixed[word] * bit) >> np.uint64(63)).astype(np.int64), size)
+            seen = walked(rows, self.mixed, bits, len(self.vocabulary) + 1)
             for s, at in enumerate(samples):
-                key = np.full(n, walk * SAMPLES_PER_WALK + s + 1, np.uint64)
+                key = np.full(len(rows), walk * SAMPLES_PER_WALK + s + 1, np.uint64)
                 for t in at:
                     key = key * np.uint64(0x9E3779B97F4A7C15) + self.mixed[seen[t]]
                     key ^= key >> np.uint64(29)
@@ -162,7 +231,7 @@ class Index:
         for k, text in enumerate(texts):
             words = words_of(text)
             coded.append(None)
-            if len(words) < MIN_ITEM_WORDS or not self.items:
+            if not self.items or len(words) < self.least:
                 continue
             codes = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
             known = self.grams[2][self._grams(codes, 2)]
@@ -175,6 +244,9 @@ class Index:
                 if len(first):
                     windows[c].append((k, first))
         starts_of: list[dict[int, set[int]]] = [{} for _ in texts]
+        for codes, found in zip(coded, starts_of):
+            if codes is not None and self.exact:
+                self._unchanged(codes, found)
         for (size, _, seeds, picks, keys, owners), found in zip(self.classes, windows):
             if not found:
                 continue
@@ -194,10 +266,21 @@ class Index:
                 left, width = left[width > 0], width[width > 0]
                 each = np.repeat(np.arange(len(left)), width)
                 item = owners[left[each] + np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)]
-                for row, k in np.unique(np.stack([r[each] + i, item], axis=1), axis=0).tolist():
-                    starts_of[where[row]].setdefault(k, set()).add(int(starts[row]))
+                for row, p in np.unique(np.stack([r[each] + i, item], axis=1), axis=0).tolist():
+                    k, first, _ = self.pieces[p]
+                    starts_of[where[row]].setdefault(k, set()).add(int(starts[row]) - first)
         return [self._verified(codes, found) if found else [] for codes, found in zip(coded, starts_of)]
 
+    def _unchanged(self, codes: np.ndarray, starts_of: dict[int, set[int]]) -> None:
+        """Add the starts of short items one of whose pieces stands in the text as it is."""
+        listed = codes.tolist()
+        for size, places in self.exact.items():
+            # A piece has known words only.
+            unknown = np.concatenate([[0], np.cumsum(codes == 0)])
+            for at in np.flatnonzero(unknown[size:] == unknown[:len(unknown) - size]).tolist():
+                for k, first in places.get(tuple(listed[at:at + size]), ()):
+                    starts_of.setdefault(k, set()).add(at - first)
+
     def _verified(self, codes: np.ndarray, starts_of: dict[int, set[int]]) -> list[dict]:
         listed = codes.tolist()
         hits = []
@@ -224,7 +307,7 @@ def _spans(starts: set[int], size: int, limit: int, n: int) -> list[tuple[int, i
     """Parts of the text around the found windows, overlapping ones joined."""
     out: list[tuple[int, int]] = []
     for s in sorted(starts):
-        lo, hi = max(0, s - limit), min(n, s + size + limit)
+        lo, hi = max(0, s - limit), min(n, max(0, s + size + limit))
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], hi)
         else:
