@@ -2,9 +2,12 @@
 
 Each language has two reference histograms over the whole corpus: character classes and its
 most common words. A document is compared with the references of its language by
-Jensen-Shannon distance (base 2, 0 to 1). It is
-rejected if a distance is above its limit, unless it is too short for the histogram to say
-anything or its language has no reference. The base rules (word count, repeated windows) come first.
+Jensen-Shannon distance (base 2, 0 to 1). A reference of n documents is as uncertain as they are
+few, so its limits are wider by a share SLACK_DOCS / n; no number of documents switches it on or
+off. Every document, also one of null or rare language, is compared with a pooled reference of
+the whole corpus, in groups of classes that all scripts share. It is rejected if a distance is
+above its limit, unless it is too short for the histogram to say anything. The base rules (word
+count, repeated windows) come first.
 
 Documents are read twice and never moved: once to count, once to judge. Only counts move.
 """
@@ -22,11 +25,12 @@ WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-# Words of a language reference, and the fewest documents behind a reference that may judge.
+# Words of a language reference, and the places of the table that they are looked up in.
 COMMON_WORDS = 64
 SLOTS = 512
-MIN_REFERENCE_DOCS = 20
-# Languages whose references are held in every task; more of them stop the job with a message.
+# Share by which the limits of a language of n documents are wider: SLACK_DOCS / n.
+SLACK_DOCS = 4
+# Up to so many languages their references are held in every task; more are joined without that.
 MAX_LANGUAGES = 1000
 # Guards: shorter documents pass the test of that histogram.
 MIN_CHARS_FOR_CLASSES = 100
@@ -34,6 +38,7 @@ MIN_WORDS_FOR_COMMON = 80
 # Limits of the distances; see the README for how far clean documents lie below them.
 MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.42
+MAX_POOLED_DISTANCE = 0.28
 
 # Character classes in the order they are taken out of the text; what is left is "other".
 CLASSES = (
@@ -41,6 +46,10 @@ CLASSES = (
     ("stop", "[.,;:'\"()-]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>!?@=+/\\\\_~^{}\\[\\]]+"),
 )
 
+# Classes (by place, the last is "other") that count as one where languages are pooled: letters of
+# any script, white space, stops, digits, symbols.
+POOLED = ((0, 2, 3, 7), (1,), (4,), (5,), (6,))
+
 
 def base_measures(docs: DataFrame) -> DataFrame:
     """`row`, doc_id, lang, words and the base columns of every row; null text has no words.
@@ -103,41 +112,45 @@ def slot_of(code: Column | str) -> Column:
 
 
 def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
-    """lang, q_classes, slot_code, slot_share: one row per known language.
+    """lang, n_docs, q_classes, slot_codes, by_code: one row per language, and one of null `lang`
+    with the classes of the whole corpus, documents of null language included.
 
-    Every document counts, including those the base rules reject: a reference describes the
-    corpus, and rejected texts are too few to bend it. The most common words (lower case; ties
-    take the smaller word) sit in a table of SLOTS places by their hash, `slot_code` with the
-    hash and `slot_share` with the word's share of all words of the language. Of two common
-    words of one place only the more frequent is used.
+    Every document with a text counts, including those the base rules reject: a reference describes
+    the corpus, and rejected texts are too few to bend it. The most common words (lower case; ties
+    take the smaller word) sit in a table of SLOTS places by their hash: `slot_codes` has the hashes
+    of each place, `by_code` each hash with the word's share of all words of the language.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    counted = class_counts(known).groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.array(*[F.sum(F.col("classes")[k]) for k in range(len(CLASSES) + 1)]).alias("sums"))
+    known = docs.where(F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    classes = F.array(*[F.sum(F.col("classes")[k]) for k in range(len(CLASSES) + 1)])
+    # A few rows; the pool is their sum.
+    counted = store(class_counts(known).groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), classes.alias("classes")), "classes")
+    pool = counted.agg(F.sum("n_docs").alias("n_docs"), classes.alias("sums"))
     # Words are dealt by themselves, so a language that holds most rows is spread over all tasks.
     words = store(
-        known.select("lang", F.explode(F.split(F.lower("text"), SPACES)).alias("word")).where(F.col("word") != "")
+        known.where(F.col("lang").isNotNull()).select("lang", F.explode(F.split(F.lower("text"), SPACES)).alias("word")).where(F.col("word") != "")
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = words.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= common_words).withColumn("code", F.xxhash64("word"))
-    alone = Window.partitionBy("lang", "slot").orderBy("r")
-    placed = top.withColumn("slot", slot_of("code")).withColumn("k", F.row_number().over(alone)).where(F.col("k") == 1)
-    shares = placed.join(totals, "lang").groupBy("lang").agg(F.map_from_entries(F.collect_list(
-        F.struct("slot", F.struct("code", (F.col("n") / F.col("total")).alias("q"))))).alias("by_slot"))
-    all_chars = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
+    top = words.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= common_words)
+    # Two words of one 64-bit hash would be one word here.
+    shares = (
+        top.join(totals, "lang").groupBy("lang", F.xxhash64("word").alias("code")).agg(F.sum(F.col("n") / F.col("total")).alias("q"))
+        .groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("code", "q"))).alias("by_code")))
+    own = counted.where(F.col("lang").isNotNull()).withColumnRenamed("classes", "sums").join(shares, "lang", "left")
     places = F.sequence(F.lit(0).cast("bigint"), F.lit(SLOTS - 1).cast("bigint"))
-    return counted.where(F.col("n_docs") >= MIN_REFERENCE_DOCS).join(shares, "lang").select(
-        "lang", F.transform("sums", lambda x: x / F.greatest(all_chars, F.lit(1.0))).alias("q_classes"),
-        F.transform(places, lambda s: F.try_element_at("by_slot", s)["code"]).alias("slot_code"),
-        F.transform(places, lambda s: F.try_element_at("by_slot", s)["q"]).alias("slot_share"))
+    codes = F.map_keys("by_code")
+    all_chars = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
+    both = own.unionByName(pool.withColumn("lang", F.lit(None).cast("string")), allowMissingColumns=True)
+    return both.where(F.col("n_docs") > 0).select(
+        "lang", "n_docs", F.transform("sums", lambda x: x / F.greatest(all_chars, F.lit(1.0))).alias("q_classes"),
+        F.transform(places, lambda s: F.filter(codes, lambda c: slot_of(c) == s)).alias("slot_codes"), "by_code")
 
 
 def judge(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, the base columns, base_failed, class_distance, word_distance and kept per row of `docs`.
+    """doc_id, the base columns, base_failed, class_distance, word_distance, pooled_distance and kept per row of `docs`.
 
-    A distance is null where its guard holds or the language has no reference; a null distance
-    rejects nothing. Null text has no words and fails the base rules. Repeated rows are judged alike.
+    A distance is null where its guard holds or, for the language's own references, `lang` is null; a
+    null distance rejects nothing. Null text has no words and fails the base rules. Repeated rows are judged alike.
     """
     return _judged(docs, **how).drop("row")
 
@@ -153,32 +166,40 @@ def accepted(docs: DataFrame, **how) -> DataFrame:
 
 
 def _judged(docs: DataFrame, *, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-            common_words: int = COMMON_WORDS) -> DataFrame:
+            max_pooled: float = MAX_POOLED_DISTANCE, common_words: int = COMMON_WORDS) -> DataFrame:
     refs = store(references(docs, common_words), "references")
-    # About 8 kB per language; counted before it is given to every task.
-    if refs.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages have a reference")
-    joined = class_counts(base_measures(docs)).join(F.broadcast(refs), "lang", "left")
+    own = refs.where(F.col("lang").isNotNull())
+    # About 6 kB per language; counted before it is given to every task.
+    if own.count() <= MAX_LANGUAGES:
+        own = F.broadcast(own)
+    pooled = refs.where(F.col("lang").isNull()).first()
+    q_pooled = [sum(pooled["q_classes"][k] for k in group) if pooled else 0.0 for group in POOLED]
+    joined = class_counts(base_measures(docs)).join(own, "lang", "left")
     bins = range(len(CLASSES) + 1)
     classes = sum((half_term(F.col("classes")[k] / F.col("n_chars"), F.col("q_classes")[k]) for k in bins), F.lit(0.0))
+    share = lambda group: sum((F.col("classes")[k] for k in group), F.lit(0.0)) / F.col("n_chars")
+    shared = sum((half_term(share(group), F.lit(q)) for group, q in zip(POOLED, q_pooled)), F.lit(0.0))
     # Common words of the document: hashes found in the table, sorted, as (hash, times) by run.
     codes = F.transform("words", lambda w: F.xxhash64(F.lower(w)))
-    hits = F.sort_array(F.filter("codes", lambda c: F.get("slot_code", slot_of(c).cast("int")) == c))
+    hits = F.sort_array(F.filter("codes", lambda c: F.array_contains(F.get("slot_codes", slot_of(c).cast("int")), c)))
     ends = F.filter(F.transform("hits", lambda c, k: F.when(~c.eqNullSafe(F.get("hits", k + 1)), F.struct(c.alias("code"), (k + 1).alias("end")))), lambda x: x.isNotNull())
     terms = F.transform("ends", lambda x, k: F.struct(
         ((x.end - F.coalesce(F.get("ends", k - 1).end, F.lit(0))) / F.col("n_words")).alias("p"),
-        F.get("slot_share", slot_of(x.code).cast("int")).alias("q")))
+        F.try_element_at("by_code", x.code).alias("q")))
     total = lambda of: F.aggregate("terms", F.lit(0.0), lambda a, t: a + of(t))
-    common = F.aggregate("slot_share", F.lit(0.0), lambda a, q: a + F.coalesce(q, F.lit(0.0)))
+    common = F.aggregate(F.map_values("by_code"), F.lit(0.0), lambda a, q: a + q)
     # A common word the document lacks adds half its share; all other words are one bin.
     words = total(lambda t: half_term(t.p, t.q)) + (F.col("common") - total(lambda t: t.q)) / 2 + half_term(1 - total(lambda t: t.p), 1 - F.col("common"))
     distance = lambda divergence: F.sqrt(F.greatest(divergence, F.lit(0.0)))
     scored = (
         joined.withColumn("class_distance", F.when((F.col("n_chars") >= MIN_CHARS_FOR_CLASSES) & F.col("q_classes").isNotNull(), distance(classes)))
-        .withColumn("codes", F.when((F.col("n_words") >= MIN_WORDS_FOR_COMMON) & F.col("slot_code").isNotNull(), codes))
+        .withColumn("pooled_distance", F.when(F.col("n_chars") >= MIN_CHARS_FOR_CLASSES, distance(shared)))
+        .withColumn("codes", F.when((F.col("n_words") >= MIN_WORDS_FOR_COMMON) & F.col("by_code").isNotNull(), codes))
         .withColumn("hits", hits).withColumn("ends", ends).withColumn("terms", terms).withColumn("common", common)
         .withColumn("word_distance", F.when(F.col("codes").isNotNull(), distance(words)))
     )
-    far = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word, F.lit(False))
+    wider = 1 + F.lit(float(SLACK_DOCS)) / F.col("n_docs")
+    above = lambda name, limit: F.coalesce(F.col(name) > limit, F.lit(False))
+    far = above("class_distance", max_class * wider) | above("word_distance", max_word * wider) | above("pooled_distance", F.lit(max_pooled))
     return scored.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
+                         "class_distance", "word_distance", "pooled_distance", (~F.col("base_failed") & ~far).alias("kept"))
