@@ -211,6 +211,31 @@ def test_divergence_rejects_odd_histograms_only(spark):
     assert {k for k, v in kept.items() if not v} == {200, 201}
 
 
+@pytest.mark.parametrize("rare", [1, 3, 19, 20])
+def test_languages_of_any_size_and_null_are_judged(spark, rare):
+    rng = random.Random(15)
+    vocabulary = {"en": [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(150)], "ru": [f"сло{chr(0x430 + k % 30)}во" for k in range(30)]}
+    text = lambda lang, n: " ".join(rng.choices(vocabulary[lang], k=n))
+    junk = " ".join(w + "*#" * 6 for w in text("en", 120).split())
+    docs = [(k, text("en", 150), "en") for k in range(60)] + [(100 + k, text("ru", 120), "ru") for k in range(rare)]
+    docs += [(200, junk, None), (201, junk, "xx"), (202, text("en", 120), None), (203, text("ru", 120), None), (204, None, "ru"), (205, text("en", 120), "yy")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    assert {k for k, v in got.items() if not v} == {200, 201, 204}
+    assert quality.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string").where("text IS NULL")).collect()[0].kept is False
+
+
+def test_every_common_word_has_a_share(spark):
+    docs = [(1, " ".join(f"w{k}" for k in range(64) for _ in range(64 - k)), "en")]
+    ref = quality.references(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).where("lang IS NOT NULL").first()
+    assert len(ref.by_code) == 64 and sum(map(len, ref.slot_codes)) == 64 and abs(sum(ref.by_code.values()) - 1) < 1e-9
+
+
+def test_more_languages_than_are_held(spark, odd, monkeypatch):
+    want = collections.Counter(quality.judge(odd).collect())
+    monkeypatch.setattr(quality, "MAX_LANGUAGES", 0)
+    assert collections.Counter(quality.judge(odd).collect()) == want
+
+
 def test_main_text_of_held_out_labelled_pages():
     model = htmlmain.default_model()
     wrong = total = 0
@@ -408,6 +433,24 @@ def test_packing_loses_no_token(odd, empty):
         room = max(1, 200 // max(size, 1))
         full = part.groupby("batch_id").size().sort_index()
         assert (full.iloc[:-1] == room).all() and full.iloc[-1] <= room and list(full.index) == list(range(len(full)))
+    # The ids of all pieces of a document, put together, are those of the library.
+    held = collections.defaultdict(list)
+    for r in got.sort_values(["doc_id", "piece"]).itertuples():
+        assert len(r.ids) == r.n_tokens * r.id_bytes
+        if r.doc_id == r.doc_id:
+            held[int(r.doc_id)] += np.frombuffer(r.ids, f"<u{r.id_bytes}").tolist()
+    texts = collections.defaultdict(list)
+    for i, t, *_ in ODD:
+        if i is not None:
+            texts[i].append(t)
+    for i, given in texts.items():
+        if len(given) == 1:
+            assert held[i] == tok.encode(given[0] or "", add_special_tokens=False).ids
+    size, batch = max((r.bucket_len, r.batch_id) for r in got.itertuples())
+    part = got[(got.bucket_len == size) & (got.batch_id == batch)].to_dict("records")
+    ids, mask = packing.batch_arrays(part, pad_id=-1)
+    assert ids.shape == mask.shape == (len(part), size) and (ids[mask] >= 0).all() and (ids[~mask] == -1).all()
+    assert mask.sum() == sum(r["n_tokens"] for r in part)
     assert packing.pack(empty, BYTE).count() == 0
 
 

@@ -19,7 +19,8 @@ MAX_LEN = 2048
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
 # Sequences numbered by one task; only the number of groups follows from it, not the result's shape.
-GROUP_ROWS = 100_000
+# A sequence has at most MAX_LEN ids of 2 or 4 bytes, so a group sorts at most some 80 or 160 MB.
+GROUP_ROWS = 20_000
 
 
 def bucket_borders(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -56,20 +57,25 @@ def bucket_borders(histogram: dict[int, int], buckets: int) -> list[int]:
     return borders[::-1]
 
 
-def sequence_lengths(docs: DataFrame, tokenizer_path: str, leave: bool = False) -> DataFrame:
-    """doc_id, n_tokens of every row of `docs`; null text has 0 tokens."""
+def encoded(docs: DataFrame, tokenizer_path: str, leave: bool = False) -> DataFrame:
+    """doc_id, n_tokens, id_bytes, ids of every row of `docs`; `ids` holds little-endian unsigned
+    integers of `id_bytes` bytes. Null text has 0 tokens."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def count(ids, texts):
+    def encode(ids, texts):
         width = bpe.word_memo(tokenizer_path).width
-        return {"doc_id": ids, "n_tokens": [len(b) // width for b in tokens.token_ids(tokenizer_path, texts, chunk=None)]}
+        coded = tokens.token_ids(tokenizer_path, texts, chunk=None)
+        return {"doc_id": ids, "n_tokens": [len(b) // width for b in coded], "id_bytes": [width] * len(ids), "ids": coded}
 
-    return map_batches(slim, count, "doc_id bigint, n_tokens bigint", "words", leave)
+    return map_batches(slim, encode, "doc_id bigint, n_tokens bigint, id_bytes int, ids binary", "words", leave)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, buckets: int = BUCKETS,
          token_budget: int = TOKEN_BUDGET, group_rows: int = GROUP_ROWS, leave: bool = False) -> DataFrame:
-    """One row per sequence: doc_id, piece, first_token, n_tokens, bucket_len, batch_id, slot.
+    """One row per sequence: doc_id, piece, first_token, n_tokens, bucket_len, batch_id, slot, id_bytes, ids.
+
+    `ids` holds the sequence's token ids, little-endian unsigned integers of `id_bytes` bytes, without
+    padding; `batch_arrays` pads the sequences of a batch to `bucket_len`.
 
     A document of more than `max_len` tokens is cut into pieces of `max_len` and a rest; no
     token is lost. An empty document is one sequence of 0 tokens. Rows of one bucket are
@@ -78,12 +84,13 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, bucket
     its bucket. Repeated documents and null ids are packed like any other row. `leave` frees the
     memo of words at the end of each task, at the price of learning words anew.
     """
-    whole = store(sequence_lengths(docs, tokenizer_path, leave), "lengths")
+    whole = store(encoded(docs, tokenizer_path, leave), "ids")
     last = F.greatest(F.ceil(F.col("n_tokens") / max_len) - 1, F.lit(0)).cast("int")
     pieces = (
         whole.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("first_token", F.col("piece").cast("bigint") * max_len)
         .withColumn("n_tokens", F.least(F.col("n_tokens") - F.col("first_token"), F.lit(max_len).cast("bigint")))
+        .withColumn("ids", F.substring("ids", (F.col("first_token") * F.col("id_bytes") + 1).cast("int"), (F.col("n_tokens") * F.col("id_bytes")).cast("int")))
     )
     histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     borders = bucket_borders(histogram, buckets) or [max_len]
@@ -101,5 +108,16 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = MAX_LEN, bucket
     return (
         placed.join(offsets, ["bucket_len", "part"]).withColumn("place", place)
         .select("doc_id", "piece", "first_token", "n_tokens", "bucket_len",
-                F.floor(F.col("place") / room).alias("batch_id"), F.pmod(F.col("place"), room).alias("slot"))
+                F.floor(F.col("place") / room).alias("batch_id"), F.pmod(F.col("place"), room).alias("slot"), "id_bytes", "ids")
     )
+
+
+def batch_arrays(sequences: list, pad_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, mask) of the packed rows of one batch: a row per slot, padded to `bucket_len` with `pad_id`."""
+    rows = sorted(sequences, key=lambda r: r["slot"])
+    width = rows[0]["bucket_len"] if rows else 0
+    ids, mask = np.full((len(rows), width), pad_id, np.int64), np.zeros((len(rows), width), bool)
+    for k, r in enumerate(rows):
+        ids[k, :r["n_tokens"]] = np.frombuffer(r["ids"], f"<u{r['id_bytes']}")
+        mask[k, :r["n_tokens"]] = True
+    return ids, mask
