@@ -40,10 +40,10 @@ PIECE_ABOVE = 64
 PIECE_WORDS = 48
 # Recall at the limit of edits that each kind of edit must reach in simulated items.
 TARGET_RECALL = 0.97
-MIN_WALKS, MAX_WALKS = 12, 64
+MIN_WALKS, MAX_WALKS = 6, 64
 TRIALS = 64
 SAMPLES_PER_WALK = 10
-SAMPLED_STEPS = 6
+SAMPLED_STEPS = 4
 # Items of one length class are at most this much longer than its shortest.
 CLASS_RATIO = 1.2
 GRAM_BITS = 22
@@ -266,7 +266,8 @@ class Index:
                 left, width = left[width > 0], width[width > 0]
                 each = np.repeat(np.arange(len(left)), width)
                 item = owners[left[each] + np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)]
-                for row, p in np.unique(np.stack([r[each] + i, item], axis=1), axis=0).tolist():
+                for found_at in np.unique((r[each] + i) * len(self.pieces) + item).tolist():
+                    row, p = divmod(found_at, len(self.pieces))
                     k, first, _ = self.pieces[p]
                     starts_of[where[row]].setdefault(k, set()).add(int(starts[row]) - first)
         return [self._verified(codes, found) if found else [] for codes, found in zip(coded, starts_of)]
