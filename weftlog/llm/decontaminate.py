@@ -214,82 +214,96 @@ class Index:
                 out.append(key)
         return np.stack(out, axis=1)
 
-    def _possible(self, codes: np.ndarray, size: int, limit: int, totals: dict[int, np.ndarray]) -> np.ndarray:
-        """Starts of windows with enough known runs of words to be within `limit` edits."""
-        first = np.arange(max(1, len(codes) - size + limit + 1))
+    def _possible(self, size: int, limit: int, left: np.ndarray, heads: np.ndarray, totals: dict[int, np.ndarray]) -> np.ndarray:
+        """Places of windows with enough known runs of words to be within `limit` edits."""
+        ok = left >= max(1, size - limit)
+        ok[heads] = True
         for q, total in totals.items():
-            need = size - q + 1 - q * limit
+            need, width = size - q + 1 - q * limit, size - q + 1
             if need > 0:
-                last = np.minimum(first + size - q + 1, len(total) - 1)
-                first = first[total[last] - total[np.minimum(first, len(total) - 1)] >= need]
-        return first
+                ok &= total[width:width + len(left)] - total[:len(left)] >= need
+        return np.flatnonzero(ok)
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text, the best match of every item that it holds within its limit, by item."""
-        coded: list[np.ndarray | None] = []
-        windows: list[list[tuple[int, np.ndarray]]] = [[] for _ in self.classes]
+        hits: list[list[dict]] = [[] for _ in texts]
+        kept, coded = [], []
         for k, text in enumerate(texts):
             words = words_of(text)
-            coded.append(None)
-            if not self.items or len(words) < self.least:
-                continue
-            codes = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
-            known = self.grams[2][self._grams(codes, 2)]
-            if not known.any():
-                continue
-            coded[k] = codes
-            totals = {q: np.concatenate([[0], np.cumsum(self.grams[q][self._grams(codes, q)])]) for q in (3, 2)}
-            for c, (size, limit, *_) in enumerate(self.classes):
-                first = self._possible(codes, size, limit, totals)
-                if len(first):
-                    windows[c].append((k, first))
-        starts_of: list[dict[int, set[int]]] = [{} for _ in texts]
-        for codes, found in zip(coded, starts_of):
-            if codes is not None and self.exact:
-                self._unchanged(codes, found)
-        for (size, _, seeds, picks, keys, owners), found in zip(self.classes, windows):
-            if not found:
-                continue
-            where = np.concatenate([np.full(len(first), k) for k, first in found])
-            starts = np.concatenate([first for _, first in found])
-            at = starts[:, None] + np.arange(size)
-            rows = np.zeros(at.shape, np.int64)
-            for k, _ in found:
-                mine = where == k
-                inside = at[mine]
-                rows[mine] = np.where(inside < len(coded[k]), coded[k][np.minimum(inside, len(coded[k]) - 1)], 0)
-            for i in range(0, len(rows), WALK_ROWS):
-                got = self._keys(rows[i:i + WALK_ROWS], seeds, picks)
-                left = np.searchsorted(keys, got, "left")
-                width = np.searchsorted(keys, got, "right") - left
+            if self.items and words and len(words) >= self.least:
+                kept.append(k)
+                coded.append(np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words)))
+        if not kept:
+            return hits
+        # All texts in one row, each followed by as many unknown words as a window can reach over its end.
+        gap = max([size for size, *_ in self.classes] + list(self.exact))
+        sizes = np.array([len(c) for c in coded])
+        heads = np.concatenate([[0], np.cumsum(sizes + gap)])
+        row = np.zeros(heads[-1] + gap, np.int64)
+        for at, codes in zip(heads.tolist(), coded):
+            row[at:at + len(codes)] = codes
+        heads = heads[:-1]
+        left = np.repeat(heads + sizes, sizes + gap) - np.arange(len(row) - gap)
+        totals = {q: np.concatenate([[0], np.cumsum(self.grams[q][self._grams(row, q)], dtype=np.int32)]) for q in (3, 2)}
+        items = np.array([k for k, *_ in self.pieces], np.int64)
+        firsts = np.array([f for _, f, _ in self.pieces], np.int64)
+        # (place in the row, item, first word of the piece in it) of whatever was found.
+        found = [self._unchanged(row)]
+        for size, limit, seeds, picks, keys, owners in self.classes:
+            places = self._possible(size, limit, left, heads, totals)
+            for i in range(0, len(places), WALK_ROWS):
+                there = places[i:i + WALK_ROWS]
+                got = self._keys(row[there[:, None] + np.arange(size)], seeds, picks)
+                lo = np.searchsorted(keys, got, "left")
+                width = np.searchsorted(keys, got, "right") - lo
                 r, _ = np.nonzero(width)
-                left, width = left[width > 0], width[width > 0]
-                each = np.repeat(np.arange(len(left)), width)
-                item = owners[left[each] + np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)]
-                for found_at in np.unique((r[each] + i) * len(self.pieces) + item).tolist():
-                    row, p = divmod(found_at, len(self.pieces))
-                    k, first, _ = self.pieces[p]
-                    starts_of[where[row]].setdefault(k, set()).add(int(starts[row]) - first)
-        return [self._verified(codes, found) if found else [] for codes, found in zip(coded, starts_of)]
-
-    def _unchanged(self, codes: np.ndarray, starts_of: dict[int, set[int]]) -> None:
-        """Add the starts of short items one of whose pieces stands in the text as it is."""
-        listed = codes.tolist()
+                lo, width = lo[width > 0], width[width > 0]
+                each = np.repeat(np.arange(len(lo)), width)
+                piece = owners[lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)]
+                pairs = np.unique(r[each] * len(self.pieces) + piece)
+                r, piece = np.divmod(pairs, max(1, len(self.pieces)))
+                found.append(np.stack([there[r], items[piece], firsts[piece]]))
+        place, item, first = np.concatenate(found, axis=1)
+        text = np.searchsorted(heads, place, "right") - 1
+        for t, parts in self._spans(text, item, place - heads[text] - first, sizes).items():
+            hits[kept[t]] = self._verified(coded[t], parts)
+        return hits
+
+    def _unchanged(self, row: np.ndarray) -> np.ndarray:
+        """Places of short items one of whose pieces stands in a text as it is."""
+        out = []
+        # A piece has known words only.
+        unknown = np.concatenate([[0], np.cumsum(row == 0)])
         for size, places in self.exact.items():
-            # A piece has known words only.
-            unknown = np.concatenate([[0], np.cumsum(codes == 0)])
             for at in np.flatnonzero(unknown[size:] == unknown[:len(unknown) - size]).tolist():
-                for k, first in places.get(tuple(listed[at:at + size]), ()):
-                    starts_of.setdefault(k, set()).add(at - first)
-
-    def _verified(self, codes: np.ndarray, starts_of: dict[int, set[int]]) -> list[dict]:
+                out += [(at, k, first) for k, first in places.get(tuple(row[at:at + size].tolist()), ())]
+        return np.array(out, np.int64).reshape(-1, 3).T
+
+    def _spans(self, text: np.ndarray, item: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """Parts of each text around the starts found for an item, overlapping ones joined."""
+        lengths = np.array([len(words) for _, words in self.items], np.int64)
+        limits = np.array([int(len(words) * self.ratio) for _, words in self.items], np.int64)
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        lo = np.maximum(0, start - limits[item])
+        hi = np.minimum(sizes[text], np.maximum(0, start + lengths[item] + limits[item]))
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+        opened = np.flatnonzero(new)
+        closed = np.append(opened[1:], len(text))[:len(opened)] - 1
+        out: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for t, k, a, b in zip(text[opened].tolist(), item[opened].tolist(), lo[opened].tolist(), hi[closed].tolist()):
+            out.setdefault(t, {}).setdefault(k, []).append((a, b))
+        return out
+
+    def _verified(self, codes: np.ndarray, parts: dict[int, list[tuple[int, int]]]) -> list[dict]:
         listed = codes.tolist()
         hits = []
-        for k, starts in sorted(starts_of.items()):
+        for k, spans in parts.items():
             item_id, item = self.items[k]
             limit = int(len(item) * self.ratio)
             best = None
-            for lo, hi in _spans(starts, len(item), limit, len(listed)):
+            for lo, hi in spans:
                 there = set(listed[lo:hi])
                 # Each word of the item that is not there costs an edit.
                 if sum(w not in there for w in item) > limit:
@@ -304,18 +318,6 @@ class Index:
         return hits
 
 
-def _spans(starts: set[int], size: int, limit: int, n: int) -> list[tuple[int, int]]:
-    """Parts of the text around the found windows, overlapping ones joined."""
-    out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        lo, hi = max(0, s - limit), min(n, max(0, s + size + limit))
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
-    return out
-
-
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
     """The items in blocks of bounded size, each small enough for every task to hold.
 
