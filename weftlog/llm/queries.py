@@ -47,7 +47,64 @@ def op3_benchmark_leaks(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op4_quality_rules")
+# Distances are doubles summed in another order, so a document exactly at a limit could differ.
+def _half(p: str, q: str) -> str:
+    part = lambda x: f"(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (({p}) + ({q}))) ELSE 0 END)"
+    return f"(({part(f'({p})')} + {part(f'({q})')}) / 2)"
+
+
+_CLASSES = ["length(regexp_replace(text, '[^{}]', '', 'g'))".format(c) for c in (
+    "a-z", r"\x20\x09-\x0D", r"\x{00C0}-\x{024F}", "A-Z", ".,;:''\"()-", "0-9", r"#*$%&|<>!?@=+/\\_~^{}\[\]")]
+_SHARED = [" + ".join(f"c{k}" for k in group) for group in quality.POOLED]
+OP4_SQL = rf"""
+    WITH d AS (
+        SELECT doc_id, CAST(lang AS VARCHAR) AS lang, text IS NOT NULL AS known, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    m AS (
+        SELECT doc_id, lang, known, words, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+               length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+               length(text) AS n_chars, {", ".join(f"{c} AS c{k}" for k, c in enumerate(_CLASSES))} FROM d),
+    n AS (SELECT *, n_chars - ({" + ".join(f"c{k}" for k in range(7))}) AS c7 FROM m),
+    placed AS (SELECT doc_id, n_words, unnest(words) AS word, unnest(range(1, n_words + 1)) AS i FROM m),
+    strung AS (SELECT doc_id, i, n_words, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER w" for k in range(1, quality.WINDOW_WORDS))}) AS eight
+               FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, eight) AS times FROM strung WHERE i <= n_words - {quality.WINDOW_WORDS - 1}),
+    repeated AS (
+        SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {quality.WINDOW_WORDS})) AS p FROM windows WHERE times > 1)
+        GROUP BY doc_id),
+    own AS (SELECT lang, count(*) AS n_docs, sum(n_chars) AS total, {", ".join(f"sum(c{k}) AS c{k}" for k in range(8))}
+            FROM n WHERE known AND lang IS NOT NULL GROUP BY lang),
+    pool AS (SELECT sum(n_chars) AS total, {", ".join(f"sum(c{k}) AS c{k}" for k in range(8))} FROM n WHERE known),
+    spoken AS (SELECT doc_id, lang, lower(unnest(words)) AS word FROM m),
+    counted AS (SELECT lang, word, count(*) AS n FROM spoken WHERE lang IS NOT NULL GROUP BY lang, word),
+    ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counted),
+    top AS (SELECT lang, word, n / total AS q FROM ranked WHERE r <= {quality.COMMON_WORDS}),
+    common AS (SELECT lang, sum(q) AS common FROM top GROUP BY lang),
+    used AS (SELECT s.doc_id, t.q, count(*) / any_value(m.n_words) AS p
+             FROM spoken s JOIN top t USING (lang, word) JOIN m ON m.doc_id = s.doc_id GROUP BY s.doc_id, t.word, t.q),
+    heard AS (SELECT doc_id, sum(p) AS p, sum(q) AS q, sum({_half("p", "q")}) AS near FROM used GROUP BY doc_id),
+    judged AS (
+        SELECT n.*, own.n_docs, coalesce(r.n, 0) AS n_repeat_words,
+               CASE WHEN n.n_chars >= {quality.MIN_CHARS_FOR_CLASSES} AND own.total > 0 THEN
+                   sqrt(greatest({" + ".join(_half(f"n.c{k} / n.n_chars", f"own.c{k} / own.total") for k in range(8))}, 0)) END AS class_distance,
+               CASE WHEN n.n_chars >= {quality.MIN_CHARS_FOR_CLASSES} THEN
+                   sqrt(greatest({" + ".join(
+                       _half(f"({g.replace('c', 'n.c')}) / n.n_chars", f"({g.replace('c', 'pool.c')}) / pool.total") for g in _SHARED)}, 0)) END AS pooled_distance,
+               CASE WHEN n.n_words >= {quality.MIN_WORDS_FOR_COMMON} AND common IS NOT NULL THEN
+                   sqrt(greatest(coalesce(near, 0) + (common - coalesce(h.q, 0)) / 2 + {_half("1 - coalesce(h.p, 0)", "1 - common")}, 0)) END AS word_distance
+        FROM n CROSS JOIN pool LEFT JOIN own USING (lang) LEFT JOIN common USING (lang) LEFT JOIN heard h ON h.doc_id = n.doc_id
+             LEFT JOIN repeated r ON r.doc_id = n.doc_id),
+    based AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM judged)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+           CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+           NOT (base_failed OR coalesce(class_distance > {quality.MAX_CLASS_DISTANCE} * (1 + {quality.SLACK_DOCS} / n_docs), false)
+                OR coalesce(word_distance > {quality.MAX_WORD_DISTANCE} * (1 + {quality.SLACK_DOCS} / n_docs), false)
+                OR coalesce(pooled_distance > {quality.MAX_POOLED_DISTANCE}, false)) AS kept
+    FROM based"""
+
+
+@query("op4_quality_rules", OP4_SQL)
 def op4_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -105,7 +162,26 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-@query("op6_near_duplicates")
+# Every pair of texts with a shingle in common is counted, which suits small tables only.
+OP6_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
+                                       ELSE list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4]) END) AS shingles FROM w),
+    e AS (SELECT doc_id, len(shingles) AS n, md5_number(CAST(unnest(shingles) AS VARCHAR)) AS code FROM s),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS sizes, count(*) AS shared
+            FROM e a JOIN e b ON a.code = b.code AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT a, b FROM met WHERE 100 * shared >= 75 * (sizes - shared)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS doc_id, a AS met_id FROM ways UNION SELECT r.doc_id, x.b FROM reach r JOIN ways x ON x.a = r.met_id),
+    lowest AS (SELECT doc_id, min(met_id) AS component FROM reach GROUP BY doc_id)
+    SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id,
+           coalesce(component, s.doc_id) = s.doc_id AS kept
+    FROM s LEFT JOIN lowest USING (doc_id)"""
+
+
+@query("op6_near_duplicates", OP6_SQL)
 def op6_near_duplicates(spark, sf_dir):
     return nearedup.groups(table(spark, sf_dir, "documents"))
 
