@@ -48,7 +48,23 @@ def test_memo_and_splices_give_the_library_ids(path):
     assert [np.frombuffer(b, memo.dtype).tolist() for b in memo.encode(texts)] == want
     big = " ".join(texts) + "x" * 3000 + "漢字" * 800 + "\n \t  " * 300 + "<|endoftext|>" * 100
     for chunk, overlap in ((700, 60), (1500, 40), (5000, 512)):
-        assert tokens.spliced_ids(tok, big, chunk, overlap, guard=16) == tok.encode(big, add_special_tokens=False).ids
+        ids, chunks, widened = tokens.spliced(tok, big, chunk, overlap, guard=16)
+        assert ids == tok.encode(big, add_special_tokens=False).ids
+        assert chunks > 1
+
+
+def test_a_text_without_borders_is_not_read_over_and_over():
+    tok, read = Tokenizer.from_file(BYTE), []
+
+    class Counting:
+        def encode(self, text, **how):
+            read.append(len(text))
+            return tok.encode(text, **how)
+
+    text = "x" * 40_000 + " end of it"
+    ids, chunks, widened = tokens.spliced(Counting(), text, 500, 50)
+    assert ids == tok.encode(text, add_special_tokens=False).ids
+    assert widened > 0 and sum(read) < 8 * len(text)
 
 
 def test_token_counts_of_odd_documents(odd, empty):
@@ -77,6 +93,15 @@ def test_token_files_round_trip(odd, empty, tmp_path):
     assert tokenfile.read_token_files(tokenfile.write_token_files(empty, BYTE, 2, path=str(tmp_path / "none"))).count() == 0
 
 
+def test_files_hold_about_equal_bytes(spark, tmp_path):
+    rows = [(i, "word " * (4000 if i < 50 else 20)) for i in range(1000)] + [(None, "no id"), (2000, None)]
+    docs = tuned(spark).createDataFrame(rows, "doc_id bigint, text string")
+    out = tokenfile.write_token_files(docs, BYTE, 2, path=str(tmp_path), file_bytes=100_000).collect()
+    assert sum(r["n_docs"] for r in out) == len(rows)
+    # Text of 100,000 bytes has 20,000 words; cut by rows, the first file would hold all 50 long ones.
+    assert max(r["n_tokens"] for r in out) <= 2 * 20_000 + 4_001 and len(out) >= 8
+
+
 def test_a_damaged_frame_is_noticed_and_others_stay_readable(tmp_path):
     import io
 

@@ -64,7 +64,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, leave: bool = False) -> DataFr
 
     def encode(ids, texts):
         width = bpe.word_memo(tokenizer_path).width
-        coded = tokens.token_ids(tokenizer_path, texts, chunk=None)
+        coded = tokens.token_ids(tokenizer_path, texts)
         return {"doc_id": ids, "n_tokens": [len(b) // width for b in coded], "id_bytes": [width] * len(ids), "ids": coded}
 
     return map_batches(slim, encode, "doc_id bigint, n_tokens bigint, id_bytes int, ids binary", "words", leave)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -39,9 +40,14 @@ ENTRY = struct.Struct("<III")
 DOC = struct.Struct("<qBIQ")  # id, is null, first frame, tokens
 
 
+@lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
+
+
 def frames_of(ids: bytes, width: int, frame_tokens: int = FRAME_TOKENS) -> list[tuple[bytes, int, int]]:
     """(frame, size of its content, checksum) for one document; an empty one has no frame."""
-    pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
+    pack = _compressor()
     step = frame_tokens * width
     return [(pack.compress(part), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF)
             for part in (ids[i:i + step] for i in range(0, len(ids), step))]
@@ -72,7 +78,7 @@ class FileReader:
     """Random access to the documents of one file."""
 
     def __init__(self, source):
-        self.source = source
+        self.source, self.unpack = source, zstandard.ZstdDecompressor()
         end = source.size()
         count, _, magic = struct.unpack("<IBI", self._at(end - 9, 9))
         if magic != SEEKABLE_MAGIC:
@@ -92,18 +98,34 @@ class FileReader:
 
     def ids(self, k: int) -> bytes:
         """Ids of the k-th document, from its own frames only; a damaged frame raises."""
-        unpack = zstandard.ZstdDecompressor()
         last = self.docs[k + 1][2] if k + 1 < len(self.docs) else len(self.frames)
         parts = []
         for f in range(self.docs[k][2], last):
             packed, size, check = self.frames[f]
-            part = unpack.decompress(self._at(int(self.starts[f]), packed), max_output_size=size)
+            part = self.unpack.decompress(self._at(int(self.starts[f]), packed), max_output_size=size)
             if len(part) != size or xxhash.xxh64_intdigest(part) & 0xFFFFFFFF != check:
                 raise ValueError(f"frame {f} does not match its checksum")
             parts.append(part)
         return b"".join(parts)
 
 
+def file_bounds(slim: DataFrame, file_bytes: int) -> np.ndarray:
+    """Last ids of all files but the last, so that no range of ids holds much more than twice `file_bytes` of text.
+
+    An id counts once for each mean size that its text takes up, rounded up: a range of n counts has at
+    most n mean sizes, and there are at most twice as many counts as texts. A text that is larger than a
+    file is one file with its neighbours at most. The sketch is small at any size.
+    """
+    total, rows = slim.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    parts = -(-(total or 0) // file_bytes)
+    if parts < 2:
+        return np.empty(0, np.int64)
+    counts = F.greatest(F.ceil(F.octet_length("text") / max(1, total // rows)), F.lit(1)).cast("int")
+    weighed = slim.select(F.explode(F.array_repeat("doc_id", counts)).alias("doc_id"))
+    cuts = weighed.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("p")).first()["p"]
+    return np.unique(np.asarray(cuts or [], dtype=np.int64))
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, path: str | None = None,
                       file_bytes: int = FILE_BYTES, frame_tokens: int = FRAME_TOKENS) -> DataFrame:
     """Encode `docs` (doc_id, text) and write the files below `path`; returns the manifest
@@ -118,16 +140,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, path
     spark = docs.sparkSession
     folder = path or scratch_path(spark, "tokens")
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # One pass over sizes and ids picks the ranges; the sketch is small at any size.
-    total = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // file_bytes))
-    cuts = slim.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("p")).first()["p"] or []
-    bounds = np.unique(np.asarray(cuts if parts > 1 else [], dtype=np.int64))
+    bounds = file_bounds(slim, file_bytes)
 
     def encode(ids, texts):
         memo = bpe.word_memo(tokenizer_path)
         end = np.asarray([end_id], dtype=memo.dtype).tobytes()
-        coded = [b + end for b in tokens.token_ids(tokenizer_path, texts, chunk=None)]
+        coded = [b + end for b in tokens.token_ids(tokenizer_path, texts)]
         return {
             "part": [0 if i is None else int(np.searchsorted(bounds, i, side="left")) for i in ids],
             "doc_id": ids, "n_tokens": [len(b) // memo.width for b in coded], "width": [memo.width] * len(ids),
