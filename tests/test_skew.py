@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -158,3 +159,30 @@ def test_tfidf_joined_and_broadcast_agree(spark, monkeypatch):
     rng = random.Random(3)
     texts = spark.createDataFrame([(i, " ".join(rng.choices(["the", "the", "a", "b", "C", "d" + str(i)], k=rng.randrange(9)))) for i in range(60)], "cluster_id int, text string")
     same(B.tfidf(texts, small=True), B.tfidf(texts, small=False))
+
+
+@pytest.fixture
+def small_parts(monkeypatch):
+    monkeypatch.setattr("weftlog.operators.skew.ROWS_UNDEALT", 100)
+    monkeypatch.setattr("weftlog.operators.skew.ROWS_A_PART", 50)
+
+
+def parts_of(df, key="session_id"):
+    """The numbers of parts that rows are dealt into by `key` in the plan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [int(n) for n in re.findall(rf"Exchange hashpartitioning\({key}#\d+L?, (\d+)\)", text)]
+
+
+def test_graph_sizes_are_made_in_parts_that_grow_with_the_rows(make_events, small_parts):
+    for n, parts in ((600, 12), (1200, 24)):
+        e = skewed(make_events, n)
+        got = G.graph_sizes(e)
+        assert parts_of(got) == [parts]
+        # Some sessions split off as hot: only the others are dealt.
+        same(got, G.graph_sizes(e, rows_per_task=30))
+    assert parts_of(G.graph_sizes(make_events({"a": [1, 2], "b": [3]}).repartition(2))) == [4]
+
+
+def test_slices_of_hot_keys_never_share_a_task(make_events):
+    rows = ordered(skewed(make_events), ["session_id"], ["ts", "line_no"], rows_per_task=10)
+    assert "DirectShufflePartitionID".lower() in rows._jdf.queryExecution().toString().lower().replace("_", "")

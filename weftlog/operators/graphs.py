@@ -14,7 +14,7 @@ from weftlog.functions.columns import clip_nonneg, log_scale, to_number
 from weftlog.operators.sessions import (
     CLUSTER, LINE, SESSION, TS, length_stats, session_fingerprint, with_sequence,
 )
-from weftlog.operators.skew import ROWS_PER_TASK, exact_percentiles, hot_keys, split_hot
+from weftlog.operators.skew import ROWS_PER_TASK, HotKeys, exact_percentiles, hot_keys, split_hot
 from weftlog.session import bucketed, durable
 
 # The features of a node and of an edge, in the order of the packed vectors.
@@ -54,10 +54,10 @@ def ordered_run(events: DataFrame, scale: str = "raw", *, session: str = SESSION
     hot = hot_keys(slim, [session], rows_per_task)
     cols = [session, cluster, "pos", "n", "norm_pos", f"next_{cluster}", "delta_us", *[c for c in ("param_count", "num_count", "num_sum", "num_max") if c in slim.columns]]
     if not hot:
-        return OrderedRun(bucketed(with_sequence(slim, hot=hot, **names).select(*cols), session))
+        return OrderedRun(bucketed(with_sequence(slim, hot=hot, **names).select(*cols), session, buckets=hot.parts()))
     rest, part = split_hot(slim, [session], hot)
     long = with_sequence(part, hot_rows=hot.rows, rows_per_task=rows_per_task, **names).select(*cols)
-    return OrderedRun(bucketed(with_sequence(rest, hot=[], **names).select(*cols), session), durable(long))
+    return OrderedRun(bucketed(with_sequence(rest, hot=hot.rest(), **names).select(*cols), session, buckets=hot.parts()), durable(long))
 
 
 def _of_run(run: OrderedRun, fn) -> DataFrame:
@@ -97,7 +97,7 @@ def param_summary(df: DataFrame, params: str = "parameters", finite_only: bool =
 def graph_nodes(
     events: DataFrame | OrderedRun, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
     cluster: str = CLUSTER, params: str = "parameters", rows_per_task: int = ROWS_PER_TASK,
-    hot: list | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """One node per (session, cluster) with occurrence, parameter and position features, from events or a run.
 
@@ -134,7 +134,7 @@ def _nodes(rows: DataFrame, scale: str, session: str, cluster: str) -> DataFrame
 
 def graph_edges(
     events: DataFrame | OrderedRun, scale: str = "raw", *, session: str = SESSION, ts: str = TS, line: str = LINE,
-    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK, hot: list | None = None,
+    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK, hot: HotKeys | None = None,
 ) -> DataFrame:
     """One edge per (session, src, dst) with weight, delta statistics and mean positions, from events or a run.
 
@@ -151,7 +151,7 @@ def graph_edges(
         return _edges(rows, scale, bool(hot), session, cluster, rows_per_task)
     rest, part = split_hot(events, [session], hot)
     few = hot.rows
-    cold_rows = with_sequence(rest, hot=[], **names)
+    cold_rows = with_sequence(rest, hot=hot.rest(), **names)
     hot_rows = with_sequence(part, hot_rows=few, rows_per_task=rows_per_task, **names)
     return _edges(cold_rows, scale, False, session, cluster, rows_per_task).unionByName(
         _edges(hot_rows, scale, True, session, cluster, rows_per_task))

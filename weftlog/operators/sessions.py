@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.operators.skew import ROWS_PER_TASK, first_by, nulls_last, ordered, sliced
+from weftlog.operators.skew import ROWS_PER_TASK, HotKeys, first_by, nulls_last, ordered, sliced
 
 SESSION, TS, LINE, CLUSTER = "session_id", "ts", "line_no", "cluster_id"
 
@@ -95,7 +95,7 @@ def sort_events(events: DataFrame, session: str = SESSION, ts: str = TS, line: s
 
 def with_sequence(
     events: DataFrame, *, session: str = SESSION, ts: str = TS, line: str = LINE,
-    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK, hot: list | None = None,
+    cluster: str = CLUSTER, rows_per_task: int = ROWS_PER_TASK, hot: HotKeys | None = None,
     hot_rows: int = 0,
 ) -> DataFrame:
     """Position, session length, next cluster and delta of each event, in one pass.
