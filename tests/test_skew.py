@@ -186,3 +186,11 @@ def test_graph_sizes_are_made_in_parts_that_grow_with_the_rows(make_events, smal
 def test_slices_of_hot_keys_never_share_a_task(make_events):
     rows = ordered(skewed(make_events), ["session_id"], ["ts", "line_no"], rows_per_task=10)
     assert "DirectShufflePartitionID".lower() in rows._jdf.queryExecution().toString().lower().replace("_", "")
+
+
+def test_basic_edges_are_made_in_parts_that_grow_with_the_rows(make_events, small_parts):
+    for n, parts in ((600, 12), (1200, 24)):
+        e = skewed(make_events, n)
+        got = G.graph_edges_basic(e)
+        assert parts_of(got) == [parts]
+        same(got, G.graph_edges_basic(e, rows_per_task=30))
