@@ -194,3 +194,12 @@ def test_basic_edges_are_made_in_parts_that_grow_with_the_rows(make_events, smal
         got = G.graph_edges_basic(e)
         assert parts_of(got) == [parts]
         same(got, G.graph_edges_basic(e, rows_per_task=30))
+
+
+def test_log_nodes_are_made_in_parts_that_grow_with_the_rows(make_events, small_parts):
+    for n, parts in ((600, 12), (1200, 24)):
+        e = skewed(make_events, n)
+        got = G.graph_nodes(e, "log")
+        assert parts_of(got) == [parts]
+        same(got, G.graph_nodes(e, "log", rows_per_task=30))
+    assert "24 out of 24" in G.graph_sizes(G.ordered_run(e, "log"))._jdf.queryExecution().executedPlan().toString()
