@@ -203,3 +203,18 @@ def test_log_nodes_are_made_in_parts_that_grow_with_the_rows(make_events, small_
         assert parts_of(got) == [parts]
         same(got, G.graph_nodes(e, "log", rows_per_task=30))
     assert "24 out of 24" in G.graph_sizes(G.ordered_run(e, "log"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_are_scored_in_parts_that_grow_with_the_rows(spark, monkeypatch):
+    from weftlog.plans import model_queries as Q
+
+    monkeypatch.setattr("weftlog.operators.skew.ROWS_UNDEALT", 1_000)
+    monkeypatch.setattr("weftlog.operators.skew.ROWS_A_PART", 500)
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    edges, hot = Q.stored_item_edges(spark, sf)
+    parts = -(-rows // 500)
+    assert not hot and hot.total == rows
+    assert f"{parts} out of {parts}" in edges.groupBy("session_id").count()._jdf.queryExecution().executedPlan().toString()
+    plan = Q.m4(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
