@@ -218,3 +218,6 @@ def test_items_are_scored_in_parts_that_grow_with_the_rows(spark, monkeypatch):
     assert f"{parts} out of {parts}" in edges.groupBy("session_id").count()._jdf.queryExecution().executedPlan().toString()
     plan = Q.m4(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+    # Nodes are dealt as the stored edges are, and meet them where they are.
+    plan = Q.item_components(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(\w+#\d+L?, (\d+)\)", plan) == [str(parts)]
