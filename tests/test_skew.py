@@ -221,3 +221,20 @@ def test_items_are_scored_in_parts_that_grow_with_the_rows(spark, monkeypatch):
     # Nodes are dealt as the stored edges are, and meet them where they are.
     plan = Q.item_components(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"hashpartitioning\(\w+#\d+L?, (\d+)\)", plan) == [str(parts)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_words_are_counted_in_parts_that_grow_with_the_text(spark, monkeypatch, small_parts, small):
+    from weftlog.operators import embeddings as B
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["the", "the", "A", "b", "c" + str(i), "d" + str(i % 9)], k=rng.randrange(30)))) for i in range(80)] + [(None, "the x"), (90, None)]
+    texts = spark.createDataFrame(rows, "cluster_id int, text string").repartition(3)
+    want = B.tfidf(texts)
+    monkeypatch.setattr("weftlog.operators.skew.SHARES", 5)
+    monkeypatch.setattr("weftlog.operators.embeddings.CHARS_A_PART", 300)
+    parts = -(-sum(len(t or "") for _, t in rows) // 300)
+    got = B.tfidf(texts, small=small)
+    assert f"{parts} out of {parts}" in got._jdf.queryExecution().executedPlan().toString()
+    assert small or parts_of(got, "token")[0] > 4 and parts_of(got, "__part") == [parts]
+    same(got, want)
