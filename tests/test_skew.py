@@ -238,3 +238,13 @@ def test_words_are_counted_in_parts_that_grow_with_the_text(spark, monkeypatch,
     assert f"{parts} out of {parts}" in got._jdf.queryExecution().executedPlan().toString()
     assert small or parts_of(got, "token")[0] > 4 and parts_of(got, "__part") == [parts]
     same(got, want)
+
+
+def test_the_vocabulary_of_counted_terms_is_that_of_the_rows(spark, small_parts, monkeypatch):
+    from weftlog.operators import embeddings as B
+
+    monkeypatch.setattr("weftlog.operators.embeddings.CHARS_A_PART", 100)
+    texts = spark.createDataFrame([(i, f"the a{i % 7} B{i % 3} c{i}") for i in range(60)], "cluster_id int, text string")
+    terms = B.count_terms(texts)
+    assert terms.many and terms.tokens == 71 and terms.total == 240
+    same(B.vocabulary(terms), B.vocabulary(B.tfidf(texts)))
