@@ -1,6 +1,7 @@
 """Reconstruction scoring against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,33 @@ def test_nearest_is_exact_and_large_catalogs_are_refused(spark):
         B.cosine_similarity(df, max_rows=39)
 
 
+def test_nearest_holds_few_similarities_at_once_and_copies_go_by_id(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    kinds = rng.normal(size=(9, 5))
+    m = np.vstack([kinds[rng.integers(0, 9, 90)] * rng.uniform(0.5, 2, (90, 1)), rng.normal(size=(60, 5)), np.zeros((1, 5))])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "cluster_id int, embedding array<double>").repartition(3)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    u = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    sim = (u @ u.T).round(12)
+    asked = range(0, 151, 5)
+    want = [(q, n + 1, int(x)) for q in asked for n, x in enumerate([x for x in np.lexsort((np.arange(151), -sim[q])) if x != q][:4])]
+    product = B._units
+    for cells in (1 << 21, 31 * 7, 1):
+        monkeypatch.setattr(B, "CELLS", cells)
+        got = sorted((r["query"], r["rank"], r["id"]) for r in B.nearest(df, df.where("cluster_id % 5 = 0"), 4).collect())
+        assert got == want
+    # A task's own function, on one batch of all rows.
+    held = []
+    monkeypatch.setattr(B, "_units", lambda column: held.append(len(column)) or product(column))
+    monkeypatch.setattr(B, "CELLS", 31 * 7)
+    task = []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: task.append(f) or spark.createDataFrame([], schema))
+    B.nearest(df, df.where("cluster_id % 5 = 0"), 4)
+    held.clear()
+    list(task[0](iter([pd.DataFrame({"id": np.arange(151), "v": list(m)})])))
+    assert sum(held) == 151 and max(held) <= 7
+
+
 def test_threshold_falls_back_to_the_median(spark):
     df = spark.createDataFrame([(0.1, 0), (0.5, 0), (0.2, 0)], "score double, label int")
     assert E.best_threshold(df).first()["threshold"] == 0.2
