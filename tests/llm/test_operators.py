@@ -53,6 +53,39 @@ def test_memo_and_splices_give_the_library_ids(path):
         assert chunks > 1
 
 
+def test_new_words_are_encoded_many_at_a_time():
+    memo, asked = bpe.WordMemo(BYTE), []
+    tok = memo.tok
+
+    class Counting:
+        def encode(self, text, **how):
+            return tok.encode(text, **how)
+
+        def encode_batch_fast(self, batch, **how):
+            asked.extend(batch)
+            return tok.encode_batch_fast(batch, **how)
+
+    memo.tok = Counting()
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdeé漢1'.,!\u0120\u010a", k=rng.randint(1, 9))) + rng.choice(["", "", "<|endoftext|>", "'s", "."])
+    texts = ["".join(word() + rng.choice("   \n") for _ in range(200)) + word() for _ in range(30)] + ["", "one", "<|endoftext|>", "a\nb", "<|endoftext|>\n<|endoftext|> <|endoftext|>"]
+    for _ in range(2):
+        assert [np.frombuffer(b, memo.dtype).tolist() for b in memo.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(memo.proven(texts)) and 0 < len(asked) < 30
+    # Where the first tokens of words cannot be told, each word is encoded on its own.
+    memo = bpe.WordMemo(BYTE)
+    memo.starts[:] = True
+    assert [np.frombuffer(b, memo.dtype).tolist() for b in memo.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_only_single_spaces_and_line_breaks_between_words_are_proven():
+    memo = bpe.WordMemo(BYTE)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    assert len(spaces) > 20 and [s for s, ok in zip(spaces, memo.proven([f"a{s}b" for s in spaces])) if ok] == ["\n", " "]
+    loose = [a + b + c for a, b, c in (("", " ", "a"), ("a", " ", ""), ("", "\n", "a"), ("a", "\n", ""), ("a", "  ", "b"), ("a", "\n\n", "b"), ("a", " \n", "b"), ("a", "\n ", "b"))]
+    assert not any(memo.proven(loose))
+
+
 def test_a_text_without_borders_is_not_read_over_and_over():
     tok, read = Tokenizer.from_file(BYTE), []
 

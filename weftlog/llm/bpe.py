@@ -1,8 +1,9 @@
 """Tokenizer calls inside tasks: the `tokenizers` library behind a bounded memo of word encodings.
 
 Words repeat, and a byte-pair model never merges across pre-tokens. Where the text has a
-border that every tokenization must have (see `pieces`), the encoding of the text is the
-concatenation of the encodings of its pieces, so each distinct piece is encoded once.
+border that every tokenization must have (see `WordMemo.proven`), the encoding of the text is the
+concatenation of the encodings of its pieces, so each distinct piece is encoded once. Arrow
+splits a batch of texts, finds its distinct pieces and puts their ids together.
 Texts whose borders cannot be proven that way go to the library whole.
 """
 
@@ -14,6 +15,8 @@ import os
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from weftlog.llm.base import holds
 
@@ -21,6 +24,13 @@ from weftlog.llm.base import holds
 MEMO_ENTRIES = 1_400_000
 # Closing marks that are a pre-token of their own at the end of a word.
 MARKS = (".", ",")
+# How a byte-level vocabulary writes a token that starts with a space or a line break.
+STARTS = ("\u0120", "\u010a")
+# New words that one call encodes together.
+TOGETHER = 500
+# White space other than a single space or a single line break between two other characters.
+LOOSE_SPACE = (r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+               r"|\A[ \n]|[ \n]\z|[ \n][ \n]")
 
 
 @functools.lru_cache(maxsize=4)
@@ -63,77 +73,87 @@ class WordMemo:
             self.kind = "dropped"
         else:
             self.kind = "whole"
-        # Encodings of words after a space (or of any word, where spaces vanish) and of words that start a line.
-        self.inner: dict[str, bytes] = {"": b""}
-        self.first: dict[str, bytes] = {}
         self.marks = {m: self._ids(m) for m in MARKS}
         self.breaks = self._ids("\n") if self.kind == "prefixed" else b""
+        # Encodings of words; prefixed: with the space before them, or with the line break that the key then starts with.
+        self.words = self._none()
+        if self.kind == "prefixed":
+            self.starts = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+            self.starts[[i for t, i in self.tok.get_vocab().items() if t[:1] in STARTS]] = True
+
+    def _none(self) -> dict[str, bytes]:
+        return {"": b"", "\n": self.breaks}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def pieces(self, text: str) -> list[list[str]] | None:
-        """Lines of words whose encodings concatenate to that of `text`, or None if that is not proven.
+    def proven(self, texts: list[str]) -> list[bool]:
+        """Whether the encodings of the words of a text are known to concatenate to that of the text.
 
         dropped: no pre-token holds a space or line break and no normalization step reaches
         across one, so both always separate. prefixed: a single space between two characters
         that are not white space starts a pre-token, and a single line break there is one.
         """
-        if self.kind == "dropped":
-            return [text.replace("\n", " ").split(" ")]
         if self.kind != "prefixed":
-            return None
-        out = []
-        for line in text.split("\n"):
-            words = line.split()
-            if not words or " ".join(words) != line:
-                return None
-            out.append(words)
-        return out
+            return [self.kind == "dropped"] * len(texts)
+        return pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), LOOSE_SPACE)).to_pylist()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.inner) > MEMO_ENTRIES:
-            self.inner = {"": b""}
-        if len(self.first) > MEMO_ENTRIES // 10:
-            self.first = {}
-        heads, seen = set(), set()
+        if len(self.words) > MEMO_ENTRIES:
+            self.words = self._none()
+        proven = self.proven(texts)
+        by_words = iter(self._by_words([t for t, ok in zip(texts, proven) if ok]))
+        return [next(by_words) if ok else self._ids(t) for t, ok in zip(texts, proven)]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        col = pa.array(texts, pa.large_string())
         if self.kind == "prefixed":
-            for lines in split:
-                for words in lines or ():
-                    heads.add(words[0])
-        for lines in split:
-            for words in lines or ():
-                seen.update(words)
-        self._learn(self.inner, seen, " " if self.kind == "prefixed" else "")
-        self._learn(self.first, heads, "")
-        inner, first = self.inner.__getitem__, self.first
-        if self.kind == "prefixed":
-            def line(words: list[str]) -> bytes:
-                head, words[0] = first[words[0]], ""
-                return head + b"".join(map(inner, words))
+            # A word that starts a line, or the text, takes the line break along; that of the text is cut off again.
+            line, nothing = pa.scalar("\n", col.type), pa.scalar("", col.type)
+            col = pc.binary_join_element_wise(line, pc.replace_substring(col, "\n", " \n"), nothing)
         else:
-            def line(words: list[str]) -> bytes:
-                return b"".join(map(inner, words))
-        return [self._ids(t) if p is None else self.breaks.join(map(line, p)) for t, p in zip(texts, split)]
-
-    def _learn(self, memo: dict[str, bytes], words: set[str], prefix: str) -> None:
-        new = [w for w in words if w not in memo]
+            col = pc.replace_substring(col, "\n", " ")
+        split = pc.split_pattern(col, " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, distinct))
+        self._learn([w for w, ids in zip(distinct, found) if ids is None])
+        found = [self.words[w] if ids is None else ids for w, ids in zip(distinct, found)]
+        coded = pa.array(found, pa.large_binary()).take(words.indices)
+        _, starts, data = coded.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        cuts = np.frombuffer(starts, np.int64)[split.offsets.to_numpy()].tolist()
+        skip = len(self.breaks)
+        return [data[a + skip:b].to_pybytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: list[str]) -> None:
         # A letter before a closing mark ends a pre-token, so only the word itself has to be known.
         marked = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()]
-        alone = {w[:-1] for w in marked} - memo.keys()
+        alone = {w[:-1] for w in marked if w[:-1] not in self.words}
         alone.update(w for w in new if w[-1:] not in MARKS or not w[-2:-1].isalpha())
         asked = list(alone)
         if asked:
-            found = [e.ids for e in self.tok.encode_batch_fast([prefix + w for w in asked] if prefix else asked, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(found), dtype=self.dtype).tobytes()
-            at = 0
-            for w, ids in zip(asked, found):
-                end = at + len(ids) * self.width
-                memo[w] = flat[at:end]
-                at = end
+            ids, cuts = self._together(asked) if self.kind == "prefixed" else self._each(asked)
+            flat = ids.tobytes()
+            cuts = (cuts * self.width).tolist()
+            self.words.update((w, flat[a:b]) for w, a, b in zip(asked, cuts, cuts[1:]))
         for w in marked:
-            memo[w] = memo[w[:-1]] + self.marks[w[-1]]
+            self.words[w] = self.words[w[:-1]] + self.marks[w[-1]]
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where those of each begin and end."""
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), dtype=self.dtype)
+        return ids, np.cumsum([0, *map(len, found)])
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`_each` of words with what stands before them, many of them in one text: exactly the first token
+        of a word starts with its space or line break. Where an added token does so too, the counts differ."""
+        spaced = [w if w[0] == "\n" else " " + w for w in words]
+        ids, _ = self._each(["".join(spaced[i:i + TOGETHER]) for i in range(0, len(spaced), TOGETHER)])
+        cuts = np.flatnonzero(self.starts[ids])
+        return (ids, np.append(cuts, len(ids))) if len(cuts) == len(words) else self._each(spaced)
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(b) // self.width for b in self.encode(texts)]

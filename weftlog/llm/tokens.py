@@ -101,9 +101,14 @@ def token_ids(path: str, texts: list[str]) -> list[bytes]:
 def chunked_ids(path: str, texts: list[str], chunk: int | None = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[bytes, int, int]]:
     """(ids, chunks, widenings) of each text; those of more than `chunk` characters go by overlapping chunks."""
     memo = bpe.word_memo(path)
-    huge = [len(t) > chunk if chunk else len(t) > CHUNK_CHARS and memo.pieces(t) is None for t in texts]
-    out = [(ids, 1, 0) for ids in memo.encode(["" if h else t for t, h in zip(texts, huge)])]
-    for i in (i for i, h in enumerate(huge) if h):
+    huge = [i for i, t in enumerate(texts) if len(t) > (chunk or CHUNK_CHARS)]
+    if not chunk:
+        huge = [i for i, ok in zip(huge, memo.proven([texts[i] for i in huge])) if not ok]
+    rest = list(texts)
+    for i in huge:
+        rest[i] = ""
+    out = [(ids, 1, 0) for ids in memo.encode(rest)]
+    for i in huge:
         ids, chunks, widened = spliced(memo.tok, texts[i], chunk or CHUNK_CHARS, overlap)
         out[i] = (np.asarray(ids, dtype=memo.dtype).tobytes(), chunks, widened)
     return out
