@@ -452,6 +452,23 @@ def test_removed_bytes_match_brute_force(spark, how):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got if r.doc_id != 206)
 
 
+def test_passages_of_fifty_words_go_from_400_bytes_on(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(4, 6))) for _ in range(n))
+    docs = {k: words(40) + "." for k in range(3)}
+    for size in (330, 399, 400, 401, 700):
+        passage = words(size // 5)[:size - 1] + "|"
+        assert len(passage) == size and len(passage.split()) > 50
+        # Different bytes on both sides, so that the passage is all they share.
+        docs |= {10 * size + k: words(30 + k) + f" {mark}" + passage + f"{mark} " + words(30) for k, mark in enumerate("XYZ")}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r for r in suffixes.removal_digests(suffixes.with_removals(frame)).collect()}
+    want = dict(zip(docs, brute_removals([t.encode() for t in docs.values()], suffixes.LENGTH)))
+    assert {k: tuple(r)[1:5] for k, r in got.items()} == want
+    assert {k: r.n_removed for k, r in got.items()} == {k: k // 10 if k >= 4000 else 0 for k in docs}
+    assert all((got[k].text == docs[k]) == (k < 4000) and got[k].n_bytes == len(docs[k]) for k in docs)
+
+
 def test_removals_keep_other_columns(odd, empty):
     out = suffixes.with_removals(odd)
     assert out.count() == len(ODD) and out.columns == [*odd.columns, "__removed"]
